@@ -8,12 +8,15 @@ and the daily rows are never made.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recurra import config as c
 from recurra.config import CohortConfig, ModelSpec
 from recurra.functions.columns import clamp_year, cut, subject_keys
+from recurra.functions.stats import z_value
 
 WEEK = 7
 PERSON_WEEK_COLUMNS = [
@@ -165,3 +168,66 @@ def retention_ratio(weeks: DataFrame) -> DataFrame:
         F.count_if(F.col("time_after_index") >= 1).alias("n_past_1y"),
         F.count_if(F.col("time_after_index") >= 2).alias("n_past_2y"))
     return past.withColumn("ratio", F.try_divide("n_past_2y", "n_past_1y"))
+
+
+def _rates(grouped: DataFrame) -> DataFrame:
+    years = F.col("days") / F.lit(float(c.DAYS_PER_YEAR))
+    return grouped.withColumn("person_years", years).withColumn("rate", F.col("events") / F.col("person_years"))
+
+
+def crude_rates(weeks: DataFrame) -> DataFrame:
+    """Events, person-years and their ratio before and after the index event."""
+    summed = weeks.groupBy("period").agg(F.sum("status").alias("events"), F.sum("n_days").alias("days"))
+    return _rates(summed).drop("days")
+
+
+def piecewise_rates(weeks: DataFrame, bands: Sequence[float]) -> DataFrame:
+    """Crude rate per band of time since the index event, and its log ratio to the first band."""
+    band = cut("time_after_index", bands, include_lowest=True)
+    rates = _rates(
+        weeks.groupBy(band.alias("band")).agg(F.sum("status").alias("events"), F.sum("n_days").alias("days"))
+        .where(F.col("band").isNotNull()))
+    # One row per band here, so the window over all of them is small.
+    base = F.max(F.when(F.col("band") == 1, F.col("rate"))).over(Window.partitionBy(F.lit(0)))
+    ratio = F.when(F.col("events") > 0, F.ln(F.col("rate") / base))
+    return rates.withColumn("log_rate_ratio", ratio).drop("days")
+
+
+def crude_irr(weeks: DataFrame, z: float | None = None) -> DataFrame:
+    """Crude rate ratio after versus before with its cluster-robust error, in closed form.
+
+    Per subject the residual of a side is u = events - rate * years. With totals
+    Y the variances of the log rates are sum(u**2) / Y**2, so one pass of
+    per-subject sums and their second moments is enough.
+    """
+    z = z_value() if z is None else z
+    before, after = F.col("period") == c.PERIOD_BEFORE, F.col("period") == c.PERIOD_AFTER
+
+    def years(side):
+        return F.sum(F.when(side, F.col("n_days")).otherwise(0)) / F.lit(float(c.DAYS_PER_YEAR))
+
+    def count(side):
+        return F.sum(F.when(side, F.col("status")).otherwise(0)).cast("double")
+
+    subjects = weeks.groupBy(*subject_keys(weeks)).agg(
+        count(before).alias("y0"), years(before).alias("t0"),
+        count(after).alias("y1"), years(after).alias("t1"))
+    names = ("y0", "t0", "y1", "t1")
+    sums = [F.sum(n).alias(n) for n in names]
+    products = [
+        F.sum(F.col(a) * F.col(b)).alias(a + b)
+        for i, a in enumerate(names) for b in names[i:]]
+    groups = [k for k in subject_keys(weeks) if k != "patid"]
+    m = subjects.groupBy(*groups).agg(*sums, *products)
+    r0, r1 = F.col("y0") / F.col("t0"), F.col("y1") / F.col("t1")
+    u00 = F.col("y0y0") - 2 * r0 * F.col("y0t0") + r0 * r0 * F.col("t0t0")
+    u11 = F.col("y1y1") - 2 * r1 * F.col("y1t1") + r1 * r1 * F.col("t1t1")
+    u01 = F.col("y0y1") - r1 * F.col("y0t1") - r0 * F.col("t0y1") + r0 * r1 * F.col("t0t1")
+    y0, y1 = F.col("y0"), F.col("y1")
+    variance = u00 / (y0 * y0) + u11 / (y1 * y1) - 2 * u01 / (y0 * y1)
+    return (
+        m.select(*groups, F.ln(r1 / r0).alias("estimate"), F.sqrt(variance).alias("std_err"))
+        .withColumn("irr", F.exp("estimate"))
+        .withColumn("irr_lower", F.exp(F.col("estimate") - F.lit(z) * F.col("std_err")))
+        .withColumn("irr_upper", F.exp(F.col("estimate") + F.lit(z) * F.col("std_err")))
+    )
