@@ -220,7 +220,7 @@ def _to_store(spark: SparkSession, fits: list[_Fit], names: list[str]) -> ModelS
 
 def fit_nested(
     nested: DataFrame, spec: ModelSpec, subsets: dict[str, list[str]] | None = None,
-    tolerance: float = 1e-6, max_iterations: int = 25,
+    tolerance: float = 1e-8, max_iterations: int = 25,
 ) -> ModelStore:
     """Fit one model per scenario and subset of terms on an already written table of subjects."""
     names = terms(spec)
@@ -253,7 +253,7 @@ def fit_nested(
 
 def fit_gee(rows: DataFrame, spec: ModelSpec, **options) -> ModelStore:
     """Fit a specification to person-weeks, for every scenario in them at once."""
-    nested = materialize(nest_subjects(rows, spec), f"subjects-{spec.name}", ["scenario_id"])
+    nested = materialize(nest_subjects(rows, spec), f"subjects-{spec.name}")
     return fit_nested(nested, spec, **options)
 
 
@@ -265,7 +265,7 @@ def fit_sequence(rows: DataFrame, spec: ModelSpec, **options) -> tuple[ModelStor
         so_far = so_far + block
         if name != "intercept":
             subsets[name], added[name] = list(so_far), block
-    nested = materialize(nest_subjects(rows, spec), f"subjects-{spec.name}", ["scenario_id"])
+    nested = materialize(nest_subjects(rows, spec), f"subjects-{spec.name}")
     return fit_nested(nested, spec, subsets, **options), added
 
 

@@ -32,31 +32,29 @@ def split_person_time(intervals: DataFrame, width: int = WEEK) -> DataFrame:
     A start below 0 leaves one piece up to day 0 that counts as one day and has
     no bin. The event belongs to the last piece.
     """
-    start, stop = F.col("time_start"), F.col("time_stop")
-    first = F.greatest(start, F.lit(0)) + 1
-
-    def piece(number, lo, hi):
-        n = hi - lo + 1
-        return F.struct(
-            number.cast("int").alias("week"), n.cast("int").alias("n_days"),
-            # lo + hi and the day count cannot both be odd-sized, so this division is exact.
-            ((lo + hi) * n / 2).cast("long").alias("sum_day"),
-            F.when(hi == stop, F.col("status")).otherwise(0).alias("status"))
-
-    def binned(number):
-        lo = F.greatest((number - 1) * width + 1, first)
-        return piece(number, lo, F.least(number * width, stop))
-
-    first_bin, last_bin = F.ceil(first / width), F.ceil(stop / width)
-    bins = F.when(stop >= first, F.transform(F.sequence(first_bin, last_bin), binned)).otherwise(
-        F.filter(F.array(piece(first_bin, first, first)), lambda p: F.lit(False)))
-    unbinned = F.struct(
-        F.lit(None).cast("int").alias("week"), F.lit(1).alias("n_days"),
-        F.lit(0).cast("long").alias("sum_day"),
-        F.when(stop <= 0, F.col("status")).otherwise(0).alias("status"))
-    pieces = F.when(start < 0, F.concat(F.array(unbinned), bins)).otherwise(bins)
+    stop, bin_no = F.col("time_stop"), F.col("week")
+    first = F.greatest(F.col("time_start"), F.lit(0)) + 1
+    # sequence() counts down when its end is the smaller one.
+    bins = F.when(
+        stop >= first,
+        F.sequence(F.ceil(first / width).cast("int"), F.ceil(stop / width).cast("int")),
+    ).otherwise(F.array().cast("array<int>"))
+    unbinned = F.array(F.lit(None).cast("int"))
+    bins = F.when(F.col("time_start") < 0, F.concat(unbinned, bins)).otherwise(bins)
+    lo = F.greatest((bin_no - 1) * width + 1, first)
+    hi = F.least(bin_no * width, stop)
+    n = hi - lo + 1
+
+    def piece(unbinned_value, binned_value):
+        return F.when(bin_no.isNull(), unbinned_value).otherwise(binned_value)
+
     others = [name for name in intervals.columns if name != "status"]
-    return intervals.withColumn("_piece", F.explode(pieces)).select(*others, "_piece.*")
+    return intervals.withColumn("week", F.explode(bins)).select(
+        *others, "week",
+        piece(F.lit(1), n).alias("n_days"),
+        # (lo + hi) * n is even: either n is, or lo and hi are both odd or both even.
+        piece(F.lit(0), F.shiftright((lo + hi) * n, 1)).cast("long").alias("sum_day"),
+        F.when(piece(stop <= 0, hi == stop), F.col("status")).otherwise(0).alias("status"))
 
 
 def to_weeks(pieces: DataFrame) -> DataFrame:

@@ -13,7 +13,12 @@ from recurra.operators.episodes import last_seen
 
 
 def fan_out(episodes: DataFrame, scenarios: Sequence[Emigration]) -> DataFrame:
-    """One copy of each row per scenario of the caller's list; rows stay in their partition."""
+    """One copy of each row per scenario of the caller's list.
+
+    The copies are spread anew by scenario and subject: split into weeks where
+    they are, a partition would grow by the number of scenarios times some
+    twenty. Episodes are the small side of that growth, so they are what moves.
+    """
     rows = F.array(*(
         F.struct(
             F.lit(s.scenario_id).alias("scenario_id"),
@@ -22,7 +27,8 @@ def fan_out(episodes: DataFrame, scenarios: Sequence[Emigration]) -> DataFrame:
         )
         for s in scenarios
     ))
-    return episodes.withColumn("_scenario", F.explode(rows)).select(*episodes.columns, "_scenario.*")
+    copies = episodes.withColumn("_scenario", F.explode(rows)).select(*episodes.columns, "_scenario.*")
+    return copies.repartition("scenario_id", "patid")
 
 
 def censoring_days(rows: DataFrame) -> DataFrame:

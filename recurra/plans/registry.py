@@ -486,12 +486,9 @@ def _saved_weeks(spark, sf_dir, kind: str = "dead") -> DataFrame:
     make = {
         "dead": lambda: materialize(_weeks(spark, sf_dir), "weeks"),
         "alive": lambda: materialize(_weeks(spark, sf_dir, ALIVE), "weeks-alive"),
-        "scenarios": lambda: materialize(
-            _scenario_weeks(spark, sf_dir), "weeks-scenarios", ["scenario_id"]),
-        "seeds": lambda: materialize(
-            _scenario_weeks(spark, sf_dir, MI_ROWS), "weeks-seeds", ["scenario_id"]),
-        "rates": lambda: materialize(
-            _scenario_weeks(spark, sf_dir, SWEEP_ROWS), "weeks-rates", ["scenario_id"]),
+        "scenarios": lambda: materialize(_scenario_weeks(spark, sf_dir), "weeks-scenarios"),
+        "seeds": lambda: materialize(_scenario_weeks(spark, sf_dir, MI_ROWS), "weeks-seeds"),
+        "rates": lambda: materialize(_scenario_weeks(spark, sf_dir, SWEEP_ROWS), "weeks-rates"),
     }[kind]
     return _saved(spark, ("weeks", sf_dir, kind), make)
 

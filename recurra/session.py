@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even where the rows must then be shuffled once more.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Episodes grow some twentyfold when they are split into weeks, so keep small partitions apart.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }
 
 
