@@ -163,6 +163,8 @@ KNOTS_AGE6 = ModelSpec("knots_age6", age_knots=(0.5, 1.0, 1.5, 2.0, 3.0, 5.0))
 KNOTS_TIME6 = ModelSpec("knots_time6", time_knots=(1 / 12, 2 / 12, 5 / 12, 8 / 12, 1.0, 3.0))
 PERIOD_ONLY = ModelSpec("period_only", age_effect=False, sex_effect=False, time_effect="step",
                         correlation="independence")
+BANDS_ONLY = ModelSpec("bands_only", age_effect=False, sex_effect=False, time_effect="bands",
+                       correlation="independence")
 
 MODEL_SPECS = {
     spec.name: spec

@@ -114,12 +114,13 @@ def resolve_outcome(days: DataFrame, worse_as_dead: bool) -> DataFrame:
     """A "worse" discharge followed by another visit was a discharge; the last one stays or is a death."""
     final = OUTCOME_DEAD if worse_as_dead else OUTCOME_WORSE
     known = days.withColumn("outcome", fill_category("outcome"))
-    return visit_index(known).withColumn(
+    returns = F.lead(F.lit(True)).over(per_subject(known, "date_admit")).isNotNull()
+    return known.withColumn(
         "outcome",
         F.when(F.col("outcome") != OUTCOME_WORSE, F.col("outcome"))
-        .when(F.col("visit") < F.col("visit_last"), OUTCOME_DISCHARGED)
+        .when(returns, OUTCOME_DISCHARGED)
         .otherwise(final),
-    ).drop("visit", "visit_last")
+    )
 
 
 def impute_dob(admissions: DataFrame) -> DataFrame:

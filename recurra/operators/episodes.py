@@ -130,9 +130,12 @@ def anchor_index(episodes: DataFrame) -> DataFrame:
         return F.max(F.when(first, F.col(name))).over(whole)
 
     return (
-        episodes.withColumn("date_admit_index", of_index("date_admit"))
-        .withColumn("date_dis_index", of_index("date_dis"))
-        .withColumn("age_at_index_d", of_index("age_at_admit_d"))
+        # One call, so that the planner needs one window pass.
+        episodes.withColumns({
+            "date_admit_index": of_index("date_admit"),
+            "date_dis_index": of_index("date_dis"),
+            "age_at_index_d": of_index("age_at_admit_d"),
+        })
         .withColumn("hospitalization", F.datediff("date_dis", "date_admit"))
         .withColumn("time_ad_index_to_ad", F.datediff("date_admit", "date_admit_index"))
         .withColumn("period", period_of(F.col("time_ad_index_to_ad")))

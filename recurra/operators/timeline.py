@@ -30,13 +30,18 @@ def sides(episodes: DataFrame, cfg: CohortConfig) -> DataFrame:
         .when(later, F.array(F.lit(AFTER)))
         .when(in_lookback, F.array(F.lit(BEFORE)))
     )
-    first_dob = F.first("dob").over(per_subject(episodes, "date_admit"))
+    # min_by needs no order within the subject, and so no sort.
+    first_dob = F.min_by("dob", "date_admit").over(per_subject(episodes))
     return episodes.withColumn("dob_first", first_dob).withColumn("side", F.explode(roles))
 
 
-def _side_window(rows: DataFrame, ordered: bool = True):
-    window = Window.partitionBy(*subject_keys(rows), "side")
-    return window.orderBy("date_admit") if ordered else window
+def _side_window(rows: DataFrame):
+    return Window.partitionBy(*subject_keys(rows), "side").orderBy("date_admit")
+
+
+def _whole_side(rows: DataFrame):
+    """All rows of a side, in the order that the other windows need: one sort serves both."""
+    return _side_window(rows).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def fold_washout(rows: DataFrame, cfg: CohortConfig) -> DataFrame:
@@ -50,7 +55,7 @@ def fold_washout(rows: DataFrame, cfg: CohortConfig) -> DataFrame:
     index = F.col("period") == c.PERIOD_INDEX
     inside = (F.col("side") == AFTER) & (F.col("date_admit") <= washout_end)
     discharge = F.when(index, F.greatest(washout_end, F.col("date_dis"))).otherwise(F.col("date_dis"))
-    folded = F.max(F.when(inside, discharge)).over(_side_window(rows, ordered=False))
+    folded = F.max(F.when(inside, discharge)).over(_whole_side(rows))
     after = F.col("side") == AFTER
     return (
         rows.withColumn("_folded", folded)
@@ -63,22 +68,6 @@ def fold_washout(rows: DataFrame, cfg: CohortConfig) -> DataFrame:
     )
 
 
-def flags(rows: DataFrame) -> DataFrame:
-    """`flag_index_impute`.
-
-    Before: 1 index row with a prior event, 2 index row without, 3 prior event.
-    After: 1 index row without a later event, 2 with, 3 later event, 4 the last one.
-    """
-    window = _side_window(rows)
-    index = F.col("period") == c.PERIOD_INDEX
-    alone_before = F.lag("patid").over(window).isNull() & (F.row_number().over(window) == 1)
-    last = F.row_number().over(window) == F.count(F.lit(1)).over(_side_window(rows, ordered=False))
-    before = F.when(index, F.when(alone_before, 2).otherwise(1)).otherwise(3)
-    after = F.when(index, F.when(last, 1).otherwise(2)).otherwise(F.when(last, 4).otherwise(3))
-    return rows.withColumn(
-        "flag_index_impute", F.when(F.col("side") == BEFORE, before).otherwise(after))
-
-
 def clocks(rows: DataFrame, cfg: CohortConfig) -> DataFrame:
     """`obs_time` of each row, in days.
 
@@ -87,17 +76,39 @@ def clocks(rows: DataFrame, cfg: CohortConfig) -> DataFrame:
     """
     span, age = cfg.lookback_days, F.col("age_at_index_d")
     old = age >= span
-    before = F.when(
-        F.col("flag_index_impute") == 3,
-        F.when(old, F.greatest(F.lit(span) - F.abs("time_ad_index_to_ad"), F.lit(0)))
-        .otherwise(F.col("age_at_admit_d")),
-    ).otherwise(F.when(old, F.lit(span)).otherwise(age))
-    born_admitted = (F.col("date_admit") == F.col("dob")) & ~old
-    before = F.when(born_admitted, F.lit(1)).otherwise(before)
+    of_index = F.when(old, F.lit(span)).otherwise(age)
+    of_event = F.when(old, F.greatest(F.lit(span) - F.abs("time_ad_index_to_ad"), F.lit(0))).otherwise(
+        F.col("age_at_admit_d"))
+    before = (
+        F.when((F.col("date_admit") == F.col("dob")) & ~old, F.lit(1))
+        .when(F.col("period") == c.PERIOD_INDEX, of_index)
+        .otherwise(of_event)
+    )
     after = F.datediff("date_admit", "date_dis_index")
     return rows.withColumn("obs_time", F.when(F.col("side") == BEFORE, before).otherwise(after))
 
 
+def neighbours(rows: DataFrame) -> DataFrame:
+    """Previous and next row of the side, and `flag_index_impute` from whether they exist.
+
+    Before: 1 index row with a prior event, 2 index row without, 3 prior event.
+    After: 1 index row without a later event, 2 with, 3 later event, 4 the last one.
+    """
+    window = _side_window(rows)
+    rows = rows.withColumns({
+        "_prev_end": F.lag(F.col("obs_time") + F.col("hospitalization")).over(window),
+        "_next_obs": F.lead("obs_time").over(window),
+        "_next_period": F.lead("period").over(window),
+        "_has_prev": F.lag(F.lit(True)).over(window).isNotNull(),
+        "_has_next": F.lead(F.lit(True)).over(window).isNotNull(),
+    })
+    index, has_prev, has_next = F.col("period") == c.PERIOD_INDEX, F.col("_has_prev"), F.col("_has_next")
+    before = F.when(index, F.when(has_prev, 1).otherwise(2)).otherwise(3)
+    after = F.when(index, F.when(has_next, 2).otherwise(1)).otherwise(F.when(has_next, 3).otherwise(4))
+    return rows.withColumn(
+        "flag_index_impute", F.when(F.col("side") == BEFORE, before).otherwise(after))
+
+
 def _interval(flag: Column, status: Column, obs: Column, start: Column, stop: Column) -> Column:
     return F.struct(
         flag.alias("flag_index_impute"), status.cast("int").alias("status"),
@@ -107,14 +118,8 @@ def _interval(flag: Column, status: Column, obs: Column, start: Column, stop: Co
 
 def risk_intervals(episodes: DataFrame, cfg: CohortConfig) -> DataFrame:
     """All risk intervals of both sides; empty ones and those opened by a death are dropped."""
-    rows = clocks(flags(fold_washout(sides(episodes, cfg), cfg)), cfg)
-    window = _side_window(rows)
+    rows = neighbours(clocks(fold_washout(sides(episodes, cfg), cfg), cfg))
     flag, obs, stay = F.col("flag_index_impute"), F.col("obs_time"), F.col("hospitalization")
-    rows = (
-        rows.withColumn("_prev_end", F.lag(obs + stay).over(window))
-        .withColumn("_next_obs", F.lead(obs).over(window))
-        .withColumn("_next_period", F.lead("period").over(window))
-    )
     is_before = F.col("side") == BEFORE
 
     # Before: the event's own interval, and the tail from the last prior event to the index.

@@ -429,6 +429,36 @@ def oracles(spline_weights=None) -> dict[str, str]:
         "gee_period_only": CRUDE_ALL + """SELECT 'period_only' AS model_id, '(Intercept)' AS term, round(b0, 6) AS beta,
             round(sqrt(v00), 6) AS std_err FROM rob UNION ALL
             SELECT 'period_only', 'after', round(b1, 6), round(sqrt(v00 + v11 - 2 * v01), 6) FROM rob""",
+        "gee_bands_only": FULL + f""",
+            sb AS (SELECT patid, {BAND_CASE} AS band, sum(status)::DOUBLE AS y, sum(n_days) / 365.0::DOUBLE AS t
+                   FROM pw GROUP BY ALL),
+            bt AS (SELECT band, sum(y) AS sy, sum(t) AS st FROM sb WHERE band IS NOT NULL GROUP BY 1),
+            ub AS (SELECT patid, band, (y - sy / st * t) / sy AS u, sy, st FROM sb JOIN bt USING (band)),
+            u1 AS (SELECT patid, u AS u1 FROM ub WHERE band = 1),
+            b1 AS (SELECT sum(u * u) AS v1, any_value(sy / st) AS r1 FROM ub WHERE band = 1)
+            SELECT band, round(ln(any_value(sy / st) / any_value(r1)), 5) AS estimate,
+              round(sqrt(sum(u * u) + any_value(v1) - 2 * sum(u * coalesce(u1, 0))), 5) AS std_err
+            FROM ub LEFT JOIN u1 USING (patid) CROSS JOIN b1 WHERE band > 1 GROUP BY band""",
+        "baseline_characteristics": ALIVE + LABELLED + """,
+            fr AS (SELECT *, row_number() OVER (PARTITION BY patid, period ORDER BY date_admit) AS r FROM lab),
+            f1 AS (SELECT * FROM fr WHERE r = 1),
+            g AS (SELECT DISTINCT period_label FROM lab),
+            cat AS (
+              SELECT 1 AS position, 'sex' AS variable, sex AS level, period_label, count(*) AS n FROM f1 GROUP BY ALL
+              UNION ALL
+              SELECT 3, 'outcome', o.outcome, g.period_label, count(l.patid) FROM g
+                CROSS JOIN (SELECT DISTINCT outcome FROM lab) o
+                LEFT JOIN lab l ON l.outcome = o.outcome AND l.period_label = g.period_label GROUP BY ALL)
+            SELECT 0 AS position, 'Number of patients' AS variable, NULL AS level, period_label, count(*) AS n,
+              NULL::BIGINT AS denominator, NULL::DOUBLE AS percent, NULL::DOUBLE AS q_low, NULL::DOUBLE AS median,
+              NULL::DOUBLE AS q_high FROM f1 GROUP BY period_label
+            UNION ALL
+            SELECT position, variable, level, period_label, n,
+              CAST(sum(n) OVER (PARTITION BY position, period_label) AS BIGINT),
+              round_even(100 * (n::DOUBLE / sum(n) OVER (PARTITION BY position, period_label)), 0), NULL, NULL, NULL FROM cat
+            UNION ALL
+            SELECT 2, 'age', NULL, period_label, count(age), NULL, NULL, round(quantile_cont(age, 0.25), 9),
+              round(quantile_cont(age, 0.5), 9), round(quantile_cont(age, 0.75), 9) FROM lab GROUP BY period_label""",
         "coef_table_period": CRUDE_ALL + f"""SELECT 'after' AS term, round(b1, 6) AS estimate,
             round(sqrt(v00 + v11 - 2 * v01), 6) AS std_err, round(exp(b1), 6) AS exp_estimate,
             round(exp(b1 - {Z} * sqrt(v00 + v11 - 2 * v01)), 6) AS exp_lower,

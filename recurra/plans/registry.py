@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +30,7 @@ TRANSITIVE = CohortConfig(followup_end=star.FOLLOWUP_END, worse_as_dead=True, me
 PREFILTERED = CohortConfig(
     followup_end=star.FOLLOWUP_END, worse_as_dead=True, prefilter_index_subjects=True)
 SCENARIO_ROWS = [Emigration(*row) for row in SCENARIOS]
-MI_ROWS = c.seed_scenarios([11, 23, 37])
+MI_ROWS = c.seed_scenarios([11, 23, 37, 41, 53])
 SWEEP_ROWS = c.rate_scenarios()
 PERIOD = c.PERIOD_ONLY
 
@@ -525,6 +525,13 @@ query("gee_knots_time6")(_model(c.KNOTS_TIME6))
 query("gee_period_only")(_model(PERIOD))
 
 
+@query()
+def gee_bands_only(spark, sf_dir):
+    """The banded model without other terms, next to the crude rates of the same bands."""
+    return rounded(contrasts.band_table(_fit(spark, sf_dir, c.BANDS_ONLY)), 5, "estimate", "std_err").select(
+        "band", "estimate", "std_err")
+
+
 @query()
 def gee_piecewise(spark, sf_dir):
     return rounded(contrasts.band_table(_fit(spark, sf_dir, c.PIECEWISE)), 6,
@@ -569,6 +576,25 @@ def irr_table(spark, sf_dir):
         *(F.round(f"exp_{n}", 6).alias(n) for n in ("estimate", "lower", "upper")))
 
 
+# The curves and tables of all models: specification and last time shown.
+CURVE_ENDS = [(c.MAIN, 10.0), (c.WORSE_ALIVE, 6.0), (c.UNDER13, 6.0), (CALENDAR, 10.0), (c.UNDER4, 2.0),
+              (c.KNOTS_AGE6, 10.0), (c.KNOTS_TIME6, 10.0)]
+
+
+@query()
+def model_curves(spark, sf_dir):
+    curves = [contrasts.irr_curve(_fit(spark, sf_dir, spec), spec, stop=stop) for spec, stop in CURVE_ENDS]
+    return rounded(reduce(DataFrame.unionByName, curves), 6, *ESTIMATES)
+
+
+@query()
+def model_tables(spark, sf_dir):
+    pooled = contrasts.pool_rubin(_fit(spark, sf_dir, c.EMIGRATION_MI))
+    tables = [contrasts.irr_table(_fit(spark, sf_dir, spec), spec) for spec in (c.MAIN, c.WORSE_ALIVE, c.UNDER13)]
+    tables.append(contrasts.irr_table(pooled, c.EMIGRATION_MI))
+    return reduce(DataFrame.unionByName, tables).select("model_id", "position", "label", "irr")
+
+
 @query()
 def scenario_curves(spark, sf_dir):
     store = _fit(spark, sf_dir, c.EMIGRATION_SWEEP)
