@@ -55,6 +55,10 @@ def _episodes(spark, sf_dir, cfg=DEAD) -> DataFrame:
     return derive.derive_episodes(star.admissions(spark, sf_dir), cfg)
 
 
+def _days(spark, sf_dir) -> DataFrame:
+    return derive.admission_days(star.admissions(spark, sf_dir), DEAD)
+
+
 def _intervals(spark, sf_dir) -> DataFrame:
     return timeline.risk_intervals(_episodes(spark, sf_dir), DEAD)
 
@@ -95,8 +99,7 @@ def merge_same_start(spark, sf_dir):
 
 def _resolve(worse_as_dead: bool) -> Query:
     def run(spark, sf_dir):
-        days = derive.admission_days(star.admissions(spark, sf_dir), DEAD)
-        return cleaning.resolve_outcome(days, worse_as_dead).select("patid", "date_admit", "outcome")
+        return cleaning.resolve_outcome(_days(spark, sf_dir), worse_as_dead).select("patid", "date_admit", "outcome")
 
     return run
 
@@ -107,36 +110,35 @@ query("resolve_outcome_1")(_resolve(True))
 
 @query()
 def impute_dob(spark, sf_dir):
-    days = derive.admission_days(star.admissions(spark, sf_dir), DEAD)
-    return cleaning.impute_dob(days).select("patid", "date_admit", "dob", "birthyear")
+    return cleaning.impute_dob(_days(spark, sf_dir)).select("patid", "date_admit", "dob", "birthyear")
 
 
 @query()
 def followup_end(spark, sf_dir):
-    return derive.with_followup(star.admissions(spark, sf_dir), DEAD).select(
+    return derive.with_followup(_days(spark, sf_dir), DEAD).select(
         "patid", "date_admit", "date_dis", "time_at_lastfup", "time_dis_to_lastfup")
 
 
 @query()
 def index_cohort_semi(spark, sf_dir):
-    return derive.cohort(star.admissions(spark, sf_dir), DEAD).select(
+    return derive.cohort(_days(spark, sf_dir), DEAD).select(
         "patid", "date_admit", "icd_m3", "measles", "age_at_admit_d")
 
 
 @query()
 def index_order(spark, sf_dir):
-    return derive.cohort(star.admissions(spark, sf_dir), DEAD).select("patid", "date_admit", "measles_order")
+    return derive.cohort(_days(spark, sf_dir), DEAD).select("patid", "date_admit", "measles_order")
 
 
 @query()
 def gap_days(spark, sf_dir):
-    return ep.gap_days(derive.cohort(star.admissions(spark, sf_dir), DEAD)).select(
+    return ep.gap_days(derive.cohort(_days(spark, sf_dir), DEAD)).select(
         "patid", "date_admit", "tim_diff")
 
 
 def _merge(cfg: CohortConfig) -> Query:
     def run(spark, sf_dir):
-        return derive.merged(star.admissions(spark, sf_dir), cfg).select(
+        return derive.merged(_days(spark, sf_dir), cfg).select(
             "patid", "date_admit", "date_dis", "icd_m3", "measles", "measles_order", "measles_group",
             "age_at_admit_d", "outcome")
 
@@ -156,20 +158,20 @@ def event_chains_transitive(spark, sf_dir):
 
 @query()
 def classify_infection(spark, sf_dir):
-    rows = derive.merged(star.admissions(spark, sf_dir), DEAD)
+    rows = derive.merged(_days(spark, sf_dir), DEAD)
     return ep.classify_infection(rows, DEAD).select("patid", "date_admit", "infection_type")
 
 
 @query()
 def anchor_index(spark, sf_dir):
-    return derive.anchored(star.admissions(spark, sf_dir), DEAD).select(
+    return derive.anchored(_days(spark, sf_dir), DEAD).select(
         "patid", "date_admit", "date_admit_index", "date_dis_index", "age_at_index_d", "hospitalization",
         "time_ad_index_to_ad", "period")
 
 
 @query()
 def exclude_anti(spark, sf_dir):
-    rows = derive.anchored(star.admissions(spark, sf_dir), DEAD)
+    rows = derive.anchored(_days(spark, sf_dir), DEAD)
     return ep.exclude_code(rows, DEAD).select("patid", "date_admit", "icd_m3")
 
 

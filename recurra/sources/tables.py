@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,25 +62,41 @@ NEGLECTED_CODES = ["B57", "B55", "B56", "B65", "B77", "B76", "B79", "B73", "B68"
                    "A90", "A91"]
 
 
+# Bits for the row's place within a task's share of the file, and the smallest distance of file blocks.
+ROW_BITS, BLOCK_BYTES = 33, 1 << 20
+
+
+def file_position() -> Column:
+    """A number that follows the order of the lines in one file.
+
+    The file block comes first, then the row's place in the task that reads the
+    block. A retried task reads the same blocks in the same order, so the
+    numbers stay the same.
+    """
+    block = F.floor(F.col("_metadata.file_block_start") / BLOCK_BYTES)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    return (block * F.lit(1 << ROW_BITS) + place).cast("long")
+
+
 def read_admissions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Admissions with a stated schema, either parquet in our names or CSV with a header.
+    """Admissions with a stated schema: parquet in our names, or one CSV file with a header.
 
-    A CSV must bring a `source_ordinal` column (the line number in the file):
-    Spark reads a file in pieces, so a number made while reading would not
-    survive a retried task, and ties between admissions are broken by it.
+    `source_ordinal` breaks ties between a subject's admissions. Parquet brings
+    it as a column; for a CSV it is the line's position in the file.
     """
     if fmt == "parquet":
         return spark.read.schema(ADMISSION_SCHEMA).parquet(path)
     ours = {name: header for header, name in CSV_NAMES.items()}
     header_schema = T.StructType([
-        T.StructField(ours.get(f.name, f.name), f.dataType) for f in ADMISSION_SCHEMA.fields
+        T.StructField(ours.get(name, name), kind) for name, kind in ADMISSION_FIELDS
     ])
     # enforceSchema=false checks the header instead of trusting the column order.
     rows = (
         spark.read.schema(header_schema).option("header", True).option("enforceSchema", False)
         .option("nullValue", "NA").csv(path)
     )
-    return rows.withColumnsRenamed(CSV_NAMES)
+    numbered = rows.select(file_position().alias("source_ordinal"), "*")
+    return numbered.withColumnsRenamed(CSV_NAMES).select(*ADMISSION_SCHEMA.fieldNames())
 
 
 def read_mortality(spark: SparkSession, path: str) -> DataFrame:

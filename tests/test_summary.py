@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recurra import config as c
 from recurra.functions.columns import clamp_year, cut, fill_category, recode, relabel
-from recurra.operators import ranking, scenarios, summary
+from recurra.operators import cleaning, ranking, scenarios, summary
 from recurra.plans import derive, report
 from recurra.sources import tables
 from tests.helpers import CFG, adm, admissions, day, dicts
@@ -130,11 +130,27 @@ def test_repeat_rows_reach_the_reason_table_only_without_their_mark(spark):
 
 
 def test_csv_readers(spark, tmp_path):
-    header = ("source_ordinal,iduse,sex,dob,birthyear,date.admit,date.dis,diagnosis.m3,diagnosis.en,icd.main,"
+    header = ("iduse,sex,dob,birthyear,date.admit,date.dis,diagnosis.m3,diagnosis.en,icd.main,"
               "icd.m3,outcome,ward,district,province\n")
-    (tmp_path / "a.csv").write_text(header + "0,7,male,NA,2000,2006-01-01,2006-01-03,x,y,B05.1,B05,NA,w,d,p\n")
-    row = tables.read_admissions(spark, str(tmp_path / "a.csv"), "csv").first()
-    assert (row.patid, row.dob, row.date_dis, row.icd_m3, row.outcome) == (7, None, dt.date(2006, 1, 3), "B05", None)
+    lines = [f"{n % 7},male,NA,2000,2006-01-01,2006-01-03,x,line {n},B05.1,B05,NA,w,d,p\n" for n in range(60000)]
+    (tmp_path / "a.csv").write_text(header + "".join(lines))
+    rows = tables.read_admissions(spark, str(tmp_path / "a.csv"), "csv")
+    assert rows.schema == tables.ADMISSION_SCHEMA
+    first = rows.first()
+    assert (first.patid, first.dob, first.date_dis, first.icd_m3, first.outcome) == (
+        0, None, dt.date(2006, 1, 3), "B05", None)
+    # The numbers follow the lines, also where several tasks read the file.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1m")
+    try:
+        rows = tables.read_admissions(spark, str(tmp_path / "a.csv"), "csv")
+        assert rows.rdd.getNumPartitions() > 2
+        ordered = [r.diagnosis_en for r in rows.orderBy("source_ordinal").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert ordered == [f"line {n}" for n in range(60000)]
+    assert cleaning.dedupe_exact(rows.select(tables.CORE_COLUMNS)).orderBy("patid").first().diagnosis_en == "line 59997"
     (tmp_path / "m.csv").write_text(
         "Location,Year,Age,Cause of death or injury,Value,Lower bound,Upper bound\n"
         "World Bank Low Income,2015,<5 years,Enteric infections,2.0,1.0,3.0\n"
