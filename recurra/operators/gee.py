@@ -173,16 +173,16 @@ class ModelStore:
 
     def nested(self) -> DataFrame:
         """One row per model: terms, beta and the covariance as rows; aliased terms count as 0."""
-        beta = self.coef.groupBy("model_id").agg(
-            F.sort_array(F.collect_list(F.struct("term_idx", "term", "beta"))).alias("b"))
+        beta = F.struct("term_idx", "term", F.coalesce("beta", F.lit(0.0)).alias("beta"))
         row = self.vcov.groupBy("model_id", "i").agg(
             F.sort_array(F.collect_list(F.struct("j", "v"))).alias("r"))
-        matrix = row.groupBy("model_id").agg(
-            F.sort_array(F.collect_list(F.struct("i", F.col("r.v").alias("v")))).alias("m"))
-        return beta.join(matrix, "model_id").select(
-            "model_id", F.col("b.term").alias("terms"),
-            F.transform("b.beta", lambda v: F.coalesce(v, F.lit(0.0))).alias("beta"),
-            F.col("m.v").alias("vcov"))
+        row = row.select("model_id", F.struct("i", F.col("r.v").alias("v")).alias("m"))
+        # Both kinds of rows meet in one grouping; collect_list passes over the NULLs.
+        both = self.coef.select("model_id", beta.alias("b")).unionByName(row, allowMissingColumns=True)
+        models = both.groupBy("model_id").agg(
+            F.sort_array(F.collect_list("b")).alias("b"), F.sort_array(F.collect_list("m")).alias("m"))
+        return models.select(
+            "model_id", F.col("b.term").alias("terms"), F.col("b.beta").alias("beta"), F.col("m.v").alias("vcov"))
 
     def only(self, *model_ids: str) -> ModelStore:
         keep = F.col("model_id").isin(list(model_ids))

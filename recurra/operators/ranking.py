@@ -16,12 +16,21 @@ from pyspark.sql import functions as F
 CELLS = 256
 
 
-def ranked_values(df: DataFrame, value: str, by: Sequence[str] = (), cells: int = CELLS) -> DataFrame:
-    """Per group and distinct value: `n` rows, `below` rows with a smaller value, `total` rows."""
+def ranked_values(
+    df: DataFrame, value: str, by: Sequence[str] = (), cells: int = CELLS, weight: str | None = None
+) -> DataFrame:
+    """Per group and distinct value: `n` rows, `below` rows with a smaller value, `total` rows.
+
+    A missing value weighs nothing, but keeps its group in the result. `weight`
+    names a column of row counts if the rows are counts already.
+    """
     by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = df.groupBy(*by, value).agg(rows.alias("n")).withColumn(
+        "n", F.when(F.col(value).isNull(), 0).otherwise(F.col("n")))
     fractions = [i / cells for i in range(1, cells)]
-    cuts = F.percentile_approx(value, fractions, 20 * cells).alias("_cuts")
+    # Reading n keeps this use of the counts the same as the next, so they are computed once.
+    cuts = F.percentile_approx(F.when(F.col("n") > 0, F.col(value)), fractions, 20 * cells).alias("_cuts")
     if by:
         splits = counts.groupBy(*by).agg(cuts)
         placed = _join_by(counts, splits, by, ["_cuts"])
@@ -50,7 +59,14 @@ def _join_by(left: DataFrame, right: DataFrame, keys: list[str], values: list[st
 def exact_quantiles(
     df: DataFrame, value: str, by: Sequence[str], probs: dict[str, float], cells: int = CELLS
 ) -> DataFrame:
-    """Linearly interpolated quantiles (type 7); one column per entry of `probs`."""
+    """Quantiles of the groups that have a value; one column per entry of `probs`."""
+    return counted_quantiles(df, value, by, probs, cells).where("n > 0").drop("n")
+
+
+def counted_quantiles(
+    df: DataFrame, value: str, by: Sequence[str], probs: dict[str, float], cells: int = CELLS
+) -> DataFrame:
+    """Of every group, non-missing count `n` and linearly interpolated quantiles (type 7)."""
     ranked = ranked_values(df, value, by, cells)
 
     def at(position):
@@ -62,7 +78,7 @@ def exact_quantiles(
         h = (F.col("total") - 1) * F.lit(float(p))
         spans += [at(F.floor(h)).alias(f"_{name}_lo"), at(F.ceil(h)).alias(f"_{name}_hi")]
     grouped = ranked.groupBy(*by).agg(*spans, F.max("total").alias("_total"))
-    result = []
+    result = [F.col("_total").alias("n")]
     for name, p in probs.items():
         h = (F.col("_total") - 1) * F.lit(float(p))
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recurra.functions.stats import chi2_p
-from recurra.operators.ranking import _join_by, exact_quantiles, ranked_values
+from recurra.operators.ranking import _join_by, counted_quantiles, ranked_values
 
 POOLED = "All patients"
 MODES = {
@@ -42,9 +42,7 @@ def summarize_continuous(
     rows = df.where(F.col(group).isNotNull()).select(group, var)
     if pooled:
         rows = with_pooled(rows, group)
-    sizes = rows.groupBy(group).agg(F.count(var).alias("n"))
-    quantiles = exact_quantiles(rows, var, [group], MODES[mode])
-    return sizes.join(quantiles, group, "left")
+    return counted_quantiles(rows, var, [group], MODES[mode])
 
 
 def summarize_categorical(
@@ -96,10 +94,9 @@ def baseline_table(
 
 def kruskal_h(df: DataFrame, var: str, group: str) -> DataFrame:
     """Kruskal-Wallis H with tie correction, degrees of freedom and p-value."""
-    rows = df.where(F.col(group).isNotNull() & F.col(var).isNotNull()).select(group, var)
-    ranked = ranked_values(rows, var)
-    cells = rows.groupBy(group, var).agg(F.count(F.lit(1)).alias("_members"))
-    cells = _join_by(cells, ranked, [var], ["n", "below", "total"])
+    rows = df.where(F.col(group).isNotNull() & F.col(var).isNotNull())
+    counts = rows.groupBy(group, var).agg(F.count(F.lit(1)).alias("_members"))
+    cells = _join_by(counts, ranked_values(counts, var, weight="_members"), [var], ["n", "below", "total"])
     average_rank = F.col("below") + (F.col("n") + 1) / F.lit(2.0)
     per_group = cells.groupBy(group).agg(
         F.sum(F.col("_members") * average_rank).alias("rank_sum"),
