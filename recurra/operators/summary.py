@@ -72,14 +72,19 @@ def is_categorical(df: DataFrame, var: str) -> bool:
 
 def baseline_table(
     df: DataFrame, variables: Sequence[str], group: str, groups: Sequence[str],
-    mode: str = "med.IQR", pooled: bool = False,
+    mode: str = "med.IQR", pooled: bool = False, cont: dict[str, bool] | None = None,
 ) -> DataFrame:
-    """Summaries of several variables, stacked: one row per variable, level and group."""
+    """Summaries of several variables, stacked: one row per variable, level and group.
+
+    `cont` states which variables are continuous; for others a job counts the distinct values.
+    """
+    cont = cont or {}
     rows = df.where(F.col(group).isin(list(groups)))
     quantile_names = list(MODES[mode])
     parts = []
     for position, var in enumerate(variables, start=1):
-        if is_categorical(rows, var):
+        categorical = not cont[var] if var in cont else is_categorical(rows, var)
+        if categorical:
             part = summarize_categorical(rows, var, group, groups, pooled).select(
                 "level", group, "n", "denominator", "percent",
                 *(F.lit(None).cast("double").alias(q) for q in quantile_names))

@@ -87,8 +87,9 @@ def baseline_characteristics(episodes: DataFrame) -> DataFrame:
         F.lit(None).cast("bigint").alias("denominator"), F.lit(None).cast("double").alias("percent"),
         *(F.lit(None).cast("double").alias(q) for q in summary.MODES["med.IQR"]))
     sex = summary.baseline_table(first, ["sex"], "period_label", groups)
-    others = summary.baseline_table(rows, ["age", "outcome"], "period_label", groups).withColumn(
-        "position", F.col("position") + 1)
+    others = summary.baseline_table(
+        rows, ["age", "outcome"], "period_label", groups, cont={"age": True},
+    ).withColumn("position", F.col("position") + 1)
     return subjects.unionByName(sex).unionByName(others)
 
 
