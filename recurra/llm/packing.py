@@ -29,9 +29,6 @@ FAN_IN = 32
 #: A bin with less room than this part of the capacity counts as full when its task ends.
 FULL = 1 / 256
 
-#: Text bytes whose new words are tokenised together.
-ENCODE_BYTES = 4 << 20
-
 _FIELDS = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_())]
 _SCHEMA = "piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean"
 
@@ -128,15 +125,16 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
 
         def placed() -> Iterator[tuple]:
             nonlocal field
-            for block in blocks(batches, "__text", ENCODE_BYTES):
+            for block in blocks(batches, "__text"):
                 field = block.schema.field(0)
-                for doc, ids in zip(block.column(0).to_pylist(), tokenizer.encode([t or "" for t in block.column(1).to_pylist()]), strict=True):
-                    ids += end
+                for doc, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
+                    ids = tokenizer.encode(text or "") + end
                     for i in range(0, len(ids), size):
                         raw = ids[i : i + size]
                         yield from packer.put((doc, i // size, i // 4, len(raw) // 4, zlib.crc32(raw)))
             yield from packer.finish(False)
 
+        # The field is known once the first row is there.
         held = []
         for row in placed():
             held.append(row)
