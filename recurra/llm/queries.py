@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from recurra.llm import bpe, packing
-from recurra.llm.common import table
+from recurra.llm import bpe, langid, packing, quality
+from recurra.llm.common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,12 +19,29 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from three folds in four."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = (id_remainder("doc_id", 4) == 2).alias("held_out")
+    model = langid.train(docs.where(~held_out))
+    return langid.predict(docs, model, carry=[held_out])
+
+
+def op8_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learnt from labels of two folds in three."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = id_remainder("doc_id", 3) == 1
+    model = quality.train(docs, labels.where(~held_out))
+    scored = quality.score(docs, model, carry=[held_out.alias("held_out")])
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op3_bpe_round_trip, op9_best_fit_packing)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op3_bpe_round_trip, op6_language_id, op8_quality_votes, op9_best_fit_packing)}
 
 #: DuckDB twins, where SQL can express the result.
 ORACLES: dict[str, str] = {}
