@@ -8,12 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recurra.llm import bpe, langid, packing, quality
+from recurra.llm import bpe, langid, packing, pivots, quality, sharding
 from recurra.llm.common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of at most 1 MiB."""
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op2_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate embeddings within each label."""
+    return pivots.link(table(spark, sf_dir, "embeddings"))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, and decoded again."""
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -41,7 +51,25 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op3_bpe_round_trip, op6_language_id, op8_quality_votes, op9_best_fit_packing)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_extendible_shards, op2_pivot_index, op3_bpe_round_trip, op6_language_id, op8_quality_votes, op9_best_fit_packing)}
 
 #: DuckDB twins, where SQL can express the result.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_extendible_shards": f"""
+        WITH hashed AS (
+            SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
+                   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+            FROM documents),
+        tried AS (
+            SELECT doc_id, n_bytes, h, depth,
+                   sum(n_bytes) OVER (PARTITION BY depth, h >> (60 - depth)) AS shard_bytes,
+                   count(*) OVER (PARTITION BY depth, h >> (60 - depth)) AS shard_rows
+            FROM hashed, (SELECT unnest(range(0, 61)) AS depth)),
+        fitting AS (
+            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS nth
+            FROM tried WHERE shard_bytes <= {sharding.LIMIT_BYTES} OR shard_rows = 1)
+        SELECT doc_id, n_bytes,
+               CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - depth)), CAST(depth AS INT), '0') END AS shard,
+               CAST(depth AS INT) AS depth, CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_rows
+        FROM fitting WHERE nth = 1""",
+}
