@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from recurra.llm.common import prepare, written
 from recurra.llm.components import components
 
-#: Pivots: the distinct vectors first in the order of a hash of their components, at most this many.
+#: Pivots at most. They are taken from four times as many distinct vectors, first in the order of a hash of
+#: their components, leaving out those close to one taken before: a crowd of near copies gets few pivots,
+#: since its members would rank many of them at random.
 PIVOTS = 256
+APART = 0.9
 #: Pivots that describe a vector, and how many of them two candidates share at least.
 NEAREST = 10
 SHARED = 3
@@ -35,6 +38,16 @@ def _unit(raw: list[bytes], dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _apart(sample: np.ndarray, n: int) -> np.ndarray:
+    close = sample @ sample.T > APART
+    free, taken = np.ones(len(sample), bool), []
+    for i in range(len(sample)):
+        if free[i] and len(taken) < n:
+            taken.append(i)
+            free &= ~close[i]
+    return sample[taken]
+
+
 def _smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of n nodes the smallest node that the links (a, b) lead to."""
     root = np.arange(n)
@@ -65,11 +78,11 @@ def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", l
     usable = F.coalesce((F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vector, lambda x: x != 0), F.lit(False)) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
     rows = written(df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.when(usable, vector).alias("v")), "vectors")
     nodes = written(rows.where("v is not null").groupBy("label", "v").agg(F.min("row").alias("node"), F.count("*").alias("weight")), "nodes")
-    found = nodes.groupBy("v").agg(F.lit(1)).orderBy(F.xxhash64("v"), "v").limit(n_pivots).select("v").collect()
+    found = nodes.groupBy("v").agg(F.lit(1)).orderBy(F.xxhash64("v"), "v").limit(4 * n_pivots).select("v").collect()
     by_dim: dict[int, list] = {}
     for r in found:
-        by_dim.setdefault(len(r.v), []).append(r.v)
-    pivots = spark.sparkContext.broadcast({d: _unit([np.array(x, "<f8").tobytes() for x in v], d) for d, v in by_dim.items()})
+        by_dim.setdefault(len(r.v), []).append(np.array(r.v, "<f8").tobytes())
+    pivots = spark.sparkContext.broadcast({d: _apart(_unit(v, d), n_pivots) for d, v in by_dim.items()})
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pivots.value
