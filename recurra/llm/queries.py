@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recurra.llm import bpe, langid, packing, pivots, quality, sharding
+from recurra.llm import bpe, langid, packing, pii, pivots, quality, sharding
 from recurra.llm.common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,13 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("strict", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.as_text("strict"), 256).alias("base_sha256"), pii.as_text("spans").alias("spans"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from three folds in four."""
     docs = table(spark, sf_dir, "documents")
@@ -51,7 +58,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_extendible_shards, op2_pivot_index, op3_bpe_round_trip, op6_language_id, op8_quality_votes, op9_best_fit_packing)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_extendible_shards, op2_pivot_index, op3_bpe_round_trip, op4_pii_boosting, op6_language_id, op8_quality_votes, op9_best_fit_packing)}
 
 #: DuckDB twins, where SQL can express the result.
 ORACLES: dict[str, str] = {
