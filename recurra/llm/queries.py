@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recurra.llm import bpe, langid, packing, pii, pivots, quality, sharding
+from recurra.llm import bpe, langid, packing, parsing, pii, pivots, quality, sharding
 from recurra.llm.common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,7 +58,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_extendible_shards, op2_pivot_index, op3_bpe_round_trip, op4_pii_boosting, op6_language_id, op8_quality_votes, op9_best_fit_packing)}
+def op10_parsing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return parsing.with_neighbours(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_extendible_shards, op2_pivot_index, op3_bpe_round_trip, op4_pii_boosting, op6_language_id, op8_quality_votes, op9_best_fit_packing, op10_parsing_fingerprints)}
 
 #: DuckDB twins, where SQL can express the result.
 ORACLES: dict[str, str] = {
