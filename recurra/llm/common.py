@@ -139,14 +139,14 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     whole = np.zeros(n, U64)
     for j in range(k):
         whole += word[j : n + j] * steps[j]
-    whole = mix(whole + U64(k) * U64(_MULT))
+    salts = np.arange(k + 1, dtype=U64) * U64(_MULT)
+    whole = mix(whole + salts[k])
     out = []
     for end, count in zip(ends.tolist(), counts.tolist(), strict=True):
         if count >= k:
             out.append(np.unique(whole[end - count : end - k + 1]))
         elif count:
-            short = (word[end - count : end] * steps[:count]).sum(dtype=U64) + U64(count) * U64(_MULT)
-            out.append(mix(np.array([short], U64)))
+            out.append(mix((word[end - count : end] * steps[:count]).sum(dtype=U64, keepdims=True) + salts[count]))
         else:
             out.append(np.empty(0, U64))
     return out

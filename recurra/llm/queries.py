@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recurra.llm import bpe, langid, packing, parsing, pii, pivots, quality, sharding
+from recurra.llm import bpe, jaccard, langid, packing, parsing, pii, pivots, quality, sharding
 from recurra.llm.common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, carry=[held_out])
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose four-word shingles are similar by 85 per cent."""
+    return jaccard.join(table(spark, sf_dir, "documents"), 4, 85)
+
+
 def op8_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, learnt from labels of two folds in three."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -63,7 +68,7 @@ def op10_parsing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.with_neighbours(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_extendible_shards, op2_pivot_index, op3_bpe_round_trip, op4_pii_boosting, op6_language_id, op8_quality_votes, op9_best_fit_packing, op10_parsing_fingerprints)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_extendible_shards, op2_pivot_index, op3_bpe_round_trip, op4_pii_boosting, op6_language_id, op7_jaccard_join, op8_quality_votes, op9_best_fit_packing, op10_parsing_fingerprints)}
 
 #: DuckDB twins, where SQL can express the result.
 ORACLES: dict[str, str] = {
