@@ -15,18 +15,18 @@ matter; where they fill up they let everything through, and results stay the sam
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recurra.llm.common import U64, blocks, mix, prepare, release, shingle_sets, sum_vectors, written
 from recurra.llm.components import components
+from recurra.llm.twice import has, met_twice
 
 #: Cells of the count sketch, bits of the set of shared prefix shingles and of the set of candidate nodes, as powers of two.
 SKETCH, SHARED, NODES = 19, 26, 23
@@ -85,43 +85,6 @@ def _bits_of(df: DataFrame, column: str, power: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _has(bits: np.ndarray, values: np.ndarray, power: int) -> np.ndarray:
-    low = (values & U64((1 << power) - 1)).astype(np.int64)
-    return (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
-
-
-def _met_twice(rows: DataFrame, prefixes: Callable, power: int) -> np.ndarray:
-    """A bit set of the prefix shingles that more than one node may have; tasks merge compressed bit sets in two rounds."""
-    size = 1 << (power - 3)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
-        for _, shingles, _, _ in prefixes(batches):
-            low = np.unique((shingles & U64((1 << power) - 1)).astype(np.int64))
-            at, bit = low >> 3, np.left_shift(1, low & 7).astype(np.uint8)
-            again = (once[at] & bit) > 0
-            np.bitwise_or.at(twice, at[again], bit[again])
-            np.bitwise_or.at(once, at, bit)
-        yield packed(TaskContext.get().partitionId(), once, twice)
-
-    def packed(part: int, once: np.ndarray, twice: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([zlib.compress(once, 1)], pa.binary()), pa.array([zlib.compress(twice, 1)], pa.binary())], names=["part", "once", "twice"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
-        for batch in batches:
-            for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                a = np.frombuffer(zlib.decompress(a), np.uint8)
-                twice |= np.frombuffer(zlib.decompress(b), np.uint8) | (once & a)
-                once |= a
-        yield packed(0, once, twice)
-
-    schema = "part long, once binary, twice binary"
-    few = rows.mapInArrow(mark, schema).repartition(16, F.col("part") % 16).mapInArrow(merge, schema)
-    last = few.coalesce(1).mapInArrow(merge, schema).select("twice").collect()
-    return np.frombuffer(zlib.decompress(last[0][0]), np.uint8) if last else np.zeros(size, np.uint8)
-
-
 def _similar(rows: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     spark = rows.sparkSession
@@ -131,7 +94,7 @@ def _similar(rows: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, bits = _Sets(words), wanted.value
         for block in blocks(batches, "__text"):
-            found = [(node, s) for node, s in kept.fresh(block.column(0)) if _has(bits, np.array([node]).astype(U64), NODES)[0]]
+            found = [(node, s) for node, s in kept.fresh(block.column(0)) if has(bits, np.array([node]).astype(U64), NODES)[0]]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1].tobytes() for f in found], pa.binary())], names=["node", "shingles"])
 
     known = written(rows.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
@@ -157,11 +120,38 @@ def _similar(rows: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
 def join(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row: the components of documents similar by at least `percent`.
 
+    See `groups` for what the components are.
+    """
+    found = groups(df, words, percent, id_col, text_col)
+    smallest = found.where("component is not null").groupBy("component").agg(F.min("id").alias("smallest"))
+    together = found.where("component is not null").join(smallest, "component").select("id", "n_shingles", F.col("smallest").alias("component_id"))
+    out = together.unionAll(found.where("component is null").select("id", "n_shingles", F.col("id").alias("component_id")))
+    return out.withColumnRenamed("id", id_col)
+
+
+def keep_one(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with one document of each component: the one with the smallest id (a null is larger), then by text.
+
+    Rows without words link with nothing and all stay.
+    """
+    found = groups(df, words, percent, id_col, text_col)
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
+    first = found.where("component is not null").groupBy("component").agg(F.min(place).alias("first")).select(F.col("first.id").alias("__id"), F.col("first.text_hash").alias("__hash"), F.lit(False).alias("__alone"))
+    alone = found.where("component is null").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.lit(True).alias("__alone")).distinct()
+    hashed = df.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    kept = hashed.join(first.unionAll(alone), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")))
+    nth = F.row_number().over(Window.partitionBy(id_col, "__h").orderBy(F.lit(0)))
+    return kept.withColumn("__nth", nth).where("__alone or __nth = 1").select(*df.columns)
+
+
+def groups(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_hash, n_shingles, component) for every row; the component is any number, and null where nothing can link.
+
     The set of a document holds the distinct `words`-word shingles of its lower-cased
     words (A-Z; separated by space and characters 9 to 13); with fewer words the whole
     sequence is one. Documents link when 100 * intersection >= percent * union;
     component_id is the smallest id reachable. A null text, or one without words, has
-    no shingles and its own id as component. Equal sets always link. Null ids and
+    no shingles and links with nothing (component_id: its own id). Equal sets always link. Null ids and
     repeated rows are kept (a null is no smallest id unless there is no other); an
     empty table gives no rows; other columns are ignored. Shingles and sets are
     compared by 64-bit hashes.
@@ -176,18 +166,18 @@ def join(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_c
             for s in sets:
                 # Shingles are distinct but cells may repeat.
                 np.add.at(total, (s >> U64(64 - SKETCH)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.binary())], names=["id", "n_shingles", "node", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.binary())], names=["id", "text_hash", "n_shingles", "node", "part", "counts"])
         none = pa.nulls(1, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, id_arrow), none, none, pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["id", "n_shingles", "node", "part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, id_arrow), none, none, none, pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["id", "text_hash", "n_shingles", "node", "part", "counts"])
 
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"))
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
     id_type = docs.schema["id"].dataType.simpleString()
     id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-    sized = written(docs.mapInArrow(size_up, f"id {id_type}, n_shingles long, node long, part long, counts binary"), "sized")
+    sized = written(docs.mapInArrow(size_up, f"id {id_type}, text_hash long, n_shingles long, node long, part long, counts binary"), "sized")
     sketch = sum_vectors(sized.where("counts is not null").select(F.lit("all").alias("name"), "part", "counts"), "name", 16).get("all")
-    narrow = sized.where("counts is null").select("id", "n_shingles", "node")
+    narrow = sized.where("counts is null").select("id", "text_hash", "n_shingles", "node")
     if sketch is None:
-        return narrow.select(F.col("id").alias(id_col), "n_shingles", F.col("id").alias("component_id"))
+        return narrow.select("id", "text_hash", "n_shingles", F.lit(None).cast("long").alias("component"))
     shared: Broadcast = spark.sparkContext.broadcast(np.minimum(sketch, np.iinfo(np.int32).max).astype(np.int32))
     noise = float(sketch.mean())
 
@@ -197,7 +187,7 @@ def join(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_c
             for node, s in kept.fresh(block.column(0)):
                 yield node, *prefix(s, counts, noise, percent), len(s)
 
-    twice = spark.sparkContext.broadcast(_met_twice(texts, prefixes, SHARED))
+    twice = spark.sparkContext.broadcast(met_twice(texts, lambda batches: (p[1] for p in prefixes(batches)), SHARED)[0])
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, np.ndarray, int, int]] = []
@@ -208,7 +198,7 @@ def join(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_c
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "node", "n", "need"])
 
         for node, shingles, need, n in prefixes(batches):
-            held.append((node, shingles[_has(twice.value, shingles, SHARED)], need, n))
+            held.append((node, shingles[has(twice.value, shingles, SHARED)], need, n))
             if len(held) == 1024:
                 yield out()
                 held = []
@@ -236,10 +226,10 @@ def join(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_c
     one = lists.select("shingle", F.struct("node", "n", "need").alias("x"))
     first = written(candidates(one.join(ends, "shingle").where("x.node != end.node").select(*paired("x", "end"))), "candidates")
     similar = _similar(texts, first, words, percent)
-    groups = components(similar, "a", "b")
+    found = components(similar, "a", "b")
     # What is left: pairs of one list, in different components, neither of them compared with the other yet.
     many = ends.select("shingle").distinct()
-    placed = one.join(many, "shingle", "left_semi").join(groups.select(F.col("node").alias("of"), "component"), F.col("x.node") == F.col("of"), "left").select("shingle", "x", F.coalesce("component", F.col("x.node")).alias("c"))
+    placed = one.join(many, "shingle", "left_semi").join(found.select(F.col("node").alias("of"), "component"), F.col("x.node") == F.col("of"), "left").select("shingle", "x", F.coalesce("component", F.col("x.node")).alias("c"))
     mixed = placed.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("shingle")
     placed = written(placed.join(mixed, "shingle", "left_semi"), "placed")
     other = placed.select("shingle", F.col("x").alias("y"), F.col("c").alias("d"))
@@ -248,10 +238,6 @@ def join(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_c
     links = similar
     if not second.isEmpty():
         links = similar.unionAll(_similar(texts, second, words, percent))
-        groups = components(links, "a", "b")
-    named = narrow.join(groups, "node", "left").select("id", "n_shingles", F.coalesce("component", "node").alias("component"))
-    named = named.withColumn("alone", F.col("n_shingles") == 0)
-    smallest = named.where("not alone").groupBy("component").agg(F.min("id").alias("smallest"))
-    together = named.where("not alone").join(smallest, "component").select("id", "n_shingles", F.col("smallest").alias("component_id"))
-    out = together.unionAll(named.where("alone").select("id", "n_shingles", F.col("id").alias("component_id")))
-    return out.withColumnRenamed("id", id_col)
+        found = components(links, "a", "b")
+    named = narrow.join(found, "node", "left")
+    return named.select("id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("component"))

@@ -187,3 +187,16 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
     return rows.mapInArrow(run, f"{kept}, score double")
+
+
+def keep(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows whose text scores at least `threshold`, with all their columns. A null text scores as an empty one."""
+    spark = prepare(df.sparkSession)
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, text_col):
+            good = vote(shared.value, term_counts(block.column(text_col))) >= threshold
+            yield block.filter(pa.array(good))
+
+    return df.mapInArrow(run, df.schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recurra.llm import bpe, jaccard, langid, packing, parsing, pii, pivots, quality, sharding
+from recurra.llm import bpe, jaccard, langid, packing, parsing, pii, pivots, quality, sharding, suffixes
 from recurra.llm.common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,11 @@ def op4_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.as_text("strict"), 256).alias("base_sha256"), pii.as_text("spans").alias("spans"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 bytes that an earlier document has, removed from every document."""
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from three folds in four."""
     docs = table(spark, sf_dir, "documents")
@@ -68,7 +73,7 @@ def op10_parsing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.with_neighbours(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_extendible_shards, op2_pivot_index, op3_bpe_round_trip, op4_pii_boosting, op6_language_id, op7_jaccard_join, op8_quality_votes, op9_best_fit_packing, op10_parsing_fingerprints)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_extendible_shards, op2_pivot_index, op3_bpe_round_trip, op4_pii_boosting, op5_suffix_dedup, op6_language_id, op7_jaccard_join, op8_quality_votes, op9_best_fit_packing, op10_parsing_fingerprints)}
 
 #: DuckDB twins, where SQL can express the result.
 ORACLES: dict[str, str] = {
