@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -157,9 +158,9 @@ def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
 
 
 def sum_vectors(df: DataFrame, key: str, tasks: int = 64) -> dict:
-    """Sum binary vectors of 64-bit counts by key: rows (key, part, counts) become one vector per key on the driver.
+    """Sum compressed vectors (zlib) of 64-bit counts by key: rows (key, part, counts) become one vector per key on the driver.
 
-    Partial sums stream through two rounds of tasks, so no task holds more than one vector per key.
+    Vectors travel compressed. Partial sums stream through two rounds of tasks, so no task holds more than one vector per key.
     The caller bounds the number of keys and the length of the vectors.
     """
     schema = df.select(key, "counts").schema
@@ -168,14 +169,14 @@ def sum_vectors(df: DataFrame, key: str, tasks: int = 64) -> dict:
         total: dict = {}
         for batch in batches:
             for k, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                v = np.frombuffer(v.as_buffer(), np.int64)
+                v = np.frombuffer(zlib.decompress(v.as_buffer()), np.int64)
                 total[k] = total[k] + v if k in total else v.copy()
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(total, batch.schema.field(0).type), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=[key, "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(total, batch.schema.field(0).type), pa.array([zlib.compress(v, 1) for v in total.values()], pa.binary())], names=[key, "counts"])
 
     salted = df.repartition(tasks, F.col(key), F.col("part") % tasks).select(key, "counts")
     once = salted.mapInArrow(add, schema).repartition(key).mapInArrow(add, schema)
-    return {r[0]: np.frombuffer(r[1], np.int64) for r in once.collect()}
+    return {r[0]: np.frombuffer(zlib.decompress(r[1]), np.int64) for r in once.collect()}
 
 
 def quiet_tokenizers() -> None:

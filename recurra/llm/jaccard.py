@@ -15,13 +15,14 @@ matter; where they fill up they let everything through, and results stay the sam
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recurra.llm.common import U64, blocks, mix, prepare, release, shingle_sets, sum_vectors, written
@@ -29,7 +30,7 @@ from recurra.llm.components import components
 from recurra.llm.twice import has, met_twice
 
 #: Cells of the count sketch, bits of the set of shared prefix shingles and of the set of candidate nodes, as powers of two.
-SKETCH, SHARED, NODES = 19, 26, 23
+SKETCH, SHARED, NODES = 22, 26, 23
 #: The most shared shingles that a set may ask for.
 MOST = 8
 #: Shingles of a set that are compared in the time that one entry of a list takes.
@@ -54,6 +55,7 @@ def prefix(shingles: np.ndarray, sketch: np.ndarray, noise: float, percent: int)
     n = len(shingles)
     needed = -(-percent * n // 100)
     ordered, frequency = _ordered(shingles, sketch, noise)
+    # Cost of each m: entries read, and sets compared.
     read = np.cumsum(frequency)
     m = np.arange(1, min(MOST, needed) + 1)
     entries = read[n - needed + m - 1]
@@ -168,7 +170,7 @@ def groups(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text
                 np.add.at(total, (s >> U64(64 - SKETCH)).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.binary())], names=["id", "text_hash", "n_shingles", "node", "part", "counts"])
         none = pa.nulls(1, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, id_arrow), none, none, none, pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["id", "text_hash", "n_shingles", "node", "part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, id_arrow), none, none, none, pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([zlib.compress(total, 1)], pa.binary())], names=["id", "text_hash", "n_shingles", "node", "part", "counts"])
 
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
     id_type = docs.schema["id"].dataType.simpleString()
@@ -194,37 +196,49 @@ def groups(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text
 
         def out() -> pa.RecordBatch:
             sizes = [len(h[1]) for h in held]
-            columns = [np.concatenate([h[1] for h in held]).astype(np.int64), np.repeat(np.array([h[0] for h in held], np.int64), sizes), np.repeat(np.array([h[3] for h in held], np.int32), sizes), np.repeat(np.array([h[2] for h in held], np.int32), sizes)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "node", "n", "need"])
+            columns = [np.concatenate([h[1] for h in held]).astype(np.int64), np.repeat(np.array([h[0] for h in held], np.int64), sizes), np.repeat(np.array([h[3] for h in held], np.int32), sizes), np.repeat(np.array([h[2] for h in held], np.int32), sizes), np.concatenate([h[4] for h in held]).astype(np.int32)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "node", "n", "need", "at"])
 
         for node, shingles, need, n in prefixes(batches):
-            held.append((node, shingles[has(twice.value, shingles, SHARED)], need, n))
+            at = np.flatnonzero(has(twice.value, shingles, SHARED))
+            held.append((node, shingles[at], need, n, at))
             if len(held) == 1024:
                 yield out()
                 held = []
         if held:
             yield out()
 
-    lists = written(texts.mapInArrow(postings, "shingle long, node long, n int, need int"), "postings")
-    entry = F.struct("node", "n", "need")
+    lists = written(texts.mapInArrow(postings, "shingle long, node long, n int, need int, at int"), "postings")
+    entry = F.struct("node", "n", "need", "at")
     ends = lists.groupBy("shingle").agg(F.min(entry).alias("first"), F.max(entry).alias("last")).where("first.node < last.node")
     ends = written(ends.select("shingle", F.explode(F.array("first", "last")).alias("end")), "ends")
 
-    def candidates(met: DataFrame) -> DataFrame:
-        """Pairs that share enough prefix shingles, of rows (a, b, n_a, n_b, need_a, need_b), one per shared shingle."""
-        fit = met.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        counted = fit.groupBy("a", "b").agg(F.count("*").alias("met"), F.min(F.least("need_a", "need_b")).alias("need"))
-        return counted.where("met >= need").select("a", "b")
+    def wanted(n: str, m: str) -> Column:
+        """The least intersection of similar sets of these sizes."""
+        return F.ceil(F.lit(percent) * (F.col(n) + F.col(m)) / (100 + percent))
+
+    def possible(x: str, y: str) -> Column:
+        """Whether sets that share a shingle at these places of their order can be similar: what stands before it in one can only be shared with what stands before it in the other."""
+        before = F.least(f"{x}.at", f"{y}.at")
+        behind = F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at"))
+        return (100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")) & (before + behind >= wanted(f"{x}.n", f"{y}.n"))
+
+    def candidates(met: DataFrame, x: str, y: str) -> DataFrame:
+        """Pairs (a, b) that share enough prefix shingles, of rows (x, y), one per shared shingle.
 
-    def paired(x: str, y: str) -> list:
-        small = F.col(f"{x}.node") < F.col(f"{y}.node")
-        out = [F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b")]
-        for c in ("n", "need"):
-            out += [F.when(small, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")).alias(f"{c}_a"), F.when(small, F.col(f"{y}.{c}")).otherwise(F.col(f"{x}.{c}")).alias(f"{c}_b")]
-        return out
+        Behind its prefix a set has `needed - m` shingles; what two sets share is in both
+        prefixes or behind one of them.
+        """
+        def behind(c: str) -> Column:
+            return F.ceil(F.lit(percent) * F.col(f"{c}.n") / 100) - F.col(f"{c}.need")
+
+        need = F.greatest(F.least(f"{x}.need", f"{y}.need"), wanted(f"{x}.n", f"{y}.n") - F.greatest(behind(x), behind(y)))
+        rows = met.where(possible(x, y)).select(F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b"), need.alias("need"))
+        counted = rows.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need"))
+        return counted.where("met >= need").select("a", "b")
 
-    one = lists.select("shingle", F.struct("node", "n", "need").alias("x"))
-    first = written(candidates(one.join(ends, "shingle").where("x.node != end.node").select(*paired("x", "end"))), "candidates")
+    one = lists.select("shingle", entry.alias("x"))
+    first = written(candidates(one.join(ends, "shingle").where("x.node != end.node"), "x", "end"), "candidates")
     similar = _similar(texts, first, words, percent)
     found = components(similar, "a", "b")
     # What is left: pairs of one list, in different components, neither of them compared with the other yet.
@@ -233,8 +247,8 @@ def groups(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text
     mixed = placed.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("shingle")
     placed = written(placed.join(mixed, "shingle", "left_semi"), "placed")
     other = placed.select("shingle", F.col("x").alias("y"), F.col("c").alias("d"))
-    rest = placed.join(other, "shingle").where("x.node < y.node and c != d").select(*paired("x", "y"))
-    second = written(candidates(rest).join(first, ["a", "b"], "left_anti"), "candidates")
+    rest = placed.join(other, "shingle").where(F.expr("x.node < y.node and c != d") & possible("x", "y"))
+    second = written(candidates(rest, "x", "y").join(first, ["a", "b"], "left_anti"), "candidates")
     links = similar
     if not second.isEmpty():
         links = similar.unionAll(_similar(texts, second, words, percent))

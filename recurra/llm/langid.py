@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -77,7 +78,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
                 totals[name] = totals[name] + part if name in totals else part
         part = TaskContext.get().partitionId()
         if totals:
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array([part] * len(totals), pa.int64()), pa.array([v.astype(np.int64).tobytes() for v in totals.values()], pa.binary())], names=["lang", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array([part] * len(totals), pa.int64()), pa.array([zlib.compress(v.astype(np.int64), 1) for v in totals.values()], pa.binary())], names=["lang", "part", "counts"])
 
     counts = sum_vectors(rows.mapInArrow(count, "lang string, part long, counts binary"), "lang")
     langs = sorted(counts)

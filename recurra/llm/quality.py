@@ -9,6 +9,7 @@ matrix product, and its nearest neighbours vote with the weight of their cosine.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -109,7 +110,7 @@ def document_frequencies(df: DataFrame, text_col: str) -> tuple[np.ndarray, int]
         for block in blocks(batches, "__text"):
             total[:-1] += (term_counts(block.column(0)) > 0).sum(axis=0)
             total[-1] += block.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(["df"]), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["name", "part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(["df"]), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([zlib.compress(total, 1)], pa.binary())], names=["name", "part", "counts"])
 
     rows = df.select(F.col(text_col).alias("__text"))
     found = sum_vectors(rows.mapInArrow(count, "name string, part long, counts binary"), "name", 8).get("df", np.zeros(TERMS + 1, np.int64))

@@ -2,8 +2,9 @@
 
 A passage is a string of `length` bytes. Each is dealt by the smallest hash of the
 16-byte strings in it, so equal passages meet in one shard, and neighbouring
-passages with the same smallest hash travel as one context. A shard keeps each
-distinct context once. Contexts that share their key but differ are joined to one
+passages with the same smallest hash travel as one context. First only the
+hashes travel, to find those that two documents have. A shard keeps each distinct
+context once. Contexts that share their key but differ are joined to one
 text, whose suffixes are put in order by induced sorting: suffixes at local minima
 are ordered first, all others follow from them through one queue per first byte,
 which moves to disk when it grows. Runs of neighbours with a common prefix of
@@ -14,31 +15,26 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recurra.llm.common import U64, blocks, flat, mix, prepare
-from recurra.llm.twice import has, met_twice
 
 LENGTH = 50
 #: Bytes whose hash deals a passage; fewer than `length`.
 ANCHOR = 16
-#: Bits of the set of keys that two documents may share, as a power of two.
-SHARED = 28
-#: Contexts of one shard, about.
-SHARD_RUNS = 400_000
-#: A key with more contexts than this, by a count sketch, is dealt by single passages.
-HOT = 200_000
-#: Cells of the count sketch at least and at most, as powers of two; there is one for every 4 KiB of text.
-SKETCH = (16, 22)
-#: Text bytes whose contexts travel in one set of blobs.
-BLOB_BYTES = 16 << 20
+#: Keys of one shard, about.
+SHARD_KEYS = 1_000_000
+#: A key that more buckets than this have is dealt by single passages, so that no shard gets all their contexts.
+HOT = 4096
+#: Text bytes of one bucket of documents, at least and at most.
+BUCKET_BYTES = (1 << 20, 32 << 20)
 #: Entries of the queues that stay in memory, over all bytes.
 QUEUE_ROWS = 1 << 22
 _LAST = np.iinfo(np.int64).max
@@ -222,23 +218,23 @@ def _keys(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarra
     return key[at], np.searchsorted(offsets, at, "right") - 1, at, stop - at + length
 
 
-def _cut(raw: bytes) -> tuple[np.ndarray, ...]:
+def _cut(raw: bytes) -> tuple:
     raw = zstandard.ZstdDecompressor().decompress(raw)
-    docs, n = np.frombuffer(raw, "<i8", 2)
-    doc, text_hash = np.frombuffer(raw, "<i8", 2 * docs, 16).reshape(2, -1)
-    at = 16 + 16 * docs
+    bucket, docs, n = np.frombuffer(raw, "<i8", 3)
+    doc, row = np.frombuffer(raw, "<i8", 2 * docs, 24).reshape(2, -1)
+    at = 24 + 16 * docs
     key = np.frombuffer(raw, "<u8", n, at)
     who, start, size = np.frombuffer(raw, "<u4", 3 * n, at + 8 * n).reshape(3, -1)
-    return doc, text_hash, key, who, start, size, raw[at + 20 * n :]
+    return bucket, doc, row, key, who, start, size, raw[at + 20 * n :]
 
 
 def _shard_spans(blobs: Iterator[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Removed spans (doc, text_hash, start, end) of one shard."""
+    """Removed spans (row, bucket, start, end) of one shard."""
     known: dict[bytes, int] = {}
     keys: list[int] = []
     rows: list[tuple[np.ndarray, ...]] = []
     for raw in blobs:
-        doc, text_hash, key, who, start, size, text = _cut(raw)
+        bucket, doc, row, key, who, start, size, text = _cut(raw)
         ends = np.cumsum(size.astype(np.int64))
         of = np.empty(len(key), np.int64)
         for i, (a, b, k) in enumerate(zip((ends - size).tolist(), ends.tolist(), key.tolist(), strict=True)):
@@ -247,14 +243,14 @@ def _shard_spans(blobs: Iterator[bytes], length: int) -> Iterator[tuple[np.ndarr
             if c == len(keys):
                 keys.append(k)
             of[i] = c
-        rows.append((of, doc[who], text_hash[who], start.astype(np.int64), size.astype(np.int64)))
+        rows.append((of, doc[who], row[who], np.full(len(of), bucket), start.astype(np.int64), size.astype(np.int64)))
     if not rows:
         return
-    of, doc, text_hash, start, size = (np.concatenate(x) for x in zip(*rows, strict=True))
+    of, doc, row, bucket, start, size = (np.concatenate(x) for x in zip(*rows, strict=True))
     owner = np.full(len(keys), _LAST)
     np.minimum.at(owner, of, doc)
     later = doc > owner[of]
-    yield doc[later], text_hash[later], start[later], start[later] + size[later]
+    yield row[later], bucket[later], start[later], start[later] + size[later]
     key = np.array(keys, U64)
     _, of_key, count = np.unique(key, return_inverse=True, return_counts=True)
     chosen = np.flatnonzero(count[of_key] > 1)
@@ -280,109 +276,110 @@ def _shard_spans(blobs: Iterator[bytes], length: int) -> Iterator[tuple[np.ndarr
         spans.setdefault(c, []).append((a, b))
     # Occurrences of a context in its own smallest document; those in later ones are gone already.
     hit = np.flatnonzero((doc == owner[of]) & np.isin(of, list(spans)))
-    out = [(int(doc[i]), int(text_hash[i]), int(start[i]) + a, int(start[i]) + b) for i in hit.tolist() for a, b in spans[int(of[i])]]
+    out = [(int(row[i]), int(bucket[i]), int(start[i]) + a, int(start[i]) + b) for i in hit.tolist() for a, b in spans[int(of[i])]]
     if out:
         yield tuple(np.array(x, np.int64) for x in zip(*out, strict=True))
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(id, text_hash, spans): byte spans (start, end), not merged, that are covered by passages of earlier documents.
+@dataclass(frozen=True)
+class _Spread:
+    """Documents dealt by row into buckets of bounded size, once; every step reads the same exchange."""
+
+    docs: DataFrame
+    shards: int
+
+
+def _spread(df: DataFrame, id_col: str, text_col: str, length: int) -> _Spread:
+    total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    # Buckets grow with the square root of the input, so that a bucket still has several keys for each shard.
+    bytes_each = min(max(int((total * 4096) ** 0.5), BUCKET_BYTES[0]), BUCKET_BYTES[1])
+    buckets = max(1, -(-total // bytes_each))
+    # About two keys for every 36 bytes.
+    shards = max(12, int(total * 2 // (length - ANCHOR + 2) // SHARD_KEYS))
+    rows = df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__doc", F.coalesce(F.col(id_col).cast("long"), F.lit(int(_LAST))))
+    return _Spread(rows.withColumn("__bucket", F.pmod(F.xxhash64("__row"), F.lit(buckets)).cast("int")), shards)
+
+
+def _shared_keys(spread: _Spread, text_col: str, length: int) -> DataFrame:
+    """(bucket, shard, bits): for a bucket's keys in order, which two documents have, and then which are hot."""
+    shards = spread.shards
+    bucket_at, text_at = spread.docs.columns.index("__bucket"), spread.docs.columns.index(text_col)
+
+    def collect(group: pa.Table) -> pa.Table:
+        keys, several, shard = _bucket_keys(group.column(text_at), length, shards)
+        cuts = np.searchsorted(shard, np.arange(shards + 1))
+        some = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
+        blobs = [zstandard.ZstdCompressor(1).compress(np.diff(keys[cuts[s] : cuts[s + 1]], prepend=U64(0)).tobytes() + np.packbits(several[cuts[s] : cuts[s + 1]]).tobytes()) for s in some]
+        sizes = [int(cuts[s + 1] - cuts[s]) for s in some]
+        bucket = group.column(bucket_at)[0].as_py()
+        return pa.table({"bucket": pa.array([bucket] * len(some), pa.int32()), "shard": pa.array(some, pa.int32()), "n": pa.array(sizes, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+    def count(group: pa.Table) -> pa.Table:
+        parts, flags = [], []
+        for n, raw in zip(group.column(2).to_pylist(), group.column(3).to_pylist(), strict=True):
+            raw = zstandard.ZstdDecompressor().decompress(raw)
+            parts.append(np.cumsum(np.frombuffer(raw, U64, n), dtype=U64))
+            flags.append(np.unpackbits(np.frombuffer(raw, np.uint8, offset=8 * n), count=n).astype(bool))
+        keys = np.concatenate(parts)
+        _, at, buckets_with = np.unique(keys, return_inverse=True, return_counts=True)
+        many, hot = np.concatenate(flags) | (buckets_with[at] > 1), buckets_with[at] > HOT
+        ends = np.cumsum([len(x) for x in parts])
+        bits = [np.packbits(np.concatenate([many[b - len(x) : b], hot[b - len(x) : b]])).tobytes() for x, b in zip(parts, ends.tolist(), strict=True)]
+        return pa.table({"bucket": group.column(0), "shard": group.column(1), "bits": pa.array(bits, pa.binary())})
+
+    keys = spread.docs.groupBy("__bucket").applyInArrow(collect, "bucket int, shard int, n int, blob binary")
+    return keys.groupBy("shard").applyInArrow(count, "bucket int, shard int, bits binary")
+
+
+def _bucket_keys(texts: pa.ChunkedArray, length: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of a bucket by (shard, key), whether two of its documents have them, and their shards."""
+    found = [(np.empty(0, U64), np.empty(0, np.int64))]
+    row_before = 0
+    for chunk in texts.chunks:
+        for part in blocks([pa.RecordBatch.from_arrays([chunk], names=["t"])], "t"):
+            data, offsets = flat(part.column(0))
+            key, row, _, _ = _keys(data, offsets, length)
+            found.append((key, row + row_before))
+            row_before += part.num_rows
+    key, row = (np.concatenate(x) for x in zip(*found, strict=True))
+    shard = (mix(key) % U64(shards)).astype(np.int64)
+    order = np.lexsort((row, key, shard))
+    key, row, shard = key[order], row[order], shard[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(key)) - 1
+    return key[first], row[first] != row[last], shard[first]
+
+
+def find(spread: _Spread, text_col: str, length: int) -> DataFrame:
+    """(__row, __bucket, start, end): byte spans, not merged, that are covered by passages of earlier documents.
 
-    Rows without any are left out. A null id counts as later than all others; rows
-    with the same id don't take from each other, and equal rows share their spans.
+    A null id counts as later than all others; rows with the same id don't take from each other.
     """
-    spark = prepare(df.sparkSession)
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(_LAST))).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("__text"))
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for block in blocks(batches, "__text"):
-            data, offsets = flat(block.column(2))
-            yield block, data, offsets, *_keys(data, offsets, length)
-
-    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for _, _, _, key, row, _, _ in runs(batches):
-            order = np.lexsort((row, key))
-            new = np.ones(len(key), bool)
-            new[1:] = (key[order][1:] != key[order][:-1]) | (row[order][1:] != row[order][:-1])
-            yield key[order][new]
-
-    total = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
-    # About two keys for every 36 bytes, of which a part is shared.
-    shards = max(12, int(total * 2 // (length - ANCHOR + 2) // SHARD_RUNS))
-    power = min(max(int(total >> 12).bit_length(), SKETCH[0]), SKETCH[1])
-    found_twice, counts = met_twice(rows, values, SHARED, power)
-    twice = spark.sparkContext.broadcast(found_twice)
-    hot = spark.sparkContext.broadcast(np.packbits(counts > HOT))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One compressed blob per shard and several blocks: contexts and where they stand, each context once per id and blob."""
-        held: list[tuple] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            doc = np.concatenate([h[0] for h in held])
-            text_hash = np.concatenate([h[1] for h in held])
-            before = np.cumsum([0, *(len(h[0]) for h in held[:-1])])
-            key, shard, who, start, covered = (np.concatenate(x) for x in zip(*((h[2], h[3], h[4] + b, h[5], h[6]) for h, b in zip(held, before, strict=True)), strict=True))
-            texts = [t for h in held for t in h[7]]
-            # A context that an earlier document of these has as well is gone; the others go on.
-            known: dict[bytes, int] = {}
-            of = np.array([known.setdefault(t, len(known)) for t in texts], np.int64)
-            owner = np.full(len(known), _LAST)
-            np.minimum.at(owner, of, doc[who])
-            later = doc[who] > owner[of]
-            ids, kinds, blobs = [], [], []
-            gone = np.flatnonzero(later)
-            if len(gone):
-                a, b, w = start[gone], start[gone] + covered[gone], who[gone]
-                new = np.ones(len(gone), bool)
-                new[1:] = (w[1:] != w[:-1]) | (a[1:] > b[:-1])
-                first = np.flatnonzero(new)
-                last = np.append(first[1:], len(gone)) - 1
-                spans = np.stack([doc[w[first]], text_hash[w[first]], a[first], b[last]])
-                ids.append(TaskContext.get().partitionId() % shards)
-                kinds.append(1)
-                blobs.append(zstandard.ZstdCompressor(3).compress(spans.astype("<i8").tobytes()))
-            rest = np.flatnonzero(~later)
-            order = rest[np.argsort(shard[rest], kind="stable")]
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            for s in np.unique(shard[order]).tolist():
-                at = order[cuts[s] : cuts[s + 1]]
-                used, local = np.unique(who[at], return_inverse=True)
-                raw = b"".join([np.array([len(used), len(at)], "<i8").tobytes(), doc[used].tobytes(), text_hash[used].tobytes(), key[at].tobytes(), local.astype("<u4").tobytes(), start[at].astype("<u4").tobytes(), covered[at].astype("<u4").tobytes(), *[texts[i] for i in at.tolist()]])
-                ids.append(s)
-                kinds.append(0)
-                blobs.append(zstandard.ZstdCompressor(3).compress(raw))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "kind", "blob"])
-
-        for block, data, offsets, key, row, at, covered in runs(batches):
-            keep = np.flatnonzero(has(twice.value, key, SHARED)) if len(key) else np.empty(0, np.int64)
-            key, row, at, covered = key[keep], row[keep], at[keep], covered[keep]
-            raw = data.tobytes()
-            shard = (mix(key) % U64(shards)).astype(np.int64)
-            cell = (key >> U64(64 - power)).astype(np.int64)
-            split = (hot.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
-            if split.any():
-                # Each passage of a hot key stands alone and is dealt by a hash of all of it.
-                n = np.where(split, covered - length + 1, 1)
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                key, row, at, shard = np.repeat(key, n), np.repeat(row, n), np.repeat(at, n) + step, np.repeat(shard, n)
-                single = np.repeat(split, n)
-                covered = np.where(single, length, np.repeat(covered, n))
-                which = np.flatnonzero(single)
-                whole = np.array([int.from_bytes(hashlib.blake2b(raw[a : a + length], digest_size=8).digest(), "little") for a in at[which].tolist()], U64)
-                key[which] = whole
-                shard[which] = (whole % U64(shards)).astype(np.int64)
-            texts = [raw[a:b] for a, b in zip(at.tolist(), (at + covered).tolist(), strict=True)]
-            held.append((block.column(0).to_numpy(), block.column(1).to_numpy(), key, shard, row, at - offsets[row], covered, texts))
-            size += len(data)
-            if size >= BLOB_BYTES:
-                yield out()
-                held, size = [], 0
-        if held:
-            yield out()
-
-    dealt = rows.mapInArrow(deal, "shard int, kind int, blob binary").repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    shards = spread.shards
+    at = {c: i for i, c in enumerate(spread.docs.columns)}
+    flagged = _shared_keys(spread, text_col, length)
+
+    def deal(group: pa.Table, bits: pa.Table) -> pa.Table:
+        """The bucket's contexts with shared keys: one compressed blob per shard, each context once per id; and what is certain already."""
+        out = {"shard": [], "kind": [], "blob": []}
+        if group.num_rows and bits.num_rows:
+            keys, _, shard = _bucket_keys(group.column(at[text_col]), length, shards)
+            cuts = np.searchsorted(shard, np.arange(shards + 1))
+            many, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+            for s, raw in zip(bits.column(1).to_pylist(), bits.column(2).to_pylist(), strict=True):
+                n = int(cuts[s + 1] - cuts[s])
+                both = np.unpackbits(np.frombuffer(raw, np.uint8), count=2 * n)
+                many[cuts[s] : cuts[s + 1]], hot[cuts[s] : cuts[s + 1]] = both[:n], both[n:]
+            wanted, hot = np.sort(keys[many]), np.sort(keys[hot])
+            doc, row = group.column(at["__doc"]).to_numpy(), group.column(at["__row"]).to_numpy()
+            bucket = group.column(at["__bucket"])[0].as_py()
+            _contexts(group.column(at[text_col]), doc, row, bucket, wanted, hot, length, shards, out)
+        return pa.table({"shard": pa.array(out["shard"], pa.int32()), "kind": pa.array(out["kind"], pa.int32()), "blob": pa.array(out["blob"], pa.binary())})
+
+    dealt = spread.docs.groupBy("__bucket").cogroup(flagged.groupBy("bucket")).applyInArrow(deal, "shard int, kind int, blob binary")
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "kind")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         feed = (r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
@@ -401,27 +398,97 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
             shard, kind = ahead[0][:2]
             for spans in given(one(shard, kind)) if kind else _shard_spans(one(shard, kind), length):
                 for a in range(0, len(spans[0]), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)], pa.int64()) for x in spans], names=["doc", "text_hash", "start", "end"])
-
-    found = dealt.mapInArrow(remove, "doc long, text_hash long, start long, end long")
-    lists = found.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return lists.select(F.when(F.col("doc") != int(_LAST), F.col("doc")).alias(id_col), "text_hash", "spans")
-
-
-def _with_spans(df: DataFrame, id_col: str, text_col: str, length: int, carry: list[str]) -> DataFrame:
-    found = find(df, id_col, text_col, length).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash"), "spans")
-    docs = df.select(*carry, F.col(text_col).alias("__text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__h"))
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left").select(*carry, "__text", "spans")
-
-
-def _kept(text: bytes, spans: list | None) -> tuple[bytes, int]:
+                    yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)], pa.int64()) for x in spans], names=["__row", "__bucket", "start", "end"])
+
+    return dealt.mapInArrow(remove, "__row long, __bucket long, start long, end long")
+
+
+def _contexts(texts: pa.ChunkedArray, doc: np.ndarray, row_id: np.ndarray, bucket: int, wanted: np.ndarray, hot: np.ndarray, length: int, shards: int, out: dict[str, list]) -> None:
+    keys, whos, starts, sizes, contexts = [], [], [], [], []
+    before = 0
+    for chunk in texts.chunks:
+        for part in blocks([pa.RecordBatch.from_arrays([chunk], names=["t"])], "t"):
+            data, offsets = flat(part.column(0))
+            key, row, begin, covered = _keys(data, offsets, length)
+            if len(wanted):
+                keep = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key)
+                raw = data.tobytes()
+                key, row, begin, covered = key[keep], row[keep], begin[keep], covered[keep]
+                if len(hot):
+                    split = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+                    n = np.where(split, covered - length + 1, 1)
+                    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    key, row, begin = np.repeat(key, n), np.repeat(row, n), np.repeat(begin, n) + step
+                    single = np.repeat(split, n)
+                    covered = np.where(single, length, np.repeat(covered, n))
+                    which = np.flatnonzero(single)
+                    key[which] = np.array([int.from_bytes(hashlib.blake2b(raw[a : a + length], digest_size=8).digest(), "little") for a in begin[which].tolist()], U64)
+                keys.append(key)
+                whos.append(row + before)
+                starts.append(begin - offsets[row])
+                sizes.append(covered)
+                contexts += [raw[a:b] for a, b in zip(begin.tolist(), (begin + covered).tolist(), strict=True)]
+            before += part.num_rows
+    if not contexts:
+        return
+    key, who, start, covered = (np.concatenate(x) for x in (keys, whos, starts, sizes))
+    # A context that an earlier document of the bucket has as well is gone; the others go on.
+    known: dict[bytes, int] = {}
+    of = np.array([known.setdefault(t, len(known)) for t in contexts], np.int64)
+    owner = np.full(len(known), _LAST)
+    np.minimum.at(owner, of, doc[who])
+    later = doc[who] > owner[of]
+    shard = (mix(key) % U64(shards)).astype(np.int64)
+    gone = np.flatnonzero(later)
+    if len(gone):
+        a, b, w = start[gone], start[gone] + covered[gone], who[gone]
+        new = np.ones(len(gone), bool)
+        new[1:] = (w[1:] != w[:-1]) | (a[1:] > b[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(gone)) - 1
+        spans = np.stack([row_id[w[first]], np.full(len(first), bucket), a[first], b[last]])
+        out["shard"].append(bucket % shards)
+        out["kind"].append(1)
+        out["blob"].append(zstandard.ZstdCompressor(3).compress(spans.astype("<i8").tobytes()))
+    rest = np.flatnonzero(~later)
+    order = rest[np.argsort(shard[rest], kind="stable")]
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in np.unique(shard[order]).tolist():
+        some = order[cuts[s] : cuts[s + 1]]
+        used, local = np.unique(who[some], return_inverse=True)
+        raw = b"".join([np.array([bucket, len(used), len(some)], "<i8").tobytes(), doc[used].tobytes(), row_id[used].tobytes(), key[some].tobytes(), local.astype("<u4").tobytes(), start[some].astype("<u4").tobytes(), covered[some].astype("<u4").tobytes(), *[contexts[i] for i in some.tolist()]])
+        out["shard"].append(s)
+        out["kind"].append(0)
+        out["blob"].append(zstandard.ZstdCompressor(3).compress(raw))
+
+
+def _merged(df: DataFrame, id_col: str, text_col: str, length: int, emit: Callable[[pa.Table, list], pa.Table], schema: str) -> DataFrame:
+    """`emit` on every bucket with the spans of each of its rows."""
+    prepare(df.sparkSession)
+    spread = _spread(df, id_col, text_col, length)
+    spans = find(spread, text_col, length)
+    row_at = spread.docs.columns.index("__row")
+
+    def run(group: pa.Table, found: pa.Table) -> pa.Table:
+        row, spans_of = group.column(row_at).to_numpy(), [None] * group.num_rows
+        if found.num_rows:
+            who, start, end = (found.column(i).to_numpy() for i in (0, 2, 3))
+            order = np.argsort(who, kind="stable")
+            who, edges = who[order], np.stack([start, end], axis=1)[order]
+            cuts = np.searchsorted(who, row), np.searchsorted(who, row, "right")
+            spans_of = [edges[a:b] if a < b else None for a, b in zip(*(c.tolist() for c in cuts), strict=True)]
+        return emit(group, spans_of)
+
+    return spread.docs.groupBy("__bucket").cogroup(spans.withColumn("__bucket", F.col("__bucket").cast("int")).groupBy("__bucket")).applyInArrow(run, schema)
+
+
+def _kept(text: bytes, spans: np.ndarray | None) -> tuple[bytes, int]:
     """The bytes outside all spans, and the number of maximal removed runs."""
-    if not spans:
+    if spans is None:
         return text, 0
-    ends = np.array([(s["start"], s["end"]) for s in spans], np.int64)
     cover = np.zeros(len(text) + 1, np.int32)
-    np.add.at(cover, ends[:, 0], 1)
-    np.add.at(cover, ends[:, 1], -1)
+    np.add.at(cover, spans[:, 0], 1)
+    np.add.at(cover, spans[:, 1], -1)
     gone = np.cumsum(cover[:-1]) > 0
     runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), runs
@@ -435,22 +502,21 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     nothing; null ids and repeated rows are kept (see `find`); an empty table gives no
     rows; other columns are ignored.
     """
-    rows = _with_spans(df, id_col, text_col, length, [id_col])
+    narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "__text"):
-            out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
-            for text, spans in zip(block.column(1).to_pylist(), block.column(2).to_pylist(), strict=True):
-                text = (text or "").encode()
-                left, n = _kept(text, spans)
-                out["n_bytes"].append(len(text))
-                out["n_removed"].append(len(text) - len(left))
-                out["n_spans"].append(n)
-                out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
-            yield pa.RecordBatch.from_arrays([block.column(0), *(pa.array(v, pa.int64() if k != "kept_sha256" else pa.string()) for k, v in out.items())], names=[id_col, *out])
+    def emit(group: pa.Table, spans_of: list) -> pa.Table:
+        out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
+        for text, spans in zip(group.column(1).to_pylist(), spans_of, strict=True):
+            text = (text or "").encode()
+            left, n = _kept(text, spans)
+            out["n_bytes"].append(len(text))
+            out["n_removed"].append(len(text) - len(left))
+            out["n_spans"].append(n)
+            out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
+        return pa.table({"id": group.column(0)} | {k: pa.array(v, pa.int64() if k != "kept_sha256" else pa.string()) for k, v in out.items()})
 
-    kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    kind = narrow.schema["id"].dataType.simpleString()
+    return _merged(narrow, "id", "text", length, emit, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -459,14 +525,10 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     A span may begin or end inside a character; the bytes of such characters that
     remain are left out, so the text stays valid.
     """
-    others = [c for c in df.columns if c != text_col]
-    rows = _with_spans(df, id_col, text_col, length, others)
-    schema = rows.drop("spans").withColumnRenamed("__text", text_col).schema
+    text_at = df.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "__text"):
-            n = block.num_columns
-            texts = [t if not s else _kept(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(block.column(n - 2).to_pylist(), block.column(n - 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*block.columns[: n - 2], pa.array(texts, pa.string())], names=[*others, text_col])
+    def emit(group: pa.Table, spans_of: list) -> pa.Table:
+        texts = [t if spans is None else _kept(t.encode(), spans)[0].decode("utf-8", "ignore") for t, spans in zip(group.column(text_at).to_pylist(), spans_of, strict=True)]
+        return group.select(range(len(df.columns))).set_column(text_at, text_col, pa.array(texts, pa.string()))
 
-    return rows.mapInArrow(run, schema).select(*df.columns)
+    return _merged(df, id_col, text_col, length, emit, df.schema)
