@@ -5,8 +5,8 @@ sets are similar enough, their first `size - needed + m` shingles share at least
 Each set chooses its own m by the estimated cost of its candidates: a longer prefix
 reads more lists, but asks for more shared shingles before a pair is verified.
 
-Equal sets are one node. In every list the smallest and the largest node are
-compared with all others first; nodes found similar are in one component, and then
+Equal sets are one node. In every list two nodes, one of them the set with the most
+frequent shingles, are compared with all others first; nodes found similar are in one component, and then
 only pairs of different components remain. So a crowd of near copies costs two
 comparisons per node and list instead of all its pairs, and no link between
 components is lost. Fixed-size bit sets say which shingles and which nodes can
@@ -50,8 +50,8 @@ def _ordered(shingles: np.ndarray, sketch: np.ndarray, noise: float) -> tuple[np
     return shingles[order], np.maximum(count[order] - noise, 1.0)
 
 
-def prefix(shingles: np.ndarray, sketch: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int]:
-    """The set's adaptive prefix and how many of its shingles a similar set must share."""
+def prefix(shingles: np.ndarray, sketch: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int, int]:
+    """The set's adaptive prefix, how many of its shingles a similar set must share, and how frequent the prefix is."""
     n = len(shingles)
     needed = -(-percent * n // 100)
     ordered, frequency = _ordered(shingles, sketch, noise)
@@ -62,7 +62,8 @@ def prefix(shingles: np.ndarray, sketch: np.ndarray, noise: float, percent: int)
     # A candidate that shares m shingles uses up m entries, so there are at most entries / m of them.
     cost = entries + entries / m * (n / PER_ENTRY)
     best = int(m[np.argmin(cost)])
-    return ordered[: n - needed + best], best
+    size = n - needed + best
+    return ordered[:size], best, int(16 * read[size - 1] / size)
 
 
 class _Sets:
@@ -183,7 +184,7 @@ def groups(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text
     shared: Broadcast = spark.sparkContext.broadcast(np.minimum(sketch, np.iinfo(np.int32).max).astype(np.int32))
     noise = float(sketch.mean())
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, int, int]]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, int, int, int]]:
         kept, counts = _Sets(words), shared.value
         for block in blocks(batches, "__text"):
             for node, s in kept.fresh(block.column(0)):
@@ -192,25 +193,26 @@ def groups(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text
     twice = spark.sparkContext.broadcast(met_twice(texts, lambda batches: (p[1] for p in prefixes(batches)), SHARED)[0])
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray, int, int]] = []
+        held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
             sizes = [len(h[1]) for h in held]
-            columns = [np.concatenate([h[1] for h in held]).astype(np.int64), np.repeat(np.array([h[0] for h in held], np.int64), sizes), np.repeat(np.array([h[3] for h in held], np.int32), sizes), np.repeat(np.array([h[2] for h in held], np.int32), sizes), np.concatenate([h[4] for h in held]).astype(np.int32)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "node", "n", "need", "at"])
+            columns = [np.concatenate([h[1] for h in held]).astype(np.int64), np.repeat(np.array([h[0] for h in held], np.int64), sizes), np.repeat(np.array([h[3] for h in held], np.int32), sizes), np.repeat(np.array([h[2] for h in held], np.int32), sizes), np.concatenate([h[4] for h in held]).astype(np.int32), np.repeat(np.array([h[5] for h in held], np.int64), sizes)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "node", "n", "need", "at", "frequent"])
 
-        for node, shingles, need, n in prefixes(batches):
+        for node, shingles, need, frequent, n in prefixes(batches):
             at = np.flatnonzero(has(twice.value, shingles, SHARED))
-            held.append((node, shingles[at], need, n, at))
+            held.append((node, shingles[at], need, n, at, frequent))
             if len(held) == 1024:
                 yield out()
                 held = []
         if held:
             yield out()
 
-    lists = written(texts.mapInArrow(postings, "shingle long, node long, n int, need int, at int"), "postings")
+    lists = written(texts.mapInArrow(postings, "shingle long, node long, n int, need int, at int, frequent long"), "postings")
     entry = F.struct("node", "n", "need", "at")
-    ends = lists.groupBy("shingle").agg(F.min(entry).alias("first"), F.max(entry).alias("last")).where("first.node < last.node")
+    # In a crowd of edited copies the one closest to all others has the fewest rare shingles.
+    ends = lists.groupBy("shingle").agg(F.max_by(entry, F.struct("frequent", "node")).alias("first"), F.min_by(entry, "node").alias("last"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     ends = written(ends.select("shingle", F.explode(F.array("first", "last")).alias("end")), "ends")
 
     def wanted(n: str, m: str) -> Column:
@@ -218,22 +220,17 @@ def groups(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text
         return F.ceil(F.lit(percent) * (F.col(n) + F.col(m)) / (100 + percent))
 
     def possible(x: str, y: str) -> Column:
-        """Whether sets that share a shingle at these places of their order can be similar: what stands before it in one can only be shared with what stands before it in the other."""
-        before = F.least(f"{x}.at", f"{y}.at")
-        behind = F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at"))
-        return (100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")) & (before + behind >= wanted(f"{x}.n", f"{y}.n"))
+        """Whether a shingle that two sets share at these places of their order speaks for their similarity.
 
-    def candidates(met: DataFrame, x: str, y: str) -> DataFrame:
-        """Pairs (a, b) that share enough prefix shingles, of rows (x, y), one per shared shingle.
-
-        Behind its prefix a set has `needed - m` shingles; what two sets share is in both
-        prefixes or behind one of them.
+        Similar sets share `need` of the first `size - wanted + need` shingles of each.
         """
-        def behind(c: str) -> Column:
-            return F.ceil(F.lit(percent) * F.col(f"{c}.n") / 100) - F.col(f"{c}.need")
+        least = wanted(f"{x}.n", f"{y}.n") - F.least(f"{x}.need", f"{y}.need")
+        early = (F.col(f"{x}.at") < F.col(f"{x}.n") - least) & (F.col(f"{y}.at") < F.col(f"{y}.n") - least)
+        return (100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")) & early
 
-        need = F.greatest(F.least(f"{x}.need", f"{y}.need"), wanted(f"{x}.n", f"{y}.n") - F.greatest(behind(x), behind(y)))
-        rows = met.where(possible(x, y)).select(F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b"), need.alias("need"))
+    def candidates(met: DataFrame, x: str, y: str) -> DataFrame:
+        """Pairs (a, b) that share enough prefix shingles, of rows (x, y), one per shared shingle."""
+        rows = met.where(possible(x, y)).select(F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b"), F.least(f"{x}.need", f"{y}.need").alias("need"))
         counted = rows.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need"))
         return counted.where("met >= need").select("a", "b")
 
