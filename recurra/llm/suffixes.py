@@ -348,7 +348,7 @@ def _bucket_keys(texts: pa.ChunkedArray, length: int, shards: int) -> tuple[np.n
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(key)) - 1
+    last = np.append(first[1:], len(key))[: len(first)] - 1
     return key[first], row[first] != row[last], shard[first]
 
 
@@ -525,10 +525,10 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     A span may begin or end inside a character; the bytes of such characters that
     remain are left out, so the text stays valid.
     """
-    text_at = df.columns.index(text_col)
+    text_at, width = df.columns.index(text_col), len(df.columns)
 
     def emit(group: pa.Table, spans_of: list) -> pa.Table:
         texts = [t if spans is None else _kept(t.encode(), spans)[0].decode("utf-8", "ignore") for t, spans in zip(group.column(text_at).to_pylist(), spans_of, strict=True)]
-        return group.select(range(len(df.columns))).set_column(text_at, text_col, pa.array(texts, pa.string()))
+        return group.select(range(width)).set_column(text_at, text_col, pa.array(texts, pa.string()))
 
     return _merged(df, id_col, text_col, length, emit, df.schema)
