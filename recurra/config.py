@@ -96,6 +96,11 @@ SWEEP_RATES = [0.01, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6,
 CITY_RATE = 0.0083
 
 
+# Scenarios of the queries that SQL repeats, and the seeds of the multiple imputation.
+SCENARIOS = [("none", 0.0, 1), ("city", CITY_RATE, 11), ("fast", 0.25, 1234)]
+IMPUTATION_SEEDS = [11 + 487 * i for i in range(20)]
+
+
 def seed_scenarios(seeds: list[int], rate: float = CITY_RATE) -> list[Emigration]:
     return [Emigration(f"seed_{seed}", rate, seed) for seed in seeds]
 

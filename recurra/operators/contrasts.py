@@ -211,10 +211,12 @@ def zero_crossing(curve: DataFrame, lo: float, hi: float) -> DataFrame:
 def band_table(store: ModelStore, bands: Sequence[float] = BANDS, alpha: float = 0.05) -> DataFrame:
     """Piecewise-constant model: each band's limits, midpoint and log rate ratio.
 
-    A band without rows has no estimate and is left out.
+    A band without rows has NULL for its estimate, error and limits.
     """
     number = F.regexp_extract("term", r"^band(\d+)$", 1).cast("int")
-    rows = contrast_subset(store, [r"^band\d+$"], alpha=alpha).where("std_err > 0").withColumn("band", number)
+    rows = contrast_subset(store, [r"^band\d+$"], alpha=alpha).withColumn("band", number)
+    known = F.col("std_err") > 0
+    rows = rows.withColumns({n: F.when(known, F.col(n)) for n in ("estimate", "lower", "upper", "std_err")})
     limits = F.array(*(F.lit(float(b)) for b in bands))
     return (
         rows.withColumn("start", F.element_at(limits, F.col("band")))

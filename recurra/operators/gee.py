@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,10 +29,14 @@ from recurra.operators.persontime import model_rows
 from recurra.session import materialize
 
 STATS = ("n_rows", "n_subjects", "squares", "pair_products", "n_pairs")
-MAX_ALPHA = 0.99
-ETA_LIMIT = 30.0
-# Entries of all covariance matrices of one call, as they pass through the driver.
-MAX_STORE_ENTRIES = 5_000_000
+# Covariance entries that pass through the driver at a time; a call with more writes them in parts.
+STORE_ENTRIES = 2_000_000
+# Halvings of a step whose sums are not finite, before the fit counts as failed.
+MAX_HALVINGS = 20
+
+
+class FitError(RuntimeError):
+    """A model that has no fit: it names the model and says why."""
 
 
 @dataclass
@@ -51,12 +56,19 @@ class _Fit:
     aliased: np.ndarray | None = None
     vcov: np.ndarray | None = None
     change: float = field(default=np.inf)
+    step: np.ndarray | None = None
+    halvings: int = 0
 
 
 def nest_subjects(rows: DataFrame, spec: ModelSpec) -> DataFrame:
-    """One row per subject with its weeks in wave order; `x` is the flattened design."""
+    """One row per subject with its weeks in wave order; `x` is the flattened design.
+
+    A week with a missing covariate, status or offset is left out of the fit, as `n_rows` of the fit shows.
+    """
     scenario = F.col("scenario_id") if "scenario_id" in rows.columns else F.lit("all")
-    designed = with_design(model_rows(rows, spec), spec).where(F.col("x").isNotNull())
+    designed = with_design(model_rows(rows, spec), spec)
+    known = F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v))
+    designed = designed.where(known & F.col("status").isNotNull() & F.col("offset_time").isNotNull())
     week = F.struct(
         "wave", F.col("status").cast("double").alias("y"), F.col("offset_time").alias("offset"), "x")
     nested = designed.groupBy(scenario.alias("scenario_id"), "patid").agg(
@@ -80,7 +92,8 @@ def _batch_sums(batch: pa.RecordBatch, fits: list[_Fit], width: int, with_meat:
     adjacent = follows & (gap == 1)
     for fit in fits:
         x = full if len(fit.columns) == width else full[:, fit.columns]
-        mu = np.exp(np.clip(x @ fit.beta + offset, -ETA_LIMIT, ETA_LIMIT))
+        with np.errstate(over="ignore"):
+            mu = np.exp(x @ fit.beta + offset)
         root = np.sqrt(mu)
         xs, e = x * root[:, None], (y - mu) / root
         xw, ew = xs, e
@@ -147,13 +160,24 @@ def _advance(fit: _Fit, sums: np.ndarray, correlation: str, with_meat: bool) ->
     p = len(fit.columns)
     information, score = sums[: p * p].reshape(p, p), sums[p * p: p * p + p]
     stats = dict(zip(STATS, sums[-len(STATS):]))
+    if not np.isfinite(sums).all():
+        # The last step went too far: take half of it.
+        if fit.step is None or fit.halvings == MAX_HALVINGS:
+            raise FitError(f"model {fit.model_id}: the sums are not finite")
+        fit.step = fit.step / 2
+        fit.beta = fit.beta - fit.step
+        fit.halvings += 1
+        fit.change = np.inf
+        return
     inverse, aliased = _inverse(information)
     step = inverse @ score
-    fit.beta = fit.beta + step
+    fit.beta, fit.step, fit.halvings = fit.beta + step, step, 0
     fit.phi = stats["squares"] / max(stats["n_rows"] - (~aliased).sum(), 1)
     alpha = 0.0
     if correlation == "ar1" and stats["n_pairs"] > 0:
-        alpha = float(np.clip(stats["pair_products"] / stats["n_pairs"] / fit.phi, -MAX_ALPHA, MAX_ALPHA))
+        alpha = float(stats["pair_products"] / stats["n_pairs"] / fit.phi) if fit.phi > 0 else 0.0
+        if abs(alpha) >= 1:
+            raise FitError(f"model {fit.model_id}: the lag-one correlation estimate {alpha:.4f} is not below one")
     fit.change = max(float(np.abs(step).max()), abs(alpha - fit.alpha))
     fit.alpha, fit.aliased = alpha, aliased
     fit.n_rows, fit.n_subjects = int(stats["n_rows"]), int(stats["n_subjects"])
@@ -199,9 +223,17 @@ def read_model(spark: SparkSession, path: str) -> ModelStore:
 
 
 def _to_store(spark: SparkSession, fits: list[_Fit], names: list[str]) -> ModelStore:
-    entries = sum(len(f.columns) ** 2 for f in fits)
-    if entries > MAX_STORE_ENTRIES:
-        raise ValueError(f"{entries} covariance entries; fit fewer models per call")
+    parts, size = [[]], 0
+    for fit in fits:
+        if size and size + len(fit.columns) ** 2 > STORE_ENTRIES:
+            parts.append([])
+            size = 0
+        parts[-1].append(fit)
+        size += len(fit.columns) ** 2
+    if len(parts) > 1:
+        stores = [_to_store(spark, part, names) for part in parts]
+        tables = ([materialize(getattr(s, n), f"models-{n}") for s in stores] for n in ("coef", "vcov", "stats"))
+        return ModelStore(*(reduce(DataFrame.unionByName, t) for t in tables))
     coef, vcov, stats = [], [], []
     for fit in fits:
         for k, column in enumerate(fit.columns):
@@ -220,9 +252,13 @@ def _to_store(spark: SparkSession, fits: list[_Fit], names: list[str]) -> ModelS
 
 def fit_nested(
     nested: DataFrame, spec: ModelSpec, subsets: dict[str, list[str]] | None = None,
-    tolerance: float = 1e-8, max_iterations: int = 25,
+    tolerance: float = 1e-8, max_iterations: int = 25, require_convergence: bool = True,
 ) -> ModelStore:
-    """Fit one model per scenario and subset of terms on an already written table of subjects."""
+    """Fit one model per scenario and subset of terms on an already written table of subjects.
+
+    A model that has not converged after `max_iterations` raises FitError, or with
+    require_convergence=False stands in the store with converged = false.
+    """
     names = terms(spec)
     rate = nested.groupBy("scenario_id").agg(
         F.sum(F.aggregate("y", F.lit(0.0), lambda s, v: s + v)).alias("events"),
@@ -248,6 +284,8 @@ def fit_nested(
         running = [f for f in running if not f.converged]
         if not running:
             break
+    if running and (require_convergence or any(f.vcov is None for f in running)):
+        raise FitError("not converged: " + ", ".join(f.model_id for f in running))
     return _to_store(nested.sparkSession, fits, names)
 
 
@@ -269,8 +307,10 @@ def fit_sequence(rows: DataFrame, spec: ModelSpec, **options) -> tuple[ModelStor
     return fit_nested(nested, spec, subsets, **options), added
 
 
-def wald_test(store: ModelStore, blocks: dict[str, list[str]], per_model: bool = False) -> DataFrame:
-    """Wald chi-square of each block of terms, and their sum as the block "overall".
+def wald_test(
+    store: ModelStore, blocks: dict[str, list[str]], per_model: bool = False, overall: Iterable[str] | None = None,
+) -> DataFrame:
+    """Wald chi-square of each block of terms, and the sum over the blocks named by `overall` (all) as "overall".
 
     per_model: model "<...>:<block>" tests the block of that name only, which
     makes the test sequential on the result of fit_sequence.
@@ -301,8 +341,9 @@ def wald_test(store: ModelStore, blocks: dict[str, list[str]], per_model: bool =
 
     tested = entries.groupBy("family", "model_id", "block").applyInPandas(
         test, "model_id string, block string, position int, chi2 double, df int")
-    overall = tested.groupBy("model_id").agg(F.sum("chi2").alias("chi2"), F.sum("df").cast("int").alias("df"))
-    both = tested.unionByName(overall.select(
+    part = tested if overall is None else tested.where(F.col("block").isin(list(overall)))
+    summed = part.groupBy("model_id").agg(F.sum("chi2").alias("chi2"), F.sum("df").cast("int").alias("df"))
+    both = tested.unionByName(summed.select(
         "model_id", F.lit("overall").alias("block"), F.lit(0).alias("position"), "chi2", "df"))
 
     return both.withColumn("p_value", chi2_p(F.col("chi2"), F.col("df")))

@@ -180,14 +180,14 @@ def crude_rates(weeks: DataFrame) -> DataFrame:
 
 
 def piecewise_rates(weeks: DataFrame, bands: Sequence[float]) -> DataFrame:
-    """Crude rate per band of time since the index event, and its log ratio to the first band."""
+    """Crude rate per band of time since the index event, and its log ratio to the first band (NULL if that has no events)."""
     band = cut("time_after_index", bands, include_lowest=True)
     rates = _rates(
         weeks.groupBy(band.alias("band")).agg(F.sum("status").alias("events"), F.sum("n_days").alias("days"))
         .where(F.col("band").isNotNull()))
     # One row per band here, so the window over all of them is small.
     base = F.max(F.when(F.col("band") == 1, F.col("rate"))).over(Window.partitionBy(F.lit(0)))
-    ratio = F.when(F.col("events") > 0, F.ln(F.col("rate") / base))
+    ratio = F.when(F.col("events") > 0, F.ln(F.try_divide("rate", base)))
     return rates.withColumn("log_rate_ratio", ratio).drop("days")
 
 
@@ -196,7 +196,8 @@ def crude_irr(weeks: DataFrame, z: float | None = None) -> DataFrame:
 
     Per subject the residual of a side is u = events - rate * years. With totals
     Y the variances of the log rates are sum(u**2) / Y**2, so one pass of
-    per-subject sums and their second moments is enough.
+    per-subject sums and their second moments is enough. NULL where a side has
+    no time or no events.
     """
     z = z_value() if z is None else z
     before, after = F.col("period") == c.PERIOD_BEFORE, F.col("period") == c.PERIOD_AFTER
@@ -217,14 +218,14 @@ def crude_irr(weeks: DataFrame, z: float | None = None) -> DataFrame:
         for i, a in enumerate(names) for b in names[i:]]
     groups = [k for k in subject_keys(weeks) if k != "patid"]
     m = subjects.groupBy(*groups).agg(*sums, *products)
-    r0, r1 = F.col("y0") / F.col("t0"), F.col("y1") / F.col("t1")
+    r0, r1 = F.try_divide("y0", "t0"), F.try_divide("y1", "t1")
     u00 = F.col("y0y0") - 2 * r0 * F.col("y0t0") + r0 * r0 * F.col("t0t0")
     u11 = F.col("y1y1") - 2 * r1 * F.col("y1t1") + r1 * r1 * F.col("t1t1")
     u01 = F.col("y0y1") - r1 * F.col("y0t1") - r0 * F.col("t0y1") + r0 * r1 * F.col("t0t1")
     y0, y1 = F.col("y0"), F.col("y1")
-    variance = u00 / (y0 * y0) + u11 / (y1 * y1) - 2 * u01 / (y0 * y1)
+    variance = F.try_divide(u00, y0 * y0) + F.try_divide(u11, y1 * y1) - 2 * F.try_divide(u01, y0 * y1)
     return (
-        m.select(*groups, F.ln(r1 / r0).alias("estimate"), F.sqrt(variance).alias("std_err"))
+        m.select(*groups, F.ln(F.try_divide(r1, r0)).alias("estimate"), F.sqrt(variance).alias("std_err"))
         .withColumn("irr", F.exp("estimate"))
         .withColumn("irr_lower", F.exp(F.col("estimate") - F.lit(z) * F.col("std_err")))
         .withColumn("irr_upper", F.exp(F.col("estimate") + F.lit(z) * F.col("std_err")))

@@ -98,7 +98,7 @@ def baseline_table(
 
 
 def kruskal_h(df: DataFrame, var: str, group: str) -> DataFrame:
-    """Kruskal-Wallis H with tie correction, degrees of freedom and p-value."""
+    """Kruskal-Wallis H with tie correction, degrees of freedom and p-value; H is NULL where all values tie."""
     rows = df.where(F.col(group).isNotNull() & F.col(var).isNotNull())
     counts = rows.groupBy(group, var).agg(F.count(F.lit(1)).alias("_members"))
     cells = _join_by(counts, ranked_values(counts, var, weight="_members"), [var], ["n", "below", "total"])
@@ -116,7 +116,8 @@ def kruskal_h(df: DataFrame, var: str, group: str) -> DataFrame:
         F.sum("_ties").alias("_ties"), F.max("n_total").alias("n_total"),
         F.count(F.lit(1)).alias("n_groups"),
     )
-    h = (12 / (n * (n + 1)) * F.col("_squares") - 3 * (n + 1)) / (1 - F.col("_ties") / (n * n * n - n))
+    spread = 1 - F.try_divide("_ties", n * n * n - n)
+    h = F.try_divide(12 / (n * (n + 1)) * F.col("_squares") - 3 * (n + 1), spread)
     return total.withColumn("h", h).withColumn("df", F.col("n_groups") - 1).withColumn(
         "p_value", chi2_p(F.col("h"), F.col("df"))).select("n_total", "n_groups", "h", "df", "p_value")
 

@@ -6,9 +6,10 @@ subjects are chosen by IN / NOT IN, and merges go through GROUP BY and joins.
 
 from __future__ import annotations
 
+from recurra.config import SCENARIOS
+
 BORN = "DATE '1984-01-01' + CAST((c_custkey * 37) % 4018 AS INTEGER)"
 END = "DATE '2001-12-31'"
-SCENARIOS = [("none", 0.0, 1), ("city", 0.0083, 11), ("fast", 0.25, 1234)]
 
 ADMISSIONS = f"""
 adm AS (

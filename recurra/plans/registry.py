@@ -16,7 +16,6 @@ from recurra.operators import cleaning, contrasts, gee, persontime, scenarios, s
 from recurra.operators import episodes as ep
 from recurra.operators.design import age_spline
 from recurra.plans import derive, report
-from recurra.plans.oracle_sql import SCENARIOS
 from recurra.session import materialize, tune
 from recurra.sources import starschema as star
 from recurra.sources.tables import icd_dim
@@ -29,8 +28,8 @@ ALIVE = CohortConfig(followup_end=star.FOLLOWUP_END, worse_as_dead=False)
 TRANSITIVE = CohortConfig(followup_end=star.FOLLOWUP_END, worse_as_dead=True, merge_mode="transitive")
 PREFILTERED = CohortConfig(
     followup_end=star.FOLLOWUP_END, worse_as_dead=True, prefilter_index_subjects=True)
-SCENARIO_ROWS = [Emigration(*row) for row in SCENARIOS]
-MI_ROWS = c.seed_scenarios([11, 23, 37, 41, 53])
+SCENARIO_ROWS = [Emigration(*row) for row in c.SCENARIOS]
+MI_ROWS = c.seed_scenarios(c.IMPUTATION_SEEDS)
 SWEEP_ROWS = c.rate_scenarios()
 PERIOD = c.PERIOD_ONLY
 
@@ -650,11 +649,11 @@ def coef_table_period(spark, sf_dir):
 
 @query()
 def wald_test(spark, sf_dir):
-    """Sequential tests of the interaction model's blocks, each in the model that adds it."""
+    """Sequential tests of the interaction model's blocks, each in the model that adds it; overall: the interactions."""
     store, blocks = _saved(
         spark, ("sequence", sf_dir),
         lambda: gee.fit_sequence(_saved_weeks(spark, sf_dir), c.INTERACTION))
-    return rounded(gee.wald_test(store, blocks, per_model=True), 6, "chi2", "p_value")
+    return rounded(gee.wald_test(store, blocks, per_model=True, overall=("age_time", "sex_age", "sex_time")), 6, "chi2", "p_value")
 
 
 @query()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,46 +62,62 @@ NEGLECTED_CODES = ["B57", "B55", "B56", "B65", "B77", "B76", "B79", "B73", "B68"
                    "A90", "A91"]
 
 
-# Bits for the row's place within a task's share of the file, and the smallest distance of file blocks.
-ROW_BITS, BLOCK_BYTES = 33, 1 << 20
+# Bits for the row's place within a task's share of the files.
+ROW_BITS = 33
 
 
-def file_position() -> Column:
-    """A number that follows the order of the lines in one file.
+def numbered_lines(rows: DataFrame, into: str) -> DataFrame:
+    """Number the rows of text files in the order of file names and lines.
 
-    The file block comes first, then the row's place in the task that reads the
-    block. A retried task reads the same blocks in the same order, so the
-    numbers stay the same.
+    The file block comes first, by its rank among all blocks, then the row's place
+    in the task that reads the block. A retried task reads the same blocks in the
+    same order, so the numbers stay the same. There is one row per block in the
+    window over all blocks.
     """
-    block = F.floor(F.col("_metadata.file_block_start") / BLOCK_BYTES)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    return (block * F.lit(1 << ROW_BITS) + place).cast("long")
+    at = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")}
+    blocks = rows.select(*(v.alias(k) for k, v in at.items())).distinct()
+    ranked = blocks.withColumn("_rank", F.row_number().over(Window.orderBy("_file", "_block")))
+    placed = rows.select(*rows.columns, *(v.alias(k) for k, v in at.items()), place.alias("_place"))
+    number = (F.col("_rank").cast("long") * F.lit(1 << ROW_BITS) + F.col("_place")).alias(into)
+    return placed.join(ranked, ["_file", "_block"], "left").select(number, *rows.columns)
+
+
+def read_named_csv(spark: SparkSession, path: str, columns: dict[str, tuple[str, T.DataType]]) -> DataFrame:
+    """CSV files with a header, in any column order and with any further columns.
+
+    columns: header name -> (our name, type). A missing column is an error, and so is
+    a file whose header differs from the others'. A value that isn't of its type is NULL.
+    """
+    def reader():
+        return spark.read.option("header", True).option("nullValue", "NA")
+
+    header = reader().csv(path).columns
+    missing = [name for name in columns if name not in header]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)}")
+    # enforceSchema=false checks each file's header.
+    strings = T.StructType([T.StructField(name, T.StringType()) for name in header])
+    rows = reader().schema(strings).option("enforceSchema", False).csv(path)
+    return rows.select(*(F.col(f"`{name}`").try_cast(kind).alias(ours) for name, (ours, kind) in columns.items()), "_metadata")
 
 
 def read_admissions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Admissions with a stated schema: parquet in our names, or one CSV file with a header.
+    """Admissions with a stated schema: parquet in our names, or CSV files with a header.
 
     `source_ordinal` breaks ties between a subject's admissions. Parquet brings
-    it as a column; for a CSV it is the line's position in the file.
+    it as a column; for CSV it follows the order of file names and lines.
     """
     if fmt == "parquet":
         return spark.read.schema(ADMISSION_SCHEMA).parquet(path)
-    ours = {name: header for header, name in CSV_NAMES.items()}
-    header_schema = T.StructType([
-        T.StructField(ours.get(name, name), kind) for name, kind in ADMISSION_FIELDS
-    ])
-    # enforceSchema=false checks the header instead of trusting the column order.
-    rows = (
-        spark.read.schema(header_schema).option("header", True).option("enforceSchema", False)
-        .option("nullValue", "NA").csv(path)
-    )
-    numbered = rows.select(file_position().alias("source_ordinal"), "*")
-    return numbered.withColumnsRenamed(CSV_NAMES).select(*ADMISSION_SCHEMA.fieldNames())
+    headers = {ours: header for header, ours in CSV_NAMES.items()}
+    rows = read_named_csv(spark, path, {headers.get(name, name): (name, kind) for name, kind in ADMISSION_FIELDS})
+    return numbered_lines(rows, "source_ordinal").select(*ADMISSION_SCHEMA.fieldNames())
 
 
 def read_mortality(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema(MORTALITY_SCHEMA).option("header", True).csv(path)
-    return rows.select([F.col(f"`{old}`").alias(new) for old, new in MORTALITY_COLUMNS.items()])
+    kinds = {f.name: f.dataType for f in MORTALITY_SCHEMA}
+    return read_named_csv(spark, path, {old: (new, kinds[old]) for old, new in MORTALITY_COLUMNS.items()}).drop("_metadata")
 
 
 def icd_dim(codes: DataFrame, extra: tuple[str, ...] | None = ICD_EXTRA) -> DataFrame:

@@ -136,7 +136,7 @@ def test_csv_readers(spark, tmp_path):
     (tmp_path / "a.csv").write_text(header + "".join(lines))
     rows = tables.read_admissions(spark, str(tmp_path / "a.csv"), "csv")
     assert rows.schema == tables.ADMISSION_SCHEMA
-    first = rows.first()
+    first = rows.orderBy("source_ordinal").first()
     assert (first.patid, first.dob, first.date_dis, first.icd_m3, first.outcome) == (
         0, None, dt.date(2006, 1, 3), "B05", None)
     # The numbers follow the lines, also where several tasks read the file.
@@ -151,6 +151,25 @@ def test_csv_readers(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert ordered == [f"line {n}" for n in range(60000)]
     assert cleaning.dedupe_exact(rows.select(tables.CORE_COLUMNS)).orderBy("patid").first().diagnosis_en == "line 59997"
+    # Several files, with columns in another order and one more: read by name, numbers unique and in order.
+    folder = tmp_path / "many"
+    folder.mkdir()
+    names = ["extra", *reversed(header.strip().split(","))]
+    for i in range(2):
+        row = {"iduse": i, "sex": "male", "diagnosis.en": f"file {i}", "date.admit": "2006-01-01", "extra": "e"}
+        text = "".join(",".join(str(row.get(n, "NA")) for n in names) + "\n" for _ in range(3))
+        (folder / f"{i}.csv").write_text(",".join(names) + "\n" + text)
+    got = tables.read_admissions(spark, str(folder), "csv").orderBy("source_ordinal").collect()
+    assert [(r.patid, r.diagnosis_en) for r in got] == [(i, f"file {i}") for i in (0, 0, 0, 1, 1, 1)]
+    assert len({r.source_ordinal for r in got}) == 6 and got[0].date_admit == dt.date(2006, 1, 1)
+    (tmp_path / "short.csv").write_text(header.replace(",outcome", "") + "1\n")
+    with pytest.raises(ValueError, match="outcome"):
+        tables.read_admissions(spark, str(tmp_path / "short.csv"), "csv")
+    (tmp_path / "wide.csv").write_text(
+        "Measure,Sex,Value,Location,Cause of death or injury,Year,Age,Lower bound,Upper bound\n"
+        "Deaths,Both,2.0,World Bank Low Income,Enteric infections,2015,<5 years,1.0,3.0\n")
+    wide = tables.read_mortality(spark, str(tmp_path / "wide.csv")).first()
+    assert (wide.cause_of_death, wide.value, wide.lower_bound, wide.upper_bound) == ("Enteric infections", 2.0, 1.0, 3.0)
     (tmp_path / "m.csv").write_text(
         "Location,Year,Age,Cause of death or injury,Value,Lower bound,Upper bound\n"
         "World Bank Low Income,2015,<5 years,Enteric infections,2.0,1.0,3.0\n"
@@ -225,3 +244,9 @@ def test_histogram_bins_are_left_closed(spark):
 
 def test_first_day(spark):
     assert day(0) == dt.date(2006, 1, 1)
+
+
+def test_kruskal_without_spread(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 1.0)], "g string, v double")
+    got = summary.kruskal_h(rows, "v", "g").first()
+    assert got.n_total == 3 and got.h is None and got.p_value is None
