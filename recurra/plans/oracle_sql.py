@@ -437,9 +437,11 @@ def oracles(spline_weights=None) -> dict[str, str]:
             ub AS (SELECT patid, band, (y - sy / st * t) / sy AS u, sy, st FROM sb JOIN bt USING (band)),
             u1 AS (SELECT patid, u AS u1 FROM ub WHERE band = 1),
             b1 AS (SELECT sum(u * u) AS v1, any_value(sy / st) AS r1 FROM ub WHERE band = 1)
-            SELECT band, round(ln(any_value(sy / st) / any_value(r1)), 5) AS estimate,
+            , est AS (SELECT band, round(ln(any_value(sy / st) / any_value(r1)), 5) AS estimate,
               round(sqrt(sum(u * u) + any_value(v1) - 2 * sum(u * coalesce(u1, 0))), 5) AS std_err
-            FROM ub LEFT JOIN u1 USING (patid) CROSS JOIN b1 WHERE band > 1 GROUP BY band""",
+            FROM ub LEFT JOIN u1 USING (patid) CROSS JOIN b1 WHERE band > 1 GROUP BY band)
+            SELECT CAST(every.band AS INTEGER) AS band, estimate, std_err
+            FROM (SELECT unnest(range(2, 13)) AS band) every LEFT JOIN est ON est.band = every.band""",
         "baseline_characteristics": ALIVE + LABELLED + """,
             fr AS (SELECT *, row_number() OVER (PARTITION BY patid, period ORDER BY date_admit) AS r FROM lab),
             f1 AS (SELECT * FROM fr WHERE r = 1),
