@@ -25,6 +25,8 @@ from recurra.llm.common import BLOCK_BYTES, U64, mix, prepare, written
 #: Levels whose names a fingerprint keeps, and how many names of each.
 LEVELS = (2, 3)
 NAMES = 32
+#: Leading characters of a text that help to cut ranges where an id repeats; the order within a range is by whole texts.
+RANGE_CHARS = 16
 _HEX = 8
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _PLACE = mix(np.arange(1000, 1000 + 4096, dtype=np.uint64)) | U64(1)
@@ -123,14 +125,16 @@ def with_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The next document is the one that follows in descending order of id (ties: by
     text; null ids last), after the last the first. Null texts count as empty.
     Repeated rows are kept; a single row follows itself; an empty table gives no
-    rows; other columns are ignored. Rows are dealt by ranges of ids; a task sees
-    the next row of its own range, and the ends of ranges meet in a join.
+    rows; other columns are ignored. Rows are dealt by ranges of ids and beginnings
+    of texts, since whole texts in the sample that cuts the ranges would pass through
+    the driver; a task sees the next row of its own range, and the ends of ranges meet
+    in a join.
     """
     spark = prepare(df.sparkSession)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     order = [F.col("id").desc_nulls_last(), F.col("text")]
-    dealt = docs.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    dealt = docs.repartitionByRange(n, order[0], F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions(*order)
     kind = docs.schema["id"].dataType.simpleString()
     fields = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
