@@ -9,8 +9,10 @@ Equal sets are one node. In every list two nodes, one of them the set with the m
 frequent shingles, are compared with all others first; nodes found similar are in one component, and then
 only pairs of different components remain. So a crowd of near copies costs two
 comparisons per node and list instead of all its pairs, and no link between
-components is lost. Fixed-size bit sets say which shingles and which nodes can
-matter; where they fill up they let everything through, and results stay the same.
+components is lost. An entry also carries how many lists its set is in, and their
+names in one word of bits: sets whose bits differ too often can't share enough.
+Fixed-size bit sets say which shingles and which nodes can matter; where they or the
+words fill up they let everything through, and results stay the same.
 """
 
 from __future__ import annotations
@@ -197,8 +199,9 @@ def groups(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text
 
         def out() -> pa.RecordBatch:
             sizes = [len(h[1]) for h in held]
-            columns = [np.concatenate([h[1] for h in held]).astype(np.int64), np.repeat(np.array([h[0] for h in held], np.int64), sizes), np.repeat(np.array([h[3] for h in held], np.int32), sizes), np.repeat(np.array([h[2] for h in held], np.int32), sizes), np.concatenate([h[4] for h in held]).astype(np.int32), np.repeat(np.array([h[5] for h in held], np.int64), sizes)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "node", "n", "need", "at", "frequent"])
+            names = [np.bitwise_or.reduce(U64(1) << ((h[1] >> U64(SHARED)) & U64(63)), initial=U64(0)).view(np.int64) for h in held]
+            columns = [np.concatenate([h[1] for h in held]).astype(np.int64), np.repeat(np.array([h[0] for h in held], np.int64), sizes), np.repeat(np.array([h[3] for h in held], np.int32), sizes), np.repeat(np.array([h[2] for h in held], np.int32), sizes), np.concatenate([h[4] for h in held]).astype(np.int32), np.repeat(np.array([h[5] for h in held], np.int64), sizes), np.repeat(np.array(sizes, np.int32), sizes), np.repeat(np.array(names, np.int64), sizes)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "node", "n", "need", "at", "frequent", "lists", "names"])
 
         for node, shingles, need, frequent, n in prefixes(batches):
             at = np.flatnonzero(has(twice.value, shingles, SHARED))
@@ -209,8 +212,8 @@ def groups(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text
         if held:
             yield out()
 
-    lists = written(texts.mapInArrow(postings, "shingle long, node long, n int, need int, at int, frequent long"), "postings")
-    entry = F.struct("node", "n", "need", "at")
+    lists = written(texts.mapInArrow(postings, "shingle long, node long, n int, need int, at int, frequent long, lists int, names long"), "postings")
+    entry = F.struct("node", "n", "need", "at", "lists", "names")
     # In a crowd of edited copies the one closest to all others has the fewest rare shingles.
     ends = lists.groupBy("shingle").agg(F.max_by(entry, F.struct("frequent", "node")).alias("first"), F.min_by(entry, "node").alias("last"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     ends = written(ends.select("shingle", F.explode(F.array("first", "last")).alias("end")), "ends")
@@ -223,10 +226,13 @@ def groups(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text
         """Whether a shingle that two sets share at these places of their order speaks for their similarity.
 
         Similar sets share `need` of the first `size - wanted + need` shingles of each.
+        Of a set's shingles, one at least per bit that the other lacks isn't shared.
         """
         least = wanted(f"{x}.n", f"{y}.n") - F.least(f"{x}.need", f"{y}.need")
         early = (F.col(f"{x}.at") < F.col(f"{x}.n") - least) & (F.col(f"{y}.at") < F.col(f"{y}.n") - least)
-        return (100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")) & early
+        sizes = 100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")
+        share = [F.col(f"{p}.lists") - F.bit_count(F.col(f"{p}.names").bitwiseAND(F.bitwise_not(f"{q}.names"))) >= F.least(f"{x}.need", f"{y}.need") for p, q in ((x, y), (y, x))]
+        return sizes & early & share[0] & share[1]
 
     def candidates(met: DataFrame, x: str, y: str) -> DataFrame:
         """Pairs (a, b) that share enough prefix shingles, of rows (x, y), one per shared shingle."""
