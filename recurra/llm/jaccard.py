@@ -27,7 +27,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recurra.llm.common import U64, blocks, mix, prepare, release, shingle_sets, sum_vectors, written
+from recurra.llm.common import U64, blocks, mix, prepare, shingle_sets, sum_vectors, written
 from recurra.llm.components import components
 from recurra.llm.twice import has, met_twice
 
@@ -102,7 +102,8 @@ def _similar(rows: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
             found = [(node, s) for node, s in kept.fresh(block.column(0)) if has(bits, np.array([node]).astype(U64), NODES)[0]]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1].tobytes() for f in found], pa.binary())], names=["node", "shingles"])
 
-    known = written(rows.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    # Both sides below read the one exchange by node in which repeats go.
+    known = rows.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,9 +118,7 @@ def _similar(rows: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
 
     sides = [known.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab"]
     joined = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", "set_a", "set_b")
-    found = written(joined.mapInArrow(verify, "a long, b long"), "similar")
-    release(known)
-    return found
+    return written(joined.mapInArrow(verify, "a long, b long"), "similar")
 
 
 def join(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
