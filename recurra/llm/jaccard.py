@@ -212,9 +212,12 @@ def groups(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text
             yield out()
 
     lists = written(texts.mapInArrow(postings, "shingle long, node long, n int, need int, at int, frequent long, lists int, names long"), "postings")
+    # Most shingles that the bit set lets through turn out to have one node; only two numbers per shingle travel to learn it.
+    several = lists.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("shingle")
+    lists = written(lists.join(several, "shingle", "left_semi"), "lists")
     entry = F.struct("node", "n", "need", "at", "lists", "names")
     # In a crowd of edited copies the one closest to all others has the fewest rare shingles.
-    ends = lists.groupBy("shingle").agg(F.max_by(entry, F.struct("frequent", "node")).alias("first"), F.min_by(entry, "node").alias("last"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    ends = lists.groupBy("shingle").agg(F.max_by(entry, F.struct("frequent", "node")).alias("first"), F.min_by(entry, "node").alias("last"))
     ends = written(ends.select("shingle", F.explode(F.array("first", "last")).alias("end")), "ends")
 
     def wanted(n: str, m: str) -> Column:
@@ -244,8 +247,7 @@ def groups(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text
     similar = _similar(texts, first, words, percent)
     found = components(similar, "a", "b")
     # What is left: pairs of one list, in different components, neither of them compared with the other yet.
-    many = ends.select("shingle").distinct()
-    placed = one.join(many, "shingle", "left_semi").join(found.select(F.col("node").alias("of"), "component"), F.col("x.node") == F.col("of"), "left").select("shingle", "x", F.coalesce("component", F.col("x.node")).alias("c"))
+    placed = one.join(found.select(F.col("node").alias("of"), "component"), F.col("x.node") == F.col("of"), "left").select("shingle", "x", F.coalesce("component", F.col("x.node")).alias("c"))
     mixed = placed.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("shingle")
     placed = written(placed.join(mixed, "shingle", "left_semi"), "placed")
     other = placed.select("shingle", F.col("x").alias("y"), F.col("c").alias("d"))
