@@ -278,6 +278,15 @@ def test_personal_data(spark, none):
     assert pii.find(none).count() == 0
 
 
+def test_separated_digits(spark):
+    texts = ["41 11 11 11 11 11 11 11", "pay 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 now", "4-1-1-1 1-1-1-1 1-1-1-1 1-1-1-1", "+1 2 3 4 5 6 7 8 9 0", "call +1.2.3(4)5-6 7 8 9, 1.2.3.4"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(pii.find(df).select("doc_id", pii.as_text("strict")).collect())
+    assert got == {i: ",".join(_base_spans(t)) for i, t in enumerate(texts)} and all(got.values())
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert clean[0] == "[card]" and clean[1] == "pay [card] now" and clean[3] == "[phone]"
+
+
 def test_packing(docs, none, rows):
     library = Tokenizer.from_file(WORD)
     got = packing.pack(docs, WORD, capacity=128, open_bins=4).collect()
