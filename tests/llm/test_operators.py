@@ -287,6 +287,22 @@ def test_separated_digits(spark):
     assert clean[0] == "[card]" and clean[1] == "pay [card] now" and clean[3] == "[phone]"
 
 
+OBFUSCATED = ["mail name [at] host [dot] com", "write to joe(at)mail(dot)org now", "contact a @ b . c", "server 10[.]0[.]0[.]1 is up", "host 2001:db8::7 here", "addr fe80:0:0:0:1:2:3:4 end", "card 4111.1111.1111.1111 paid", "visa 5500/0000/0000/0004", "call 743 555 3824 today"]
+HARMLESS = ["at 12:30:45 on 2024-01-02", "we meet @ noon. We wait", "order 1234.5678.9012.3456", "version 300[.]1[.]2[.]3", "00:1a:2b:3c:4d:5e"]
+
+
+@pytest.mark.parametrize("strict", [0, 600])
+def test_obfuscated_personal_data(spark, strict):
+    draw = random.Random(strict)
+    number = lambda n: "".join(draw.choice("123456789") for _ in range(n))
+    texts = OBFUSCATED + HARMLESS
+    for i in range(strict):
+        texts += [f"mail u{number(4)}@h{number(3)}.com or server 10.{i // 250}.0.{i % 250} or card 4111 1111 1111 1111 or call +1 {number(3)} {number(3)} {number(4)}", f"at {i % 24}:10:{i % 60} on 2024-01-{i % 28 + 1}, order {number(4)}.{number(4)}.{number(3)}, {number(4)} @ x. Y"]
+    got = dict(pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", pii.as_text("spans")).collect())
+    assert [t for i, t in enumerate(OBFUSCATED) if not got[i]] == []
+    assert [t for i, t in enumerate(HARMLESS, len(OBFUSCATED)) if got[i]] == []
+
+
 def test_packing(docs, none, rows):
     library = Tokenizer.from_file(WORD)
     got = packing.pack(docs, WORD, capacity=128, open_bins=4).collect()
