@@ -303,6 +303,16 @@ def test_obfuscated_personal_data(spark, strict):
     assert [t for i, t in enumerate(HARMLESS, len(OBFUSCATED)) if got[i]] == []
 
 
+def test_copies_teach_once(spark, monkeypatch):
+    monkeypatch.setattr(pii, "TRAIN_ROWS", 60)
+    kept = []
+    monkeypatch.setattr(pii, "written", lambda df, name: kept.append((name, df)) or df)
+    texts = ["at 12:30:45 x"] * 400 + [f"card 4111 1111 1111 1111 or {1000 + i}.0000.0000.0000" for i in range(60)]
+    pii.fit(pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    sample = next(df for name, df in kept if name == "sample").select("kind", "span", "before", "after").collect()
+    assert len(sample) == len(set(sample)) == 60
+
+
 def test_packing(docs, none, rows):
     library = Tokenizer.from_file(WORD)
     got = packing.pack(docs, WORD, capacity=128, open_bins=4).collect()
