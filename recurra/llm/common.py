@@ -126,6 +126,16 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     return starts, stops, np.searchsorted(offsets, starts, "right") - 1, hashes
 
 
+def run_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of bytes, wherever they stand."""
+    n = len(data)
+    power, inverse = _powers(n)
+    sums = np.empty(n + 1, U64)
+    sums[0] = 0
+    np.cumsum(_LUT[data] * power[:n], out=sums[1:])
+    return mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     """For each row the sorted distinct hashes of its k-word shingles.
 

@@ -24,15 +24,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recurra.llm.common import U64, blocks, flat, mix, prepare
+from recurra.llm.common import U64, blocks, flat, mix, prepare, run_hashes
 
 LENGTH = 50
 #: Bytes whose hash deals a passage; fewer than `length`.
 ANCHOR = 16
 #: Keys of one shard, about.
 SHARD_KEYS = 1_000_000
-#: A key that more buckets than this have is dealt by single passages, so that no shard gets all their contexts.
-HOT = 4096
+#: A key with more than this many contexts that differ is dealt by single passages, so that no shard gets them all.
+#: A bucket's equal contexts count once; one longer than UNIT bytes counts once for each UNIT begun, so a key has 2 MiB at most.
+HOT = 16384
+UNIT = 128
 #: Text bytes of one bucket of documents, at least and at most.
 BUCKET_BYTES = (1 << 20, 32 << 20)
 #: Entries of the queues that stay in memory, over all bytes.
@@ -306,23 +308,24 @@ def _shared_keys(spread: _Spread, text_col: str, length: int) -> DataFrame:
     bucket_at, text_at = spread.docs.columns.index("__bucket"), spread.docs.columns.index(text_col)
 
     def collect(group: pa.Table) -> pa.Table:
-        keys, several, shard = _bucket_keys(group.column(text_at), length, shards)
+        keys, several, shard, units = _bucket_keys(group.column(text_at), length, shards, sized=True)
         cuts = np.searchsorted(shard, np.arange(shards + 1))
         some = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
-        blobs = [zstandard.ZstdCompressor(1).compress(np.diff(keys[cuts[s] : cuts[s + 1]], prepend=U64(0)).tobytes() + np.packbits(several[cuts[s] : cuts[s + 1]]).tobytes()) for s in some]
+        blobs = [zstandard.ZstdCompressor(1).compress(np.diff(keys[cuts[s] : cuts[s + 1]], prepend=U64(0)).tobytes() + units[cuts[s] : cuts[s + 1]].tobytes() + np.packbits(several[cuts[s] : cuts[s + 1]]).tobytes()) for s in some]
         sizes = [int(cuts[s + 1] - cuts[s]) for s in some]
         bucket = group.column(bucket_at)[0].as_py()
         return pa.table({"bucket": pa.array([bucket] * len(some), pa.int32()), "shard": pa.array(some, pa.int32()), "n": pa.array(sizes, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     def count(group: pa.Table) -> pa.Table:
-        parts, flags = [], []
+        parts, sizes, flags = [], [], []
         for n, raw in zip(group.column(2).to_pylist(), group.column(3).to_pylist(), strict=True):
             raw = zstandard.ZstdDecompressor().decompress(raw)
             parts.append(np.cumsum(np.frombuffer(raw, U64, n), dtype=U64))
-            flags.append(np.unpackbits(np.frombuffer(raw, np.uint8, offset=8 * n), count=n).astype(bool))
+            sizes.append(np.frombuffer(raw, "<u4", n, 8 * n))
+            flags.append(np.unpackbits(np.frombuffer(raw, np.uint8, offset=12 * n), count=n).astype(bool))
         keys = np.concatenate(parts)
         _, at, buckets_with = np.unique(keys, return_inverse=True, return_counts=True)
-        many, hot = np.concatenate(flags) | (buckets_with[at] > 1), buckets_with[at] > HOT
+        many, hot = np.concatenate(flags) | (buckets_with[at] > 1), (np.bincount(at, np.concatenate(sizes)) > HOT)[at]
         ends = np.cumsum([len(x) for x in parts])
         bits = [np.packbits(np.concatenate([many[b - len(x) : b], hot[b - len(x) : b]])).tobytes() for x, b in zip(parts, ends.tolist(), strict=True)]
         return pa.table({"bucket": group.column(0), "shard": group.column(1), "bits": pa.array(bits, pa.binary())})
@@ -331,25 +334,29 @@ def _shared_keys(spread: _Spread, text_col: str, length: int) -> DataFrame:
     return keys.groupBy("shard").applyInArrow(count, "bucket int, shard int, bits binary")
 
 
-def _bucket_keys(texts: pa.ChunkedArray, length: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct keys of a bucket by (shard, key), whether two of its documents have them, and their shards."""
-    found = [(np.empty(0, U64), np.empty(0, np.int64))]
+def _bucket_keys(texts: pa.ChunkedArray, length: int, shards: int, sized: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of a bucket by (shard, key), whether two of its documents have them, their shards, and, if `sized`, the units of their distinct contexts."""
+    found = [(np.empty(0, U64), np.empty(0, np.int64), np.empty(0, U64), np.empty(0, np.uint32))]
     row_before = 0
     for chunk in texts.chunks:
         for part in blocks([pa.RecordBatch.from_arrays([chunk], names=["t"])], "t"):
             data, offsets = flat(part.column(0))
-            key, row, _, _ = _keys(data, offsets, length)
-            found.append((key, row + row_before))
+            key, row, begin, covered = _keys(data, offsets, length)
+            context = run_hashes(data, begin, begin + covered) if sized and len(key) else np.zeros(len(key), U64)
+            found.append((key, row + row_before, context, (-(-covered // UNIT)).astype(np.uint32)))
             row_before += part.num_rows
-    key, row = (np.concatenate(x) for x in zip(*found, strict=True))
+    key, row, context, units = (np.concatenate(x) for x in zip(*found, strict=True))
     shard = (mix(key) % U64(shards)).astype(np.int64)
-    order = np.lexsort((row, key, shard))
-    key, row, shard = key[order], row[order], shard[order]
+    if not len(key):
+        return key, np.zeros(0, bool), shard, units
+    order = np.lexsort((context, key, shard))
+    key, row, context, units, shard = key[order], row[order], context[order], units[order], shard[order]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(key))[: len(first)] - 1
-    return key[first], row[first] != row[last], shard[first]
+    new[1:] |= context[1:] != context[:-1]
+    several = np.minimum.reduceat(row, first) != np.maximum.reduceat(row, first)
+    return key[first], several, shard[first], np.add.reduceat(np.where(new, units, 0).astype(np.uint32), first, dtype=np.uint32)
 
 
 def find(spread: _Spread, text_col: str, length: int) -> DataFrame:
@@ -365,7 +372,7 @@ def find(spread: _Spread, text_col: str, length: int) -> DataFrame:
         """The bucket's contexts with shared keys: one compressed blob per shard, each context once per id; and what is certain already."""
         out = {"shard": [], "kind": [], "blob": []}
         if group.num_rows and bits.num_rows:
-            keys, _, shard = _bucket_keys(group.column(at[text_col]), length, shards)
+            keys, _, shard, _ = _bucket_keys(group.column(at[text_col]), length, shards)
             cuts = np.searchsorted(shard, np.arange(shards + 1))
             many, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
             for s, raw in zip(bits.column(1).to_pylist(), bits.column(2).to_pylist(), strict=True):

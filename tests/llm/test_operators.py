@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -245,6 +246,31 @@ def test_passages(docs, none, rows, monkeypatch, hot):
         assert suffixes.digests(none).count() == 0
 
 
+def test_hot_keys_by_contexts(spark, monkeypatch):
+    # One phrase among differing surroundings, in one bucket.
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("abcdeinorst") for _ in range(40))
+    rows = [(i, f"{word()} the very same phrase of a source {word()}") for i in range(200)]
+    rows += [(1000 + i, rows[i % 7][1]) for i in range(300)] + [(2000 + i, f"once for each copy: {rows[0][1]}") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(suffixes, "HOT", 100)
+    spread = suffixes._spread(df, "doc_id", "text", 50)
+    bits = {r.shard: r.bits for r in suffixes._shared_keys(spread, "text", 50).collect()}
+    keys, _, shard, *_ = suffixes._bucket_keys(pa.chunked_array([pa.array([t for _, t in rows])]), 50, spread.shards)
+    contexts = defaultdict(set)
+    for _, t in rows:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        for k, _, a, n in zip(*(x.tolist() for x in suffixes._keys(raw, np.array([0, len(raw)]), 50)), strict=True):
+            contexts[k].add(t[a : a + n])
+    hot = {k for k, c in contexts.items() if len(c) > 100}
+    got = set()
+    for s, raw in bits.items():
+        mine = keys[shard == s]
+        got |= set(mine[np.unpackbits(np.frombuffer(raw, np.uint8), count=2 * len(mine))[len(mine) :].astype(bool)].tolist())
+    assert got == hot and hot
+    assert sorted((str(r.doc_id), *r[1:]) for r in suffixes.digests(df).collect()) == sorted(_removed(rows))
+
+
 @pytest.mark.parametrize("queue", [4, 1 << 20])
 def test_suffix_order(queue):
     draw = random.Random(queue)
