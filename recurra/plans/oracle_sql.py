@@ -404,6 +404,8 @@ def oracles(spline_weights=None) -> dict[str, str]:
             SELECT n_total, n_groups, round(h, 6) AS h, n_groups - 1 AS df, round(exp(-h / 2), 6) AS p_value FROM hh""",
         "histogram": FULL + "SELECT period, CAST(floor(age_at_infection / 0.25) AS BIGINT) AS bin, count(*) AS n, "
             "round(floor(age_at_infection / 0.25) * 0.25, 6) AS bin_start FROM pw GROUP BY ALL",
+        "histogram_relative": FULL + f"SELECT period, CAST(floor(({REL}) / 0.25) AS BIGINT) AS bin, count(*) AS n, "
+            f"round(floor(({REL}) / 0.25) * 0.25, 6) AS bin_start FROM pw GROUP BY ALL",
         "sample_topk": FULL + "SELECT patid, round(max(age_at_infection), 9) AS age_stop FROM pw GROUP BY patid "
             "ORDER BY md5(patid || '|12321'), patid LIMIT 20",
         "recode_levels": base() + "SELECT CASE outcome WHEN 'discharged' THEN 'Discharged' WHEN 'dead' THEN 'Dead' END "

@@ -419,6 +419,12 @@ def histogram(spark, sf_dir):
                    6, "bin_start")
 
 
+@query()
+def histogram_relative(spark, sf_dir):
+    weeks = _weeks(spark, sf_dir).withColumn("relative_time", report.relative_time())
+    return rounded(summary.histogram(weeks, "relative_time", 0.0, 0.25, ["period"]), 6, "bin_start")
+
+
 @query()
 def sample_topk(spark, sf_dir):
     return rounded(report.figure_sample(_weeks(spark, sf_dir)).select("patid", "age_stop"), 9, "age_stop")

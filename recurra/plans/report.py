@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recurra import config as c
@@ -134,13 +134,17 @@ def figure_spans(weeks: DataFrame) -> DataFrame:
     return persontime.subject_span(weeks)
 
 
-def figure_events(weeks: DataFrame) -> DataFrame:
-    """Points of the events by age and by time relative to the index event."""
-    relative = F.when(
+def relative_time() -> Column:
+    """Years since the index event, negative before it."""
+    return F.when(
         F.col("period") == c.PERIOD_BEFORE, F.col("age_at_infection") - F.col("age_at_index_y")
     ).otherwise(F.col("time_after_index"))
+
+
+def figure_events(weeks: DataFrame) -> DataFrame:
+    """Points of the events by age and by time relative to the index event."""
     return persontime.events(weeks).select(
-        "patid", "period", "age_at_infection", relative.alias("relative_time"))
+        "patid", "period", "age_at_infection", relative_time().alias("relative_time"))
 
 
 def figure_sample(weeks: DataFrame, n: int = 20, seed: int = 12321) -> DataFrame:
