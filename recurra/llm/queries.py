@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recurra.llm import bpe, jaccard, langid, packing, parsing, pii, pivots, quality, runs, sharding, suffixes
+from recurra.llm import bpe, jaccard, langid, packing, parsing, phrases, pii, pivots, quality, runs, sharding, suffixes
 from recurra.llm.common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,7 +78,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_extendible_shards, op2_pivot_index, op3_bpe_round_trip, op4_pii_boosting, op5_suffix_dedup, op6_language_id, op7_jaccard_join, op8_quality_votes, op9_best_fit_packing, op10_parsing_fingerprints, op12_periodic_runs)}
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language by the cohesion of their weakest cut."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_extendible_shards, op2_pivot_index, op3_bpe_round_trip, op4_pii_boosting, op5_suffix_dedup, op6_language_id, op7_jaccard_join, op8_quality_votes, op9_best_fit_packing, op10_parsing_fingerprints, op12_periodic_runs, op13_phrase_collocations)}
 
 #: DuckDB twins, where SQL can express the result.
 ORACLES: dict[str, str] = {
