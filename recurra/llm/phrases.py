@@ -8,13 +8,12 @@ scanned by then, and counts for one full cycle from there; so lengths interleave
 and its count is exact. A phrase is never more frequent than its subphrases, so
 none above the threshold is missed.
 
-Two kinds of counters share the work. The counts themselves are rows of phrase and
-number, summed by Spark. Whether a subphrase has reached the threshold is kept in a
-table of 2**CELLS cells per length, by hash: a cell holds the step since which it is
-at the threshold. Where phrases share a cell, one may become active early and is
-counted for nothing, but the step is the same for all tasks, so counts stay exact.
-The cells have a fixed size, in tasks and on the driver, whatever the corpus; with far
-more frequent phrases than cells, more phrases are counted that turn out rare.
+A counter is at the threshold when one shard alone, or its whole cycle, brings it there.
+Tasks learn of it by a table of 2**CELLS cells per length, by hash: a cell holds the
+step since which a phrase in it is at the threshold. Where phrases share a cell, one may
+become active early and is counted for nothing, but the step is the same for all tasks,
+so counts stay exact. The table has a fixed size, in tasks and on the driver, whatever the
+corpus; with more frequent phrases than cells, more phrases are counted that turn out rare.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from recurra.llm.common import U64, blocks, flat, mix, release, run_hashes, written
 from recurra.session import materialize
 
-LONGEST, LEAST, SHARDS, CELLS = 4, 30, 4, 23
+LONGEST, LEAST, SHARDS, CELLS = 4, 30, 3, 23
 #: A phrase is inside a longer one if that has this share of its occurrences, in per cent.
 INSIDE_PERCENT, SCORE_SCALE, TOP = 80, 2_000_000, 2_000
 #: Text bytes whose phrases are counted together before they leave a task.
@@ -97,23 +96,23 @@ def _salts(langs: pa.Array) -> np.ndarray:
     return mix(np.array(known, U64) + U64(1))[coded.indices.to_numpy(zero_copy_only=False)] if len(langs) else np.empty(0, U64)
 
 
-def _active(first: np.ndarray, words: np.ndarray, piece: np.ndarray, step: int, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, places, hashes) of the phrases that count in this step, by the steps since which subphrases are at the threshold."""
+def _active(first: np.ndarray, words: np.ndarray, piece: np.ndarray, step: int, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, places, hashes, steps of activation) of the phrases that count in this step; `first` has the steps since which subphrases are at the threshold."""
     shift = U64(64 - CELLS)
     below = _hashes(words, 1)
     if step < shards:
-        yield 1, np.arange(len(words)), below
+        yield 1, np.arange(len(words)), below, np.zeros(len(words), np.uint8)
     for k in range(2, first.shape[0] + 2):
         here = _hashes(words, k)
         since = first[k - 2][(below >> shift).astype(np.int64)]
         since = np.maximum(since[:-1], since[1:]) if len(since) else since
         at = np.flatnonzero((piece[: len(here)] == piece[k - 1 :]) & (since <= step) & (since + np.int64(shards) > step)) if len(here) else np.empty(0, np.int64)
-        yield k, at, here[at]
+        yield k, at, here[at], since[at]
         below = here
 
 
 def _count(shard: DataFrame, first: np.ndarray, step: int, shards: int) -> DataFrame:
-    """(lang, phrase, words, n) of the phrases that count in this step; rows of one phrase are not yet summed."""
+    """(lang, phrase, words, since, cell, n) of the phrases that count in this step; rows of one phrase are not yet summed."""
     shared = shard.sparkSession.sparkContext.broadcast(first)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,19 +126,19 @@ def _count(shard: DataFrame, first: np.ndarray, step: int, shards: int) -> DataF
                 continue
             hashes = mix(run_hashes(data, starts, stops) ^ _salts(batch.column("lang"))[row])
             text, begin, end = _normal(data, starts, stops)
-            for k, at, h in _active(shared.value, hashes, piece, step, shards):
+            for k, at, h, since in _active(shared.value, hashes, piece, step, shards):
                 order = np.argsort(h)
                 new = np.flatnonzero(np.diff(h[order], prepend=h[order[:1]] + U64(1)))
-                one = at[order[new]]
+                one, cell, since = at[order[new]], (h[order[new]] >> U64(64 - CELLS)).astype(np.int32), since[order[new]].astype(np.int16)
                 n = np.diff(np.append(new, len(at)))
                 for i in range(0, len(one), 1 << 16):
                     some = one[i : i + (1 << 16)]
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("lang").take(pa.array(row[some])), _gather(text, begin[some], end[some + k - 1]),
-                         pa.array(np.full(len(some), k, np.int8)), pa.array(n[i : i + (1 << 16)], pa.int64())],
-                        names=["lang", "phrase", "words", "n"])
+                         pa.array(np.full(len(some), k, np.int8)), pa.array(since[i : i + (1 << 16)]), pa.array(cell[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)], pa.int64())],
+                        names=["lang", "phrase", "words", "since", "cell", "n"])
 
-    return shard.mapInArrow(task, "lang string, phrase string, words tinyint, n bigint")
+    return shard.mapInArrow(task, "lang string, phrase string, words tinyint, since smallint, cell int, n bigint")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,51 +154,33 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-def _cells(counts: DataFrame, lengths: int) -> np.ndarray:
-    """The counts by length and cell, up to 255 each. Fixed-size arrays are added in tasks, in two rounds."""
+def _cells(phrases: DataFrame, lengths: int) -> np.ndarray:
+    """Which cells the phrases of up to `lengths` words are in, by length. Fixed-size bit sets meet in tasks, in two rounds."""
 
-    def pack(total: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([zlib.compress(total, 1)], pa.binary())], names=["cells"])
-
-    def add(total: np.ndarray, cells: np.ndarray, n: np.ndarray) -> None:
-        # Distinct cells only.
-        total[cells] = np.minimum(total[cells] + n, 255).astype(np.uint8)
+    def pack(bits: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits, 1)], pa.binary())], names=["bits"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(lengths << CELLS, np.uint8)
+        met = np.zeros(lengths << CELLS, bool)
         for batch in batches:
-            data, offsets = flat(batch.column("phrase"))
-            if not len(data):
-                continue
-            starts, stops, row, _ = _tokens(data, offsets)
-            salt = _salts(batch.column("lang"))
-            word = mix(run_hashes(data, starts, stops) ^ salt[row])
-            k = batch.column("words").to_numpy().astype(np.int64)
-            n = batch.column("n").to_numpy()
-            at = np.searchsorted(row, np.arange(batch.num_rows))
-            for length in range(1, lengths + 1):
-                rows = np.flatnonzero(k == length)
-                if len(rows):
-                    h = _hashes(word, length)[at[rows]]
-                    cells, back = np.unique((h >> U64(64 - CELLS)).astype(np.int64) + ((length - 1) << CELLS), return_inverse=True)
-                    add(total, cells, np.bincount(back, n[rows]).astype(np.int64))
-        yield pack(total)
+            k, cell = (batch.column(i).to_numpy().astype(np.int64) for i in range(2))
+            met[cell + ((k - 1) << CELLS)] = True
+        if met.any():
+            yield pack(np.packbits(met))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(lengths << CELLS, np.uint8)
+        bits = np.zeros(lengths << (CELLS - 3), np.uint8)
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                part = np.frombuffer(zlib.decompress(raw), np.uint8)
-                low = part + total
-                low[low < part] = 255
-                total = low
-        yield pack(total)
-
-    parts = counts.where(F.col("words") <= lengths).mapInArrow(task, "cells binary")
-    out = np.zeros(lengths << CELLS, np.uint8)
-    for (raw,) in parts.repartition(8).mapInArrow(merge, "cells binary").coalesce(1).mapInArrow(merge, "cells binary").collect():
+                bits |= np.frombuffer(zlib.decompress(raw), np.uint8)
+        if bits.any():
+            yield pack(bits)
+
+    parts = phrases.where(F.col("words") <= lengths).select("words", "cell").mapInArrow(task, "bits binary")
+    out = np.zeros(lengths << (CELLS - 3), np.uint8)
+    for (raw,) in parts.repartition(8).mapInArrow(merge, "bits binary").coalesce(1).mapInArrow(merge, "bits binary").collect():
         out = np.frombuffer(zlib.decompress(raw), np.uint8)
-    return out.reshape(lengths, 1 << CELLS)
+    return np.unpackbits(out).astype(bool).reshape(lengths, 1 << CELLS)
 
 
 def _sharded(docs: DataFrame, text: str, lang: str, shards: int) -> DataFrame:
@@ -208,33 +189,40 @@ def _sharded(docs: DataFrame, text: str, lang: str, shards: int) -> DataFrame:
     return materialize(rows.where(F.length("text") > 0), "llm-phrase-shards", partition_by=["shard"])
 
 
-def count(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST, shards: int = SHARDS) -> DataFrame:
-    """(lang, phrase, words, n): how often each word occurs, and each phrase of up to `longest` words that may have `least` occurrences.
+def count(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
+    """(lang, phrase, words, a): the phrases of one to `longest` words with a >= `least` occurrences; and (lang, n): all words.
 
-    Counts of all words and of phrases with `least` or more are exact; a phrase with
-    fewer may be missing. Occurrences lie within pieces and may overlap. A null
-    language counts as und, a null text as empty; repeated rows count each; other columns
-    are not read. An empty table gives an empty one. `least` is at most 255.
+    Occurrences lie within pieces and may overlap. A null language counts as und, a null
+    text as empty; repeated rows count each; other columns are not read. An empty table
+    gives empty ones. A text of any length is counted whole.
     """
     table = _sharded(docs, text, lang, shards)
     first = np.full((longest - 1, 1 << CELLS), NEVER, np.uint8)
-    reached = np.zeros((longest - 1, 1 << CELLS), np.uint8)
-    steps, step, last = [], 0, shards
+    steps, complete, sizes, step, last = {}, [], [], 0, shards
     while step < last:
         shard = table.where(F.col("shard") == step % shards).select("lang", "text")
-        summed = _count(shard, first, step, shards).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-        steps.append(written(summed, "phrase-counts"))
-        now = _cells(steps[-1], longest - 1)
-        low = now + reached
-        low[low < now] = 255
-        reached = low
-        first[(reached >= least) & (first == NEVER)] = step + 1
+        summed = _count(shard, first, step, shards).groupBy("lang", "phrase", "words", "since", "cell").agg(F.sum("n").alias("n"))
+        steps[step] = written(summed, "phrase-counts")
+        if step < shards:
+            sizes.append(written(steps[step].where("words = 1").groupBy("lang").agg(F.sum("n").alias("n")), "phrase-words"))
+        reached = steps[step].where(F.col("n") >= least).select("words", "cell")
+        begun = step - shards + 1
+        if begun >= 0:
+            # These counters end their cycle with this step.
+            cycle = reduce(DataFrame.unionByName, (steps[i] for i in range(begun, step + 1)))
+            whole = cycle.where(F.col("since") == begun).groupBy("lang", "phrase", "words", "cell").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+            complete.append(written(whole, "phrases"))
+            reached = reached.unionByName(complete[-1].select("words", "cell"))
+            release(steps.pop(begun))
+        first[_cells(reached, longest - 1) & (first == NEVER)] = step + 1
         known = first[first != NEVER]
         # A phrase counts for a cycle from the later of its subphrases' steps.
         last = max(last, int(known.max()) + shards) if len(known) else last
         step += 1
-    release(table)
-    return reduce(DataFrame.unionByName, steps).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    for old in (table, *steps.values()):
+        release(old)
+    words = reduce(DataFrame.unionByName, sizes).groupBy("lang").agg(F.sum("n").alias("n"))
+    return reduce(DataFrame.unionByName, complete).select("lang", "phrase", "words", "a"), words
 
 
 def _cut(words: Column, k: int) -> tuple[Column, Column]:
@@ -246,9 +234,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
 
     a counts the phrase, l and r the two parts of its weakest cut, n all words. See `count` for nulls and repeats.
     """
-    counts = written(count(docs, text, lang, longest, least, shards).where((F.col("words") == 1) | (F.col("n") >= least)), "phrases")
-    sizes = counts.where("words = 1").groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = counts.where(F.col("n") >= least).select("lang", "phrase", "words", F.col("n").alias("a"))
+    frequent, sizes = count(docs, text, lang, longest, least, shards)
     longer = frequent.where("words > 1").withColumn("w", F.split("phrase", " "))
     cuts = F.array(*(F.when(F.col("words") > k, F.struct(F.lit(k).alias("k"), *(c.alias(x) for c, x in zip(_cut(F.col("w"), k), ("left", "right"), strict=True)))) for k in range(1, longest)))
     cut = longer.select("lang", "phrase", "a", F.explode(F.filter(cuts, lambda c: c.isNotNull())).alias("c")).select("lang", "phrase", "a", "c.*")
