@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recurra.llm import bpe, jaccard, langid, packing, parsing, phrases, pii, pivots, quality, runs, sharding, suffixes
+from recurra.llm import bpe, chat, jaccard, langid, packing, parsing, phrases, pii, pivots, quality, runs, sharding, suffixes
 from recurra.llm.common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,11 @@ def op10_parsing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.with_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted in windows, and read back."""
+    return chat.digests(chat.with_control_strings(table(spark, sf_dir, "conversations")))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in every document, and digests of the texts without repeats."""
     return runs.digests(table(spark, sf_dir, "documents"))
@@ -83,7 +88,7 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_extendible_shards, op2_pivot_index, op3_bpe_round_trip, op4_pii_boosting, op5_suffix_dedup, op6_language_id, op7_jaccard_join, op8_quality_votes, op9_best_fit_packing, op10_parsing_fingerprints, op12_periodic_runs, op13_phrase_collocations)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_extendible_shards, op2_pivot_index, op3_bpe_round_trip, op4_pii_boosting, op5_suffix_dedup, op6_language_id, op7_jaccard_join, op8_quality_votes, op9_best_fit_packing, op10_parsing_fingerprints, op11_chat_windows, op12_periodic_runs, op13_phrase_collocations)}
 
 #: DuckDB twins, where SQL can express the result.
 ORACLES: dict[str, str] = {
