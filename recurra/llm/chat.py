@@ -93,46 +93,42 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history_turns: int =
     turn is the first one of role system in part 0. An empty table gives an empty one.
     """
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turn = F.struct("turn", "role", "text", "old", "more")
-    grouped = _parts(rows).groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(turn)).alias("all"))
-    real = F.filter("all", lambda t: ~t["more"])
-    sized = F.transform(real, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), t["old"].alias("old"), tokens(t["text"]).alias("n")))
-    more = F.exists("all", lambda t: t["more"])
-    parts = grouped.select("conv_id", "part", sized.alias("turns"), more.alias("more")).where(F.exists("turns", lambda t: ~t["old"]))
-    # Copies come first: earlier turns, and the system turn in front of them.
-    old = F.filter("turns", lambda t: t["old"])
-    heads = F.filter(old, lambda t: t["role"] == SYSTEM)
-    parts = parts.select("conv_id", "part", "more",
-        F.when(F.size(heads) > 0, F.slice(heads, 1, 1)).otherwise(F.array().cast("array<struct<role:string,text:string,old:boolean,n:bigint>>")).alias("head"),
-        F.concat(F.filter(old, lambda t: t["role"] != SYSTEM), F.filter("turns", lambda t: ~t["old"])).alias("turns"))
-    # In part 0 the system turn is one of the new turns.
-    own = F.filter("turns", lambda t: (t["role"] == SYSTEM) & (F.col("part") == 0))
-    place = F.array_position(F.transform("turns", lambda t: t["role"]), SYSTEM).cast("int") - 1
-    parts = parts.select("conv_id", "part", "more", "turns",
-        F.when((F.size("head") == 0) & (F.size(own) > 0), F.slice(own, 1, 1)).otherwise(F.col("head")).alias("head"),
-        F.when((F.col("part") == 0) & (F.size("head") == 0), place).otherwise(F.lit(-1)).alias("place"))
-    parts = parts.withColumn("head_n", F.coalesce(F.get("head", F.lit(0))["n"], F.lit(0).cast("long")))
-    skip = F.size(F.filter("turns", lambda t: t["old"]))
-    sums = F.aggregate("turns", F.array(F.lit(0).cast("long")), lambda s, t: F.array_append(s, F.element_at(s, -1) + t["n"]))
-    parts = parts.withColumn("skip", skip).withColumn("sums", sums)
+    # Tokens are counted before rows are grouped: what a later filter or lambda uses is an array of numbers, not a pattern to match again.
+    dealt = _parts(rows).withColumn("n", tokens(F.col("text")))
+    turn = F.struct("turn", "role", "text", "n", "old")
+    parts = dealt.groupBy("conv_id", "part").agg(
+        F.sort_array(F.collect_list(F.when(~F.col("more"), turn))).alias("all"), F.max("more").alias("more"), F.count_if(~F.col("old")).alias("new"))
+    parts = parts.where(F.col("new") > 0)
+    # Copies come first. The system turn is a copy, or in part 0 one of the new turns.
+    first = F.filter("all", lambda t: (t["role"] == SYSTEM) & (t["old"] | (F.col("part") == 0)))
+    parts = parts.select("conv_id", "part", "more", F.slice(first, 1, 1).alias("head"),
+        F.concat(F.filter("all", lambda t: t["old"] & (t["role"] != SYSTEM)), F.filter("all", lambda t: ~t["old"])).alias("turns"))
+    place = F.when(F.exists("head", lambda t: ~t["old"]), F.array_position(F.transform("turns", lambda t: t["role"]), SYSTEM).cast("int") - 1)
+    parts = parts.select("conv_id", "part", "more", "head", "turns",
+        F.coalesce(place, F.lit(-1)).alias("place"), F.size(F.filter("turns", lambda t: t["old"])).alias("skip"),
+        F.coalesce(F.get("head", F.lit(0))["n"], F.lit(0).cast("long")).alias("head_n"),
+        F.aggregate("turns", F.array(F.lit(0).cast("long")), lambda s, t: F.array_append(s, F.element_at(s, -1) + t["n"])).alias("sums"))
     room = F.lit(budget) - F.col("head_n") - history_tokens
-    new_sums = F.slice("sums", F.col("skip") + 1, F.size("sums") - F.col("skip"))
-    first_room = F.when((F.col("skip") == 0) & (F.col("place") == 0), F.lit(budget)).when(F.col("skip") == 0, F.lit(budget) - F.col("head_n")).otherwise(room)
-    starts = F.transform(_starts(new_sums, first_room, room), lambda i: i + F.col("skip"))
-    parts = parts.withColumn("starts", starts).select("conv_id", "part", "more", "turns", "head", "head_n", "place", "skip", "sums", "starts", F.posexplode("starts").alias("window", "start"))
-    end = F.coalesce(F.get("starts", F.col("window") + 1), F.size("turns"))
-    parts = parts.withColumn("end", end)
-    # A single turn over the budget gets no history.
-    span = F.get("sums", F.col("end")) - F.get("sums", F.col("start"))
-    allowed = F.least(F.lit(history_tokens), F.lit(budget) - F.col("head_n") - span)
-    tried = F.sequence(F.greatest(F.lit(0), F.col("start") - history_turns), F.col("start"))
-    begin = F.element_at(F.filter(tried, lambda i: (F.get("sums", F.col("start")) - F.get("sums", i) <= F.greatest(allowed, F.lit(0)))), 1)
-    parts = parts.withColumn("begin", begin)
+    first_room = F.when(F.col("skip") > 0, room).when(F.col("place") == 0, F.lit(budget)).otherwise(F.lit(budget) - F.col("head_n"))
+    parts = parts.select("*", room.alias("room"), first_room.alias("first_room"), F.slice("sums", F.col("skip") + 1, F.size("sums") - F.col("skip")).alias("new_sums"))
+    starts = _starts(F.col("new_sums"), F.col("first_room"), F.col("room"))
+    parts = parts.select("*", F.transform(starts, lambda i: i + F.col("skip")).alias("starts"))
+
+    def window(start: Column, w: Column) -> Column:
+        end = F.coalesce(F.get("starts", w + 1), F.size("turns"))
+        before = F.get("sums", start)
+        # A turn that passes the budget by itself gets no history.
+        allowed = F.least(F.lit(history_tokens), F.lit(budget) - F.col("head_n") - (F.get("sums", end) - before))
+        tried = F.sequence(F.greatest(F.lit(0), start - history_turns), start)
+        begin = F.element_at(F.filter(tried, lambda i: before - F.get("sums", i) <= F.greatest(allowed, F.lit(0))), 1)
+        return F.struct(w.cast("long").alias("window"), begin.alias("begin"), start.alias("start"), F.slice("turns", begin + 1, end - begin).alias("turns"))
+
+    # Each window takes its own turns along; the outer form keeps Catalyst from testing the whole array once more in a filter.
+    parts = parts.select("conv_id", "part", "more", "head", "place", F.explode_outer(F.transform("starts", window)).alias("w")).select("conv_id", "part", "more", "head", "place", "w.*")
     # The system turn is repeated unless the window has it: as a new turn, or as history.
     repeats_head = (F.size("head") > 0) & ((F.col("place") < 0) | (F.col("place") < F.col("begin")))
-    body = F.slice("turns", F.col("begin") + 1, F.col("end") - F.col("begin"))
-    parts = parts.select("conv_id", "part", F.col("window").cast("long").alias("window"), "more",
-        F.when(repeats_head, F.concat("head", body)).otherwise(body).alias("turns"),
+    parts = parts.select("conv_id", "part", "window", "more",
+        F.when(repeats_head, F.concat("head", "turns")).otherwise(F.col("turns")).alias("turns"),
         (F.col("start") - F.col("begin") + repeats_head.cast("int")).alias("repeated"))
 
     def piece(t: Column) -> Column:
