@@ -24,6 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,11 +112,10 @@ def _active(first: np.ndarray, words: np.ndarray, piece: np.ndarray, step: int,
         below = here
 
 
-def _count(shard: DataFrame, first: np.ndarray, step: int, shards: int) -> DataFrame:
+def _count(shard: DataFrame, first: Broadcast, shape: tuple[int, int], step: int, shards: int) -> DataFrame:
     """(lang, phrase, words, since, cell, n) of the phrases that count in this step; rows of one phrase are not yet summed."""
-    shared = shard.sparkSession.sparkContext.broadcast(first)
-
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(zlib.decompress(first.value), np.uint8).reshape(shape)
         for batch in blocks(_joined(batches), "text", COUNT_BYTES):
             data, offsets = flat(batch.column("text"))
             if not len(data):
@@ -126,7 +126,7 @@ def _count(shard: DataFrame, first: np.ndarray, step: int, shards: int) -> DataF
                 continue
             hashes = mix(run_hashes(data, starts, stops) ^ _salts(batch.column("lang"))[row])
             text, begin, end = _normal(data, starts, stops)
-            for k, at, h, since in _active(shared.value, hashes, piece, step, shards):
+            for k, at, h, since in _active(known, hashes, piece, step, shards):
                 order = np.argsort(h)
                 new = np.flatnonzero(np.diff(h[order], prepend=h[order[:1]] + U64(1)))
                 one, cell, since = at[order[new]], (h[order[new]] >> U64(64 - CELLS)).astype(np.int32), since[order[new]].astype(np.int16)
@@ -201,8 +201,11 @@ def count(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int
     steps, complete, sizes, step, last = {}, [], [], 0, shards
     while step < last:
         shard = table.where(F.col("shard") == step % shards).select("lang", "text")
-        summed = _count(shard, first, step, shards).groupBy("lang", "phrase", "words", "since", "cell").agg(F.sum("n").alias("n"))
+        # Compressed, as few cells are set; and gone after the step.
+        shared = docs.sparkSession.sparkContext.broadcast(zlib.compress(first, 1))
+        summed = _count(shard, shared, first.shape, step, shards).groupBy("lang", "phrase", "words", "since", "cell").agg(F.sum("n").alias("n"))
         steps[step] = written(summed, "phrase-counts")
+        shared.destroy()
         if step < shards:
             sizes.append(written(steps[step].where("words = 1").groupBy("lang").agg(F.sum("n").alias("n")), "phrase-words"))
         reached = steps[step].where(F.col("n") >= least).select("words", "cell")
