@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,3 +110,32 @@ def with_design(
     if spec.time_effect == "bands":
         x = F.when(F.col("_band").isNotNull(), x)
     return rows.withColumns(bases).withColumn(into, x).drop(*bases)
+
+
+def matrix(spec: ModelSpec, age: np.ndarray, time: np.ndarray, male: np.ndarray, year: np.ndarray) -> np.ndarray:
+    """The design of `with_design` for arrays of weeks, a row per week; NaN where an input that the terms use is missing."""
+    n = len(age)
+    since = np.maximum(time - WASHOUT_YEARS, 0.0)
+    blocks: dict[str, np.ndarray] = {"intercept": np.ones((n, 1))}
+    if spec.sex_effect:
+        blocks["sex"] = male[:, None]
+    if spec.age_effect:
+        blocks["age"] = age_spline(spec).values(age)
+    if spec.time_effect == "bands":
+        edges = np.array(spec.bands)
+        band = np.searchsorted(edges, time, "left")
+        band[time == edges[0]] = 1
+        inside = (band >= 1) & (band < len(edges))
+        blocks["bands"] = np.where(inside[:, None], band[:, None] == np.arange(2, len(edges)), np.nan)
+    if spec.time_effect in ("step", "spline"):
+        blocks["after"] = np.where(np.isnan(time), np.nan, time >= WASHOUT_YEARS)[:, None]
+    if spec.time_effect == "spline":
+        blocks["time"] = time_spline(spec).values(since)
+    if spec.interactions:
+        age1, time1 = interaction_splines(spec)
+        blocks["age_time"] = (age1.values(age)[:, :, None] * time1.values(since)[:, None, :]).reshape(n, -1)
+        blocks["sex_age"] = male[:, None] * blocks["age"]
+        blocks["sex_time"] = male[:, None] * blocks["time"]
+    if spec.calendar:
+        blocks["calendar"] = (year - spec.calendar_center)[:, None]
+    return np.hstack(list(blocks.values()))

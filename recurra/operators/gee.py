@@ -1,12 +1,14 @@
 """Clustered Poisson log-rate models with AR(1) working correlation.
 
-Person-weeks are nested to one row per subject (a subject has a bounded number
-of weeks) and written once. Each iteration is one scan without a shuffle of
+Person-weeks are nested once per dataset to one row per subject (a subject has a
+bounded number of weeks), with the weeks' covariates, and written; every
+specification reads that table and makes its design in the scan. Each iteration is one scan without a shuffle of
 rows: with the weeks in wave order, subtracting the previous row times
 rho = alpha ** (wave gap) and dividing by sqrt(1 - rho**2) has the same effect as the
 inverse of the subject's AR(1) matrix, so a task needs only running p x p sums.
 Those are summed per model in Spark, and p x p numbers per model reach the
-driver. All scenarios and sub-models of a call share each scan.
+driver. All scenarios and sub-models of a call share each scan. Scenarios that only end
+follow-up earlier are days in an array of the subject, not copies of its weeks.
 """
 
 from __future__ import annotations
@@ -19,13 +21,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recurra.config import ModelSpec
+from recurra.config import DAYS_PER_YEAR, PERIOD_AFTER, ModelSpec
 from recurra.functions.stats import chi2_p
-from recurra.operators.design import INTERCEPT, term_blocks, terms, with_design
-from recurra.operators.persontime import model_rows
+from recurra.operators.design import INTERCEPT, matrix, term_blocks, terms, with_design
+from recurra.operators.persontime import model_rows, wave
 from recurra.session import materialize
 
 STATS = ("n_rows", "n_subjects", "squares", "pair_products", "n_pairs")
@@ -61,14 +63,19 @@ class _Fit:
 
 
 def nest_subjects(rows: DataFrame, spec: ModelSpec) -> DataFrame:
-    """One row per subject with its weeks in wave order; `x` is the flattened design.
+    """One row per subject with its weeks of one specification in wave order; `x` is the flattened design.
 
     A week with a missing covariate, status or offset is left out of the fit, as `n_rows` of the fit shows.
+    Fits read `nest_weeks` instead; this shows the rows that they use.
     """
     scenario = F.col("scenario_id") if "scenario_id" in rows.columns else F.lit("all")
-    designed = with_design(model_rows(rows, spec), spec)
-    known = F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v))
-    designed = designed.where(known & F.col("status").isNotNull() & F.col("offset_time").isNotNull())
+    rows = model_rows(rows, spec)
+    for name in _inputs(spec):
+        # Tests of plain columns; a test of the design would compute it twice.
+        rows = rows.where(F.col(name).isNotNull())
+    designed = with_design(rows, spec).where(F.col("status").isNotNull() & F.col("offset_time").isNotNull())
+    if spec.time_effect == "bands":
+        designed = designed.where(F.col("x").isNotNull())
     week = F.struct(
         "wave", F.col("status").cast("double").alias("y"), F.col("offset_time").alias("offset"), "x")
     nested = designed.groupBy(scenario.alias("scenario_id"), "patid").agg(
@@ -78,20 +85,90 @@ def nest_subjects(rows: DataFrame, spec: ModelSpec) -> DataFrame:
         F.col("w.offset").alias("offset"), F.flatten("w.x").alias("x"))
 
 
-def _batch_sums(batch: pa.RecordBatch, fits: list[_Fit], width: int, with_meat: bool) -> Iterator[tuple]:
-    """(model_id, sums) for the subjects of one scenario in one Arrow batch."""
+def _inputs(spec: ModelSpec) -> list[str]:
+    """The covariates that the terms of a specification use."""
+    used = {
+        "age_at_infection": spec.age_effect or spec.interactions,
+        "time_after_index": spec.time_effect != "none" or spec.interactions,
+        "sex": spec.sex_effect or spec.interactions,
+        "calendar_year": spec.calendar,
+    }
+    return [name for name, yes in used.items() if yes]
+
+
+#: Columns of a week in the nested table, each an array per subject.
+_WEEK = ("wave", "after", "y", "offset", "age", "time", "male", "year")
+_CUT_WEEK = ("n_days", "sum_day", "week", "tail")
+
+
+def nest_weeks(rows: DataFrame, cuts: Column | None = None) -> DataFrame:
+    """One row per subject with the covariates of all its weeks in wave order, for every specification.
+
+    The window of the waves and the grouping share one shuffle by subject. Weeks from
+    `scenarios.cuttable_weeks` keep their days, and with `cuts` (`scenarios.cut_days`) each subject
+    gets the days at which scenarios cut its tail, so that they are applied in the scan.
+    """
+    scenario = F.col("scenario_id") if "scenario_id" in rows.columns else F.lit("all")
+    week = {
+        "wave": F.col("wave"), "after": (F.col("period") == PERIOD_AFTER).cast("int"),
+        "y": F.col("status").cast("double"), "offset": F.col("offset_time"), "age": F.col("age_at_infection"),
+        "time": F.col("time_after_index"), "male": (F.col("sex") == "male").cast("double"),
+        "year": F.col("calendar_year").cast("double"),
+    }
+    names, subject = list(_WEEK), []
+    if cuts is not None:
+        week |= {"n_days": F.col("n_days"), "sum_day": F.col("sum_day"), "week": F.col("week"), "tail": F.col("tail_stop").isNotNull().cast("int")}
+        names += _CUT_WEEK
+        # The same on all of a subject's weeks that belong to the tail.
+        subject = [F.max("tail_stop").alias("tail_stop"), F.max("leave_from").alias("leave_from")]
+    numbered = wave(rows, "plain")
+    nested = numbered.groupBy(scenario.alias("scenario_id"), "patid").agg(
+        F.sort_array(F.collect_list(F.struct(*(c.alias(n) for n, c in week.items())))).alias("w"), *subject)
+    days = [] if cuts is None else ["tail_stop", F.when(F.col("tail_stop").isNotNull(), cuts).alias("tail_cuts")]
+    return nested.select("scenario_id", "patid", *(F.col(f"w.{n}").alias(n) for n in names), *days)
+
+
+@dataclass
+class _Weeks:
+    """Weeks of some subjects as arrays; `subject` numbers their rows' subjects."""
+
+    subject: np.ndarray
+    columns: dict[str, np.ndarray]
+
+    def take(self, keep: np.ndarray) -> _Weeks:
+        return _Weeks(self.subject[keep], {n: v[keep] for n, v in self.columns.items()})
+
+
+def _unpack(batch: pa.RecordBatch, names: Iterable[str]) -> _Weeks:
     lengths = pc.list_value_length(batch.column("wave")).to_numpy(zero_copy_only=False)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(int)
-    wave = batch.column("wave").flatten().to_numpy(zero_copy_only=False)
-    y = batch.column("y").flatten().to_numpy(zero_copy_only=False)
-    offset = batch.column("offset").flatten().to_numpy(zero_copy_only=False)
-    full = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    columns = {n: batch.column(n).flatten().to_numpy(zero_copy_only=False).astype(float) for n in names}
+    return _Weeks(np.repeat(np.arange(len(lengths)), lengths), columns)
+
+
+def _known(weeks: _Weeks, spec: ModelSpec, x: np.ndarray) -> np.ndarray:
+    """The rows of a specification's fit."""
+    c = weeks.columns
+    keep = ~np.isnan(x).any(axis=1) & ~np.isnan(c["y"]) & ~np.isnan(c["offset"])
+    if spec.max_age is not None:
+        keep &= c["age"] <= spec.max_age
+    if spec.max_time is not None:
+        keep &= c["time"] <= spec.max_time
+    return keep
+
+
+def _design(weeks: _Weeks, spec: ModelSpec) -> np.ndarray:
+    return matrix(spec, *(weeks.columns[n] for n in ("age", "time", "male", "year")))
+
+
+def _sums(starts: np.ndarray, wave: np.ndarray, y: np.ndarray, offset: np.ndarray, full: np.ndarray,
+          fits: list[_Fit], with_meat: bool) -> Iterator[tuple]:
+    """(model_id, sums) for weeks whose subjects begin at `starts`."""
     follows = np.ones(len(wave), dtype=bool)
     follows[starts] = False
     gap = np.where(follows, np.diff(wave, prepend=0), 1)
     adjacent = follows & (gap == 1)
     for fit in fits:
-        x = full if len(fit.columns) == width else full[:, fit.columns]
+        x = full if len(fit.columns) == full.shape[1] else full[:, fit.columns]
         with np.errstate(over="ignore"):
             mu = np.exp(x @ fit.beta + offset)
         root = np.sqrt(mu)
@@ -102,40 +179,106 @@ def _batch_sums(batch: pa.RecordBatch, fits: list[_Fit], width: int, with_meat:
             scale = 1.0 / np.sqrt(1.0 - rho**2)
             xw = (xs - rho[:, None] * np.roll(xs, 1, axis=0)) * scale[:, None]
             ew = (e - rho * np.roll(e, 1)) * scale
-        score = xw * ew[:, None]
         pairs = (e * np.roll(e, 1))[adjacent]
-        sums = [(xw.T @ xw).ravel(), score.sum(axis=0)]
+        sums = [(xw.T @ xw).ravel(), ew @ xw]
         if with_meat:
-            by_subject = np.add.reduceat(score, starts, axis=0)
+            by_subject = np.add.reduceat(xw * ew[:, None], starts, axis=0)
             sums.append((by_subject.T @ by_subject).ravel())
         sums.append(np.array([len(y), len(starts), e @ e, pairs.sum(), len(pairs)], dtype=float))
         yield fit.model_id, np.concatenate(sums)
 
 
-def _pass_sums(nested: DataFrame, fits: list[_Fit], width: int, with_meat: bool) -> dict[str, np.ndarray]:
+def _batch_sums(batch: pa.RecordBatch, fits: list[_Fit], width: int, with_meat: bool) -> Iterator[tuple]:
+    """(model_id, sums) for the subjects of a batch of `nest_subjects`."""
+    weeks = _unpack(batch, ("wave", "y", "offset"))
+    x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    c = weeks.columns
+    yield from _sums(_starts(weeks), c["wave"], c["y"], c["offset"], x, fits, with_meat)
+
+
+def _starts(weeks: _Weeks) -> np.ndarray:
+    return np.flatnonzero(np.diff(weeks.subject, prepend=-1))
+
+
+def _prepared(weeks: _Weeks, x: np.ndarray, spec: ModelSpec) -> tuple:
+    """What `_sums` takes, of the rows of the specification's fit."""
+    keep = _known(weeks, spec, x)
+    kept = weeks.take(keep)
+    c = kept.columns
+    number = c["wave"] + c["after"] if spec.wave_mode == "skip" else c["wave"]
+    return _starts(kept), number, c["y"], c["offset"], x[keep]
+
+
+def _truncated(weeks: _Weeks, x: np.ndarray, stop: np.ndarray, cut: np.ndarray, spec: ModelSpec) -> tuple[_Weeks, np.ndarray]:
+    """The weeks that are left, and their design, if each subject's tail stops at day `cut` instead of `stop`.
+
+    Days cut+1 .. stop of the tail go. The week they begin in keeps its other days, with their
+    mean; later weeks go whole. Earlier weeks, and those without a number, stay as they are.
+    """
+    c = weeks.columns
+    stop, cut = stop[weeks.subject], cut[weeks.subject]
+    with np.errstate(invalid="ignore"):
+        low = np.maximum(cut + 1, 7 * (c["week"] - 1) + 1)
+        high = np.minimum(7 * c["week"], stop)
+        gone = np.where((c["tail"] > 0) & (high >= low), high - low + 1, 0.0)
+    changed = gone > 0
+    left = c["n_days"] - gone
+    part = np.flatnonzero(changed & (left > 0))
+    some = weeks.take(part).columns
+    days = left[part]
+    mean, old = (some["sum_day"] - gone[part] * (low[part] + high[part]) / 2) / days, some["sum_day"] / some["n_days"]
+    new = {n: v.copy() for n, v in c.items()}
+    for name in ("age", "time"):
+        # Days before day 0 of the clock are whole numbers.
+        zero = np.rint(some[name] * DAYS_PER_YEAR - old)
+        new[name][part] = (mean + zero) / DAYS_PER_YEAR
+    new["offset"][part] = np.log(days / DAYS_PER_YEAR)
+    moved = _Weeks(weeks.subject, new)
+    x = x.copy()
+    x[part] = _design(moved.take(part), spec)
+    keep = left > 0
+    return moved.take(keep), x[keep]
+
+
+def _pass_sums(nested: DataFrame, fits: list[_Fit], spec: ModelSpec, with_meat: bool, cuts: list[str]) -> dict[str, np.ndarray]:
     """One scan: information, score, (score covariance) and residual sums of each model."""
     by_scenario: dict[str, list[_Fit]] = {}
     for fit in fits:
         by_scenario.setdefault(fit.scenario_id, []).append(
             _Fit(fit.model_id, fit.scenario_id, fit.columns, fit.beta, fit.alpha))
 
+    def sums_of(part: pa.RecordBatch, scenario: str) -> Iterator[tuple]:
+        weeks = _unpack(part, _WEEK + _CUT_WEEK if cuts else _WEEK)
+        x = _design(weeks, spec)
+        if not cuts:
+            given = [(scenario, (weeks, x))]
+        else:
+            stop = part.column("tail_stop").to_numpy(zero_copy_only=False).astype(float)
+            days = np.full((part.num_rows, len(cuts)), np.nan)
+            lists = part.column("tail_cuts")
+            days[lists.is_valid().to_numpy(zero_copy_only=False)] = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(cuts))
+            given = ((name, _truncated(weeks, x, stop, days[:, k], spec)) for k, name in enumerate(cuts) if name in by_scenario)
+        for name, left in given:
+            prepared = _prepared(*left, spec)
+            if len(prepared[0]):
+                yield from _sums(*prepared, by_scenario[name], with_meat)
+
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             for scenario in pc.unique(batch.column("scenario_id")).to_pylist():
-                group = by_scenario.get(scenario)
-                if not group:
+                if not cuts and scenario not in by_scenario:
                     continue
                 part = batch.filter(pc.equal(batch.column("scenario_id"), scenario))
-                for model_id, sums in _batch_sums(part, group, width, with_meat):
+                for model_id, sums in sums_of(part, scenario):
                     totals[model_id] = totals[model_id] + sums if model_id in totals else sums
         for model_id, sums in totals.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([model_id] * len(sums)), pa.array(np.arange(len(sums), dtype=np.int32)),
                  pa.array(sums)], names=["model_id", "k", "v"])
 
-    partial = nested.select("scenario_id", "wave", "y", "offset", "x").mapInArrow(
-        task, "model_id string, k int, v double")
+    read = ["scenario_id", *_WEEK, *((*_CUT_WEEK, "tail_stop", "tail_cuts") if cuts else ())]
+    partial = nested.select(*read).mapInArrow(task, "model_id string, k int, v double")
     # p x p sums per model: the only numbers that come to the driver.
     total = partial.groupBy("model_id", "k").agg(F.sum("v").alias("v")).toPandas()
     return {
@@ -252,33 +395,39 @@ def _to_store(spark: SparkSession, fits: list[_Fit], names: list[str]) -> ModelS
 
 def fit_nested(
     nested: DataFrame, spec: ModelSpec, subsets: dict[str, list[str]] | None = None,
-    tolerance: float = 1e-8, max_iterations: int = 25, require_convergence: bool = True,
+    cuts: list[str] | None = None, only: list[str] | None = None, tolerance: float = 1e-8, max_iterations: int = 25, require_convergence: bool = True,
 ) -> ModelStore:
-    """Fit one model per scenario and subset of terms on an already written table of subjects.
+    """Fit one model per scenario and subset of terms on an already written table of `nest_weeks`.
 
+    `cuts` names the scenarios of the table's cuts, in their order; each of them, or of `only`, is a model of its own.
     A model that has not converged after `max_iterations` raises FitError, or with
     require_convergence=False stands in the store with converged = false.
     """
+    if cuts and spec.calendar:
+        raise ValueError("cuts move the mean day of a week, but not its calendar year")
     names = terms(spec)
     rate = nested.groupBy("scenario_id").agg(
-        F.sum(F.aggregate("y", F.lit(0.0), lambda s, v: s + v)).alias("events"),
-        F.sum(F.aggregate("offset", F.lit(0.0), lambda s, v: s + F.exp(v))).alias("exposure"))
+        F.sum(F.aggregate("y", F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))).alias("events"),
+        F.sum(F.aggregate("offset", F.lit(0.0), lambda s, v: s + F.coalesce(F.exp(v), F.lit(0.0)))).alias("exposure"))
     fits = []
     for row in rate.toPandas().itertuples():
         start = np.log(max(row.events, 0.5) / row.exposure)
-        for suffix, chosen in (subsets or {"": names}).items():
-            columns = [names.index(t) for t in chosen]
-            beta = np.zeros(len(columns))
-            beta[chosen.index(INTERCEPT)] = start
-            parts = [spec.name] + [p for p in (row.scenario_id, suffix) if p not in ("", "all")]
-            fits.append(_Fit(":".join(parts), row.scenario_id, columns, beta))
+        for scenario in (only or cuts or [row.scenario_id]):
+            for suffix, chosen in (subsets or {"": names}).items():
+                columns = [names.index(t) for t in chosen]
+                beta = np.zeros(len(columns))
+                beta[chosen.index(INTERCEPT)] = start
+                parts = [spec.name] + [p for p in (scenario, suffix) if p not in ("", "all")]
+                fits.append(_Fit(":".join(parts), scenario, columns, beta))
     running = fits
     for iteration in range(max_iterations):
         last = iteration == max_iterations - 1
         # The score covariance is needed at the end only.
-        with_meat = last or max(f.change for f in running) < 1e-2
-        sums = _pass_sums(nested, running, len(names), with_meat)
+        with_meat = last or max(f.change for f in running) < 1e-4
+        sums = _pass_sums(nested, running, spec, with_meat, cuts or [])
         for fit in running:
+            if fit.model_id not in sums:
+                raise FitError(f"model {fit.model_id}: no week has all its covariates")
             _advance(fit, sums[fit.model_id], spec.correlation, with_meat)
             fit.converged = fit.change < tolerance and fit.vcov is not None
         running = [f for f in running if not f.converged]
@@ -291,20 +440,23 @@ def fit_nested(
 
 def fit_gee(rows: DataFrame, spec: ModelSpec, **options) -> ModelStore:
     """Fit a specification to person-weeks, for every scenario in them at once."""
-    nested = materialize(nest_subjects(rows, spec), f"subjects-{spec.name}")
-    return fit_nested(nested, spec, **options)
+    return fit_nested(materialize(nest_weeks(rows), "subjects"), spec, **options)
 
 
-def fit_sequence(rows: DataFrame, spec: ModelSpec, **options) -> tuple[ModelStore, dict[str, list[str]]]:
-    """Nested models that add one block of terms at a time, and the block each one adds."""
-    blocks = term_blocks(spec)
+def sequence_blocks(spec: ModelSpec) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+    """Terms of the nested models that add one block at a time, and the block each one adds."""
     subsets, so_far, added = {}, [], {}
-    for name, block in blocks.items():
+    for name, block in term_blocks(spec).items():
         so_far = so_far + block
         if name != "intercept":
             subsets[name], added[name] = list(so_far), block
-    nested = materialize(nest_subjects(rows, spec), f"subjects-{spec.name}")
-    return fit_nested(nested, spec, subsets, **options), added
+    return subsets, added
+
+
+def fit_sequence(rows: DataFrame, spec: ModelSpec, **options) -> tuple[ModelStore, dict[str, list[str]]]:
+    """Nested models that add one block of terms at a time, and the block each one adds."""
+    subsets, added = sequence_blocks(spec)
+    return fit_gee(rows, spec, subsets=subsets, **options), added
 
 
 def wald_test(

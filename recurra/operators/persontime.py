@@ -61,7 +61,16 @@ def to_weeks(pieces: DataFrame) -> DataFrame:
     """Sum the pieces of a subject's week; infection type and stay are part of the week's key."""
     key = [*subject_keys(pieces), "side", "sex", "district", "age_at_index_d", "infection_type",
            "hospitalization", "week"]
+    cuttable = []
+    if "date_dis_last" in pieces.columns:
+        # The interval that lasts to the end of follow-up: where it stops, and the last discharge, on its clock.
+        tail = (F.col("side") == c.PERIOD_AFTER) & F.col("flag_index_impute").isin(1, 4)
+        cuttable = [
+            F.max(F.when(tail, F.col("time_stop"))).alias("tail_stop"),
+            F.max(F.when(tail, F.datediff("date_dis_last", "date_dis_index"))).alias("leave_from"),
+        ]
     return pieces.groupBy(*key).agg(
+        *cuttable,
         F.sum("status").alias("status"),
         F.sum("n_days").alias("n_days"),
         F.sum("sum_day").alias("sum_day"),
@@ -101,7 +110,8 @@ def attach_clocks(weeks: DataFrame, cfg: CohortConfig) -> DataFrame:
 def person_weeks(intervals: DataFrame, cfg: CohortConfig) -> DataFrame:
     weeks = attach_clocks(to_weeks(split_person_time(intervals)), cfg)
     keys = [k for k in subject_keys(weeks) if k != "patid"]
-    return weeks.select(*keys, *PERSON_WEEK_COLUMNS)
+    extra = [k for k in ("tail_stop", "leave_from") if k in weeks.columns]
+    return weeks.select(*keys, *PERSON_WEEK_COLUMNS, *extra)
 
 
 def wave(weeks: DataFrame, mode: str = "skip") -> DataFrame:

@@ -1,15 +1,22 @@
-"""Sensitivity scenarios carried as rows: random censoring after the last discharge."""
+"""Sensitivity scenarios: random censoring after the last discharge.
+
+As rows, each scenario has its own copy of the episodes. As cuts, all share one
+table of weeks: nobody leaves before the last discharge, so a scenario only ends
+the last interval earlier, and is one number per subject.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recurra.config import PERIOD_BEFORE, Emigration
+from recurra.config import PERIOD_BEFORE, CohortConfig, Emigration
 from recurra.functions.columns import exponential_days
 from recurra.operators.episodes import last_seen
+from recurra.operators.persontime import person_weeks
+from recurra.operators.timeline import risk_intervals
 
 
 def fan_out(episodes: DataFrame, scenarios: Sequence[Emigration]) -> DataFrame:
@@ -58,3 +65,27 @@ def censor_followup(rows: DataFrame, years: tuple[int, int] = (2005, 2015)) -> D
             .otherwise(F.datediff("time_at_lastfup", "date_dis_index")))
         .drop("last_year", "date_dis_last", "emigration_days")
     )
+
+
+def cuttable_weeks(episodes: DataFrame, cfg: CohortConfig, years: tuple[int, int] = (2005, 2015)) -> DataFrame:
+    """Person-weeks without censoring of the subjects and rows that scenarios keep.
+
+    The weeks of a subject's last interval also carry where it stops (`tail_stop`) and
+    the last discharge (`leave_from`), both in days after the index event.
+    """
+    seen = last_seen(episodes)
+    before = F.col("period") == PERIOD_BEFORE
+    kept = seen.where(before | F.col("last_year").between(*years)).drop("last_year")
+    return person_weeks(risk_intervals(kept, cfg), cfg)
+
+
+def cut_days(scenarios: Sequence[Emigration]) -> Column:
+    """The day at which each scenario stops the last interval, from `patid`, `leave_from` and `tail_stop`."""
+    rows = F.array(*(F.struct(F.lit(float(s.rate)).alias("rate"), F.lit(int(s.seed)).alias("seed")) for s in scenarios))
+
+    def cut(s: Column) -> Column:
+        leaves = exponential_days(s["rate"], F.col("patid"), s["seed"])
+        day = F.least("tail_stop", F.greatest(F.lit(0), F.col("leave_from") + leaves))
+        return F.when(leaves.isNull(), F.col("tail_stop")).otherwise(day).cast("int")
+
+    return F.transform(rows, cut)

@@ -145,7 +145,9 @@ def risk_intervals(episodes: DataFrame, cfg: CohortConfig) -> DataFrame:
     pieces = F.when(is_before, F.array(own, tail)).otherwise(F.array(after))
     base = [k for k in subject_keys(rows)] + [
         "side", "period", "sex", "district", "dob", "dob_first", "date_admit", "date_dis", "date_dis_index",
-        "age_at_admit_d", "age_at_index_d", "infection_type", "hospitalization"]
+        "age_at_admit_d", "age_at_index_d", "infection_type", "hospitalization",
+        # Only on episodes whose follow-up scenarios will cut.
+        *(name for name in ("date_dis_last",) if name in rows.columns)]
     return (
         rows.withColumn("hospitalization_index", F.datediff("date_dis_index", "date_admit_index"))
         .withColumn("_piece", F.explode(F.filter(pieces, lambda p: p.isNotNull())))

@@ -16,7 +16,7 @@ from recurra.operators import cleaning, contrasts, gee, persontime, scenarios, s
 from recurra.operators import episodes as ep
 from recurra.operators.design import age_spline
 from recurra.plans import derive, report
-from recurra.session import materialize, tune
+from recurra.session import fingerprint, materialize, tune
 from recurra.sources import starschema as star
 from recurra.sources.tables import icd_dim
 
@@ -481,34 +481,38 @@ def ns_basis_means(spark, sf_dir):
 _SAVED: dict[tuple, object] = {}
 
 
-def _saved(spark: SparkSession, key: tuple, make: Callable):
-    """Derived tables and fits are made once per session and read back by later queries."""
-    key = (spark.sparkContext.applicationId, *key)
+def _saved(spark: SparkSession, sf_dir: str, key: tuple, make: Callable):
+    """Subject tables and fits are made once per session and state of the files, and read by later queries."""
+    key = (spark.sparkContext.applicationId, sf_dir, fingerprint(spark, sf_dir), *key)
     if key not in _SAVED:
         _SAVED[key] = make()
     return _SAVED[key]
 
 
-def _saved_weeks(spark, sf_dir, kind: str = "dead") -> DataFrame:
-    make = {
-        "dead": lambda: materialize(_weeks(spark, sf_dir), "weeks"),
-        "alive": lambda: materialize(_weeks(spark, sf_dir, ALIVE), "weeks-alive"),
-        "scenarios": lambda: materialize(_scenario_weeks(spark, sf_dir), "weeks-scenarios"),
-        "seeds": lambda: materialize(_scenario_weeks(spark, sf_dir, MI_ROWS), "weeks-seeds"),
-        "rates": lambda: materialize(_scenario_weeks(spark, sf_dir, SWEEP_ROWS), "weeks-rates"),
-    }[kind]
-    return _saved(spark, ("weeks", sf_dir, kind), make)
+# All scenarios are cuts of one table.
+CUT_ROWS = [*SCENARIO_ROWS, *MI_ROWS, *SWEEP_ROWS]
+
+
+def _subjects(spark, sf_dir, kind: str = "dead") -> DataFrame:
+    """Subjects with their weeks, straight from the derivation: the nesting uses its shuffle by subject."""
+    def nested():
+        if kind == "cuts":
+            return gee.nest_weeks(scenarios.cuttable_weeks(_episodes(spark, sf_dir), DEAD, star.YEARS), scenarios.cut_days(CUT_ROWS))
+        return gee.nest_weeks(_weeks(spark, sf_dir, {"dead": DEAD, "alive": ALIVE}[kind]))
+
+    return _saved(spark, sf_dir, ("subjects", kind), lambda: materialize(nested(), f"subjects-{kind}"))
 
 
 # Calendar years are centred on the middle of the observed span.
 CALENDAR = c.CALENDAR.but(calendar_center=1998)
-WEEKS_OF = {"worse_alive": "alive", "emigration_mi": "seeds", "emigration_sweep": "rates"}
+CUTS_OF = {"emigration_mi": MI_ROWS, "emigration_sweep": SWEEP_ROWS}
 
 
-def _fit(spark, sf_dir, spec: ModelSpec, kind: str | None = None) -> gee.ModelStore:
-    kind = kind or WEEKS_OF.get(spec.name, "dead")
-    return _saved(spark, ("fit", sf_dir, spec.name, kind),
-                  lambda: gee.fit_gee(_saved_weeks(spark, sf_dir, kind), spec))
+def _fit(spark, sf_dir, spec: ModelSpec, rows: list[Emigration] | None = None) -> gee.ModelStore:
+    rows = rows or CUTS_OF.get(spec.name)
+    kind = "cuts" if rows else "alive" if spec.name == "worse_alive" else "dead"
+    chosen = {"cuts": [s.scenario_id for s in CUT_ROWS], "only": [s.scenario_id for s in rows]} if rows else {}
+    return _saved(spark, sf_dir, ("fit", spec, *chosen.get("only", ())), lambda: gee.fit_nested(_subjects(spark, sf_dir, kind), spec, **chosen))
 
 
 def _coefficients(store: gee.ModelStore) -> DataFrame:
@@ -547,13 +551,13 @@ def gee_piecewise(spark, sf_dir):
 
 @query()
 def gee_period_scenarios(spark, sf_dir):
-    store = _fit(spark, sf_dir, PERIOD, "scenarios")
+    store = _fit(spark, sf_dir, PERIOD, SCENARIO_ROWS)
     return rounded(_coefficients(store).where("term = 'after'").drop("term"), 6, "beta", "std_err")
 
 
 @query()
 def pool_rubin_period(spark, sf_dir):
-    pooled = contrasts.pool_rubin(_fit(spark, sf_dir, PERIOD, "scenarios"))
+    pooled = contrasts.pool_rubin(_fit(spark, sf_dir, PERIOD, SCENARIO_ROWS))
     return rounded(_coefficients(pooled).where("term = 'after'").select("beta", "std_err"), 6, "beta", "std_err")
 
 
@@ -656,9 +660,8 @@ def coef_table_period(spark, sf_dir):
 @query()
 def wald_test(spark, sf_dir):
     """Sequential tests of the interaction model's blocks, each in the model that adds it; overall: the interactions."""
-    store, blocks = _saved(
-        spark, ("sequence", sf_dir),
-        lambda: gee.fit_sequence(_saved_weeks(spark, sf_dir), c.INTERACTION))
+    subsets, blocks = gee.sequence_blocks(c.INTERACTION)
+    store = _saved(spark, sf_dir, ("sequence",), lambda: gee.fit_nested(_subjects(spark, sf_dir), c.INTERACTION, subsets))
     return rounded(gee.wald_test(store, blocks, per_model=True, overall=("age_time", "sex_age", "sex_time")), 6, "chi2", "p_value")
 
 

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of local sessions that name none, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -46,8 +49,11 @@ def shared_dir(spark: SparkSession) -> str:
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="recurra-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        # The setting can't be changed in a running session, so the folder is remembered beside it.
+        application = spark.sparkContext.applicationId
+        folder = _LOCAL_FOLDERS.get(application)
+        if folder is None:
+            folder = _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="recurra-")
     return folder
 
 
@@ -68,3 +74,15 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+
+
+def fingerprint(spark: SparkSession, folder: str) -> int:
+    """A number that changes with the names, sizes and times of the files in a folder and its subfolders."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    seen = []
+    while files.hasNext():
+        file = files.next()
+        seen.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
+    return hash(tuple(sorted(seen)))
