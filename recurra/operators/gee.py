@@ -35,6 +35,8 @@ STATS = ("n_rows", "n_subjects", "squares", "pair_products", "n_pairs")
 STORE_ENTRIES = 2_000_000
 # Halvings of a step whose sums are not finite, before the fit counts as failed.
 MAX_HALVINGS = 20
+# Weeks whose design a task holds at a time.
+SLICE_WEEKS = 1 << 14
 
 
 class FitError(RuntimeError):
@@ -196,6 +198,16 @@ def _batch_sums(batch: pa.RecordBatch, fits: list[_Fit], width: int, with_meat:
     yield from _sums(_starts(weeks), c["wave"], c["y"], c["offset"], x, fits, with_meat)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Subjects of about SLICE_WEEKS weeks: their arrays stay in a core's cache."""
+    ends = np.cumsum(pc.list_value_length(batch.column("wave")).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_WEEKS, "right")), at + 1)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def _starts(weeks: _Weeks) -> np.ndarray:
     return np.flatnonzero(np.diff(weeks.subject, prepend=-1))
 
@@ -270,8 +282,9 @@ def _pass_sums(nested: DataFrame, fits: list[_Fit], spec: ModelSpec, with_meat:
                 if not cuts and scenario not in by_scenario:
                     continue
                 part = batch.filter(pc.equal(batch.column("scenario_id"), scenario))
-                for model_id, sums in sums_of(part, scenario):
-                    totals[model_id] = totals[model_id] + sums if model_id in totals else sums
+                for some in _slices(part):
+                    for model_id, sums in sums_of(some, scenario):
+                        totals[model_id] = totals[model_id] + sums if model_id in totals else sums
         for model_id, sums in totals.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([model_id] * len(sums)), pa.array(np.arange(len(sums), dtype=np.int32)),
