@@ -72,10 +72,13 @@ def is_categorical(df: DataFrame, var: str) -> bool:
 
 def baseline_table(
     df: DataFrame, variables: Sequence[str], group: str, groups: Sequence[str],
-    mode: str = "med.IQR", pooled: bool = False, cont: dict[str, bool] | None = None,
+    mode: str = "med.IQR", pooled: bool = False, cont: dict[str, bool] | None = None, compare: bool = False,
 ) -> DataFrame:
     """Summaries of several variables, stacked: one row per variable, level and group.
 
+    `compare` adds `p_value`, the same on all rows of a variable: does it differ between
+    the groups (without the pooled one)? By Kruskal-Wallis for continuous variables, by Pearson's
+    chi-square for others; NULL with fewer than two groups or levels.
     `cont` states which variables are continuous; for others a job counts the distinct values.
     """
     cont = cont or {}
@@ -93,10 +96,32 @@ def baseline_table(
                 F.lit(None).cast("string").alias("level"), group, "n",
                 F.lit(None).cast("bigint").alias("denominator"),
                 F.lit(None).cast("double").alias("percent"), *quantile_names)
+        if compare:
+            tested = chi_square(part, group) if categorical else kruskal_h(rows, var, group)
+            part = part.withColumn("p_value", tested.select("p_value").scalar())
         parts.append(part.select(F.lit(position).alias("position"), F.lit(var).alias("variable"), "*"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def chi_square(counts: DataFrame, group: str) -> DataFrame:
+    """Pearson's chi-square of `summarize_categorical`'s rows: statistic, degrees of freedom and p-value."""
+    own = counts.where(F.col(group) != POOLED)
+    # A row per level and group here.
+    whole = Window.partitionBy(F.lit(0))
+    sums = own.select(
+        "level", group, F.col("n").cast("double").alias("n"),
+        F.sum("n").over(Window.partitionBy("level")).alias("_row"),
+        F.sum("n").over(Window.partitionBy(group)).alias("_column"), F.sum("n").over(whole).alias("_total"))
+    expected = F.try_divide(F.col("_row") * F.col("_column").cast("double"), F.col("_total"))
+    total = sums.agg(
+        F.sum(F.try_divide((F.col("n") - expected) * (F.col("n") - expected), expected)).alias("chi2"),
+        F.count_distinct(F.when(F.col("_row") > 0, F.col("level"))).alias("_levels"),
+        F.count_distinct(F.when(F.col("_column") > 0, F.col(group))).alias("_groups"))
+    df = (F.col("_levels") - 1) * (F.col("_groups") - 1)
+    return total.select(F.when(df > 0, F.col("chi2")).alias("chi2"), df.alias("df")).withColumn(
+        "p_value", F.when(F.col("df") > 0, chi2_p(F.col("chi2"), F.greatest(F.col("df"), F.lit(1)))))
+
+
 def kruskal_h(df: DataFrame, var: str, group: str) -> DataFrame:
     """Kruskal-Wallis H with tie correction, degrees of freedom and p-value; H is NULL where all values tie."""
     rows = df.where(F.col(group).isNotNull() & F.col(var).isNotNull())

@@ -6,7 +6,7 @@ subjects are chosen by IN / NOT IN, and merges go through GROUP BY and joins.
 
 from __future__ import annotations
 
-from recurra.config import SCENARIOS
+from recurra.config import SCENARIOS, TABLE_TIMES
 
 BORN = "DATE '1984-01-01' + CAST((c_custkey * 37) % 4018 AS INTEGER)"
 END = "DATE '2001-12-31'"
@@ -287,6 +287,76 @@ SELECT {group}, level, n, CAST(sum(n) OVER (PARTITION BY {group}) AS BIGINT) AS
 IQR = {"q_low": 0.25, "median": 0.5, "q_high": 0.75}
 
 
+# The banded model in closed form: log rate ratio of each band to the first, with its robust error.
+BAND_FITS = f""",
+            sb AS (SELECT patid, {BAND_CASE} AS band, sum(status)::DOUBLE AS y, sum(n_days) / 365.0::DOUBLE AS t
+                   FROM pw GROUP BY ALL),
+            bt AS (SELECT band, sum(y) AS sy, sum(t) AS st FROM sb WHERE band IS NOT NULL GROUP BY 1),
+            ub AS (SELECT patid, band, (y - sy / st * t) / sy AS u, sy, st FROM sb JOIN bt USING (band)),
+            u1 AS (SELECT patid, u AS u1 FROM ub WHERE band = 1),
+            b1 AS (SELECT sum(u * u) AS v1, any_value(sy / st) AS r1 FROM ub WHERE band = 1)
+            , est AS (SELECT band, ln(any_value(sy / st) / any_value(r1)) AS estimate,
+              sqrt(sum(u * u) + any_value(v1) - 2 * sum(u * coalesce(u1, 0))) AS std_err
+            FROM ub LEFT JOIN u1 USING (patid) CROSS JOIN b1 WHERE band > 1 GROUP BY band)"""
+AFTER_ERROR = "sqrt(v00 + v11 - 2 * v01)"
+TIMES = "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, '{label}', {t!r}::DOUBLE)" for i, (label, t) in enumerate(TABLE_TIMES, 1)) + ") AS x(position, label, t)"
+
+
+def limits(estimate: str, error: str) -> str:
+    return (f"round({estimate}, 6) AS estimate, round({error}, 6) AS std_err, "
+            f"round({estimate} - {Z} * {error}, 6) AS lower, round({estimate} + {Z} * {error}, 6) AS upper")
+
+
+TABLE_ONE = ALIVE + LABELLED + """,
+            fr AS (SELECT *, row_number() OVER (PARTITION BY patid, period ORDER BY date_admit) AS r FROM lab),
+            f1 AS (SELECT * FROM fr WHERE r = 1),
+            g AS (SELECT DISTINCT period_label FROM lab),
+            cat AS (
+              SELECT 1 AS position, 'sex' AS variable, sex AS level, period_label, count(*) AS n FROM f1 GROUP BY ALL
+              UNION ALL
+              SELECT 3, 'outcome', o.outcome, g.period_label, count(l.patid) FROM g
+                CROSS JOIN (SELECT DISTINCT outcome FROM lab) o
+                LEFT JOIN lab l ON l.outcome = o.outcome AND l.period_label = g.period_label GROUP BY ALL)
+            SELECT 0 AS position, 'Number of patients' AS variable, NULL AS level, period_label, count(*) AS n,
+              NULL::BIGINT AS denominator, NULL::DOUBLE AS percent, NULL::DOUBLE AS q_low, NULL::DOUBLE AS median,
+              NULL::DOUBLE AS q_high FROM f1 GROUP BY period_label
+            UNION ALL
+            SELECT position, variable, level, period_label, n,
+              CAST(sum(n) OVER (PARTITION BY position, period_label) AS BIGINT),
+              round_even(100 * (n::DOUBLE / sum(n) OVER (PARTITION BY position, period_label)), 0), NULL, NULL, NULL FROM cat
+            UNION ALL
+            SELECT 2, 'age', NULL, period_label, count(age), NULL, NULL, round(quantile_cont(age, 0.25), 9),
+              round(quantile_cont(age, 0.5), 9), round(quantile_cont(age, 0.75), 9) FROM lab GROUP BY period_label"""
+
+
+def chi_square(rows: str, variable: str) -> str:
+    """Pearson's test of a variable against three groups: with even degrees the tail is a finite sum."""
+    return f"""
+            ct_{variable} AS (SELECT {variable} AS level, period_label, count(*)::DOUBLE AS n FROM {rows}
+              WHERE {variable} IS NOT NULL GROUP BY ALL),
+            rt_{variable} AS (SELECT level, sum(n) AS r FROM ct_{variable} GROUP BY 1),
+            gt_{variable} AS (SELECT period_label, sum(n) AS c FROM ct_{variable} GROUP BY 1),
+            st_{variable} AS (SELECT sum((coalesce(n, 0) - r * c / t) ** 2 / (r * c / t)) AS x,
+                CAST((SELECT count(*) - 1 FROM rt_{variable}) * (SELECT count(*) - 1 FROM gt_{variable}) / 2 AS BIGINT) AS half
+              FROM rt_{variable} CROSS JOIN gt_{variable} CROSS JOIN (SELECT sum(n) AS t FROM ct_{variable})
+              LEFT JOIN ct_{variable} USING (level, period_label)),
+            tail_{variable} AS (SELECT sum(exp(-x / 2) * (x / 2) ** k / factorial(CAST(k AS INTEGER))) AS p
+              FROM st_{variable} CROSS JOIN range(0, 20) AS g(k) WHERE k < half)"""
+
+
+TESTS = f""",
+            rk AS (SELECT period_label, rank() OVER (ORDER BY age) + (count(*) OVER (PARTITION BY age) - 1) / 2.0::DOUBLE
+                     AS r, count(*) OVER (PARTITION BY age) AS t FROM lab WHERE age IS NOT NULL),
+            gr AS (SELECT period_label, sum(r) AS s, count(*) AS n FROM rk GROUP BY 1),
+            tt AS (SELECT sum(t::DOUBLE * t - 1) AS ties, count(*)::DOUBLE AS n FROM rk),
+            hh AS (SELECT (12 / (tt.n * (tt.n + 1)) * sum(s * s / gr.n) - 3 * (tt.n + 1))
+                     / (1 - ties / (tt.n * tt.n * tt.n - tt.n)) AS h FROM gr CROSS JOIN tt GROUP BY tt.n, ties),
+            {chi_square("f1", "sex")}, {chi_square("lab", "outcome")},
+            tests AS (SELECT 'age' AS variable, round(exp(-h / 2), 9) AS p_value FROM hh
+              UNION ALL SELECT 'sex', round(p, 9) FROM tail_sex UNION ALL SELECT 'outcome', round(p, 9) FROM tail_outcome)"""
+
+
 def oracles(spline_weights=None) -> dict[str, str]:
     sql = {
         "stage_visit_index": f"WITH {ADMISSIONS} SELECT source_ordinal, patid, row_number() OVER (PARTITION BY patid "
@@ -432,56 +502,53 @@ def oracles(spline_weights=None) -> dict[str, str]:
         "gee_period_only": CRUDE_ALL + """SELECT 'period_only' AS model_id, '(Intercept)' AS term, round(b0, 6) AS beta,
             round(sqrt(v00), 6) AS std_err FROM rob UNION ALL
             SELECT 'period_only', 'after', round(b1, 6), round(sqrt(v00 + v11 - 2 * v01), 6) FROM rob""",
-        "gee_bands_only": FULL + f""",
-            sb AS (SELECT patid, {BAND_CASE} AS band, sum(status)::DOUBLE AS y, sum(n_days) / 365.0::DOUBLE AS t
-                   FROM pw GROUP BY ALL),
-            bt AS (SELECT band, sum(y) AS sy, sum(t) AS st FROM sb WHERE band IS NOT NULL GROUP BY 1),
-            ub AS (SELECT patid, band, (y - sy / st * t) / sy AS u, sy, st FROM sb JOIN bt USING (band)),
-            u1 AS (SELECT patid, u AS u1 FROM ub WHERE band = 1),
-            b1 AS (SELECT sum(u * u) AS v1, any_value(sy / st) AS r1 FROM ub WHERE band = 1)
-            , est AS (SELECT band, round(ln(any_value(sy / st) / any_value(r1)), 5) AS estimate,
-              round(sqrt(sum(u * u) + any_value(v1) - 2 * sum(u * coalesce(u1, 0))), 5) AS std_err
-            FROM ub LEFT JOIN u1 USING (patid) CROSS JOIN b1 WHERE band > 1 GROUP BY band)
-            SELECT CAST(every.band AS INTEGER) AS band, estimate, std_err
+        "gee_bands_only": FULL + f"""{BAND_FITS}
+            SELECT CAST(every.band AS INTEGER) AS band, round(estimate, 5) AS estimate, round(std_err, 5) AS std_err
             FROM (SELECT unnest(range(2, 13)) AS band) every LEFT JOIN est ON est.band = every.band""",
-        "baseline_characteristics": ALIVE + LABELLED + """,
-            fr AS (SELECT *, row_number() OVER (PARTITION BY patid, period ORDER BY date_admit) AS r FROM lab),
-            f1 AS (SELECT * FROM fr WHERE r = 1),
-            g AS (SELECT DISTINCT period_label FROM lab),
-            cat AS (
-              SELECT 1 AS position, 'sex' AS variable, sex AS level, period_label, count(*) AS n FROM f1 GROUP BY ALL
-              UNION ALL
-              SELECT 3, 'outcome', o.outcome, g.period_label, count(l.patid) FROM g
-                CROSS JOIN (SELECT DISTINCT outcome FROM lab) o
-                LEFT JOIN lab l ON l.outcome = o.outcome AND l.period_label = g.period_label GROUP BY ALL)
-            SELECT 0 AS position, 'Number of patients' AS variable, NULL AS level, period_label, count(*) AS n,
-              NULL::BIGINT AS denominator, NULL::DOUBLE AS percent, NULL::DOUBLE AS q_low, NULL::DOUBLE AS median,
-              NULL::DOUBLE AS q_high FROM f1 GROUP BY period_label
-            UNION ALL
-            SELECT position, variable, level, period_label, n,
-              CAST(sum(n) OVER (PARTITION BY position, period_label) AS BIGINT),
-              round_even(100 * (n::DOUBLE / sum(n) OVER (PARTITION BY position, period_label)), 0), NULL, NULL, NULL FROM cat
-            UNION ALL
-            SELECT 2, 'age', NULL, period_label, count(age), NULL, NULL, round(quantile_cont(age, 0.25), 9),
-              round(quantile_cont(age, 0.5), 9), round(quantile_cont(age, 0.75), 9) FROM lab GROUP BY period_label""",
+        "baseline_characteristics": TABLE_ONE,
+        "baseline_comparisons": TABLE_ONE.replace("SELECT 0 AS position", TESTS + " SELECT t.*, p_value FROM (SELECT 0 AS position", 1)
+            + ") t LEFT JOIN tests USING (variable)",
         "coef_table_period": CRUDE_ALL + f"""SELECT 'after' AS term, round(b1, 6) AS estimate,
             round(sqrt(v00 + v11 - 2 * v01), 6) AS std_err, round(exp(b1), 6) AS exp_estimate,
             round(exp(b1 - {Z} * sqrt(v00 + v11 - 2 * v01)), 6) AS exp_lower,
             round(exp(b1 + {Z} * sqrt(v00 + v11 - 2 * v01)), 6) AS exp_upper FROM rob""",
         "wald_period": CRUDE_ALL + """SELECT 'after' AS block, round(b1 * b1 / (v00 + v11 - 2 * v01), 4) AS chi2,
             1 AS df FROM rob UNION ALL SELECT 'overall', round(b1 * b1 / (v00 + v11 - 2 * v01), 4), 1 FROM rob""",
-        "predict_rate_period": CRUDE_ALL + f"""SELECT t AS time_label, round(CASE WHEN t = 'before' THEN b0 ELSE b0 + b1 END, 6)
-            AS estimate, round(CASE WHEN t = 'before' THEN sqrt(v00) ELSE sqrt(v11) END, 6) AS std_err
-            FROM rob CROSS JOIN (VALUES ('before'), ('after')) AS x(t)""",
-        "rate_difference_period": CRUDE_ALL + """SELECT round(sy1 / st1 - sy0 / st0, 6) AS estimate,
-            round(sqrt((sy1 / st1) ** 2 * v11 + (sy0 / st0) ** 2 * v00 - 2 * (sy1 / st1) * (sy0 / st0) * v01), 6) AS std_err
-            FROM rob""",
+        "predict_rate_period": CRUDE_ALL + f""", pr AS (SELECT t AS time_label, CASE WHEN t = 'before' THEN b0 ELSE b0 + b1 END
+            AS e, CASE WHEN t = 'before' THEN sqrt(v00) ELSE sqrt(v11) END AS s
+            FROM rob CROSS JOIN (VALUES ('before'), ('after')) AS x(t))
+            SELECT sex, time_label, {limits("e", "s")} FROM pr CROSS JOIN (VALUES ('male'), ('female')) AS y(sex)""",
+        "rate_difference_period": CRUDE_ALL + f""", rd AS (SELECT sy1 / st1 - sy0 / st0 AS e,
+            sqrt((sy1 / st1) ** 2 * v11 + (sy0 / st0) ** 2 * v00 - 2 * (sy1 / st1) * (sy0 / st0) * v01) AS s FROM rob)
+            SELECT sex, {limits("e", "s")} FROM rd CROSS JOIN (VALUES ('male'), ('female')) AS y(sex)""",
+        "irr_curve_period": CRUDE_ALL + f"""SELECT 'period_only' AS model_id, round(2 / 52.0::DOUBLE + k * 0.01::DOUBLE, 6)
+            AS time_after_index, {limits("b1", AFTER_ERROR)} FROM rob CROSS JOIN range(0, 997) AS g(k)""",
+        "irr_table_period": CRUDE_ALL + f"""SELECT CAST(position AS INTEGER) AS position, label, round(exp(b1), 6) AS estimate,
+            round(exp(b1 - {Z} * {AFTER_ERROR}), 6) AS lower, round(exp(b1 + {Z} * {AFTER_ERROR}), 6) AS upper
+            FROM rob CROSS JOIN ({TIMES})""",
+        "irr_table_bands": FULL + f"""{BAND_FITS} SELECT CAST(position AS INTEGER) AS position, label,
+            round(coalesce(estimate, 0), 5) AS estimate, round(coalesce(std_err, 0), 5) AS std_err FROM (SELECT position, label, {BAND_CASE.replace("time_after_index", "t")} AS band FROM ({TIMES}))
+            LEFT JOIN est USING (band)""",
+        "zero_crossing_bands": FULL + f"""{BAND_FITS}, grid AS (
+              SELECT t, coalesce(estimate, 0) AS e, lag(t) OVER (ORDER BY t) AS t0,
+                lag(coalesce(estimate, 0)) OVER (ORDER BY t) AS e0
+              FROM (SELECT t, {BAND_CASE.replace("time_after_index", "t")} AS band
+                    FROM (SELECT 0.05::DOUBLE + k * 0.25::DOUBLE AS t FROM range(0, 40) AS g(k))) LEFT JOIN est USING (band))
+            SELECT 'bands_only' AS model_id, round(min(CASE WHEN e = 0 THEN t WHEN e0 * e < 0 THEN t0 + (t - t0) * e0 / (e0 - e) END), 3)
+              AS time_at_zero FROM grid""",
+        "scenario_curves_period": CRUDE_SCEN + f"""SELECT scenario_id, round(2 / 52.0::DOUBLE + k * 0.5::DOUBLE, 6)
+            AS time_after_index, {limits("b1", AFTER_ERROR)} FROM rob CROSS JOIN range(0, 12) AS g(k)""",
+        "contrast_subset_period": CRUDE_ALL + f"""SELECT '(Intercept)' AS term, {limits("b0", "sqrt(v00)")} FROM rob UNION ALL
+            SELECT 'after', {limits("b1", AFTER_ERROR)} FROM rob""",
         "pairwise_diffs_period": CRUDE_ALL + """SELECT '(Intercept) vs. after' AS contrast, round(b0 - b1, 6) AS estimate,
             round(sqrt(4 * v00 + v11 - 4 * v01), 6) AS std_err FROM rob""",
-        "gee_period_scenarios": CRUDE_SCEN + """SELECT 'period_only:' || scenario_id AS model_id, round(b1, 6) AS beta,
-            round(sqrt(v00 + v11 - 2 * v01), 6) AS std_err FROM rob""",
-        "pool_rubin_period": CRUDE_SCEN + """SELECT round(avg(b1), 6) AS beta,
-            round(sqrt(avg(v00 + v11 - 2 * v01) + (1 + 1 / 3.0::DOUBLE) * var_samp(b1)), 6) AS std_err FROM rob""",
+        "gee_period_scenarios": CRUDE_SCEN + """SELECT 'period_only:' || scenario_id AS model_id, '(Intercept)' AS term,
+            round(b0, 6) AS beta, round(sqrt(v00), 6) AS std_err FROM rob UNION ALL
+            SELECT 'period_only:' || scenario_id, 'after', round(b1, 6), round(sqrt(v00 + v11 - 2 * v01), 6) FROM rob""",
+        "pool_rubin_period": CRUDE_SCEN + """SELECT '(Intercept)' AS term, round(avg(b0), 6) AS beta,
+            round(sqrt(avg(v00) + (1 + 1 / 3.0::DOUBLE) * var_samp(b0)), 6) AS std_err FROM rob UNION ALL
+            SELECT 'after', round(avg(b1), 6),
+            round(sqrt(avg(v00 + v11 - 2 * v01) + (1 + 1 / 3.0::DOUBLE) * var_samp(b1)), 6) FROM rob""",
     }
     if spline_weights is not None:
         sql["ns_basis"] = FULL + _spline_means(*spline_weights)

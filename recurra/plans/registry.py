@@ -398,6 +398,13 @@ def baseline_characteristics(spark, sf_dir):
     return rounded(table, 9, *summary.MODES["med.IQR"])
 
 
+@query()
+def baseline_comparisons(spark, sf_dir):
+    """Table 1 with the p-values of its comparisons."""
+    table = report.baseline_characteristics(_episodes(spark, sf_dir, ALIVE), compare=True)
+    return rounded(table, 9, *summary.MODES["med.IQR"], "p_value")
+
+
 @query()
 def group_sizes(spark, sf_dir):
     return summary.group_sizes(_table_rows(spark, sf_dir), "period_label", pooled=True)
@@ -552,13 +559,13 @@ def gee_piecewise(spark, sf_dir):
 @query()
 def gee_period_scenarios(spark, sf_dir):
     store = _fit(spark, sf_dir, PERIOD, SCENARIO_ROWS)
-    return rounded(_coefficients(store).where("term = 'after'").drop("term"), 6, "beta", "std_err")
+    return rounded(_coefficients(store), 6, "beta", "std_err")
 
 
 @query()
 def pool_rubin_period(spark, sf_dir):
     pooled = contrasts.pool_rubin(_fit(spark, sf_dir, PERIOD, SCENARIO_ROWS))
-    return rounded(_coefficients(pooled).where("term = 'after'").select("beta", "std_err"), 6, "beta", "std_err")
+    return rounded(_coefficients(pooled).select("term", "beta", "std_err"), 6, "beta", "std_err")
 
 
 @query()
@@ -603,7 +610,9 @@ def model_tables(spark, sf_dir):
     pooled = contrasts.pool_rubin(_fit(spark, sf_dir, c.EMIGRATION_MI))
     tables = [contrasts.irr_table(_fit(spark, sf_dir, spec), spec) for spec in (c.MAIN, c.WORSE_ALIVE, c.UNDER13)]
     tables.append(contrasts.irr_table(pooled, c.EMIGRATION_MI))
-    return reduce(DataFrame.unionByName, tables).select("model_id", "position", "label", "irr")
+    return reduce(DataFrame.unionByName, tables).select(
+        "model_id", "position", "label", "irr",
+        *(F.round(f"exp_{n}", 6).alias(n) for n in ("estimate", "lower", "upper")))
 
 
 @query()
@@ -622,8 +631,8 @@ def predict_rate(spark, sf_dir):
 def predict_rate_period(spark, sf_dir):
     grid = contrasts.rate_grid(
         _fit(spark, sf_dir, PERIOD), [("before", -1.0), ("after", 1.0)], max_age=0.0)
-    rows = contrasts.predict_rate(grid, PERIOD).where("sex = 'female'")
-    return rounded(rows.select("time_label", "estimate", "std_err"), 6, "estimate", "std_err")
+    rows = contrasts.predict_rate(grid, PERIOD).select("sex", "time_label", *ESTIMATES)
+    return rounded(rows, 6, *ESTIMATES)
 
 
 @query()
@@ -635,8 +644,8 @@ def rate_difference(spark, sf_dir):
 @query()
 def rate_difference_period(spark, sf_dir):
     grid = contrasts.rate_grid(_fit(spark, sf_dir, PERIOD), [("after", 1.0)], max_age=0.0)
-    rows = contrasts.rate_difference(grid, PERIOD).where("sex = 'female'")
-    return rounded(rows.select("estimate", "std_err"), 6, "estimate", "std_err")
+    rows = contrasts.rate_difference(grid, PERIOD).select("sex", *ESTIMATES)
+    return rounded(rows, 6, *ESTIMATES)
 
 
 @query()
@@ -646,6 +655,46 @@ def zero_crossing(spark, sf_dir):
     return rounded(contrasts.zero_crossing(curves, 2 / 52, 10.0), 6, "time_at_zero")
 
 
+# The same operators on models with a closed form, so that SQL can repeat them.
+
+@query()
+def irr_curve_period(spark, sf_dir):
+    return rounded(contrasts.irr_curve(_fit(spark, sf_dir, PERIOD), PERIOD), 6, "time_after_index", *ESTIMATES).select(
+        "model_id", "time_after_index", *ESTIMATES)
+
+
+@query()
+def irr_table_period(spark, sf_dir):
+    return contrasts.irr_table(_fit(spark, sf_dir, PERIOD), PERIOD).select(
+        "position", "label", *(F.round(f"exp_{n}", 6).alias(n) for n in ("estimate", "lower", "upper")))
+
+
+@query()
+def irr_table_bands(spark, sf_dir):
+    """The banded model's rate ratio at the named times, each in its band."""
+    return contrasts.irr_table(_fit(spark, sf_dir, c.BANDS_ONLY), c.BANDS_ONLY, c.TABLE_TIMES).select(
+        "position", "label", *(F.round(n, 5).alias(n) for n in ("estimate", "std_err")))
+
+
+@query()
+def scenario_curves_period(spark, sf_dir):
+    curves = contrasts.scenario_curves(_fit(spark, sf_dir, PERIOD, SCENARIO_ROWS), PERIOD, step=0.5)
+    return rounded(curves, 6, "time_after_index", *ESTIMATES).select("scenario_id", "time_after_index", *ESTIMATES)
+
+
+@query()
+def zero_crossing_bands(spark, sf_dir):
+    """Where the banded model's curve changes sign, between points of the grid."""
+    curve = contrasts.irr_curve(_fit(spark, sf_dir, c.BANDS_ONLY), c.BANDS_ONLY, start=0.05, step=0.25)
+    return rounded(contrasts.zero_crossing(curve, 0.05, 10.0), 3, "time_at_zero")
+
+
+@query()
+def contrast_subset_period(spark, sf_dir):
+    return rounded(contrasts.contrast_subset(_fit(spark, sf_dir, PERIOD), subset=["^after$", "Inter"]).select(
+        "term", *ESTIMATES), 6, *ESTIMATES)
+
+
 @query()
 def coef_table(spark, sf_dir):
     return contrasts.coef_table(_fit(spark, sf_dir, c.MAIN))

@@ -76,8 +76,11 @@ def table_rows(episodes: DataFrame, lookback_days: int = 730) -> DataFrame:
         *episodes.columns, F.col("_p.label").alias("period_label"), F.col("_p.sort_rank").alias("period_rank"))
 
 
-def baseline_characteristics(episodes: DataFrame) -> DataFrame:
-    """Table 1: subjects and sex from each subject's first record of a period, age and outcome from all."""
+def baseline_characteristics(episodes: DataFrame, compare: bool = False) -> DataFrame:
+    """Table 1: subjects and sex from each subject's first record of a period, age and outcome from all.
+
+    `compare` adds the p-values of `summary.baseline_table`.
+    """
     rows = table_rows(episodes)
     groups = list(TABLE_PERIODS.values())
     first = ep.first_record(rows)
@@ -86,9 +89,11 @@ def baseline_characteristics(episodes: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("level"), "period_label", "n",
         F.lit(None).cast("bigint").alias("denominator"), F.lit(None).cast("double").alias("percent"),
         *(F.lit(None).cast("double").alias(q) for q in summary.MODES["med.IQR"]))
-    sex = summary.baseline_table(first, ["sex"], "period_label", groups)
+    if compare:
+        subjects = subjects.withColumn("p_value", F.lit(None).cast("double"))
+    sex = summary.baseline_table(first, ["sex"], "period_label", groups, cont={"sex": False}, compare=compare)
     others = summary.baseline_table(
-        rows, ["age", "outcome"], "period_label", groups, cont={"age": True},
+        rows, ["age", "outcome"], "period_label", groups, cont={"age": True, "outcome": False}, compare=compare,
     ).withColumn("position", F.col("position") + 1)
     return subjects.unionByName(sex).unionByName(others)
 

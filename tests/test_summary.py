@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
@@ -250,3 +251,19 @@ def test_kruskal_without_spread(spark):
     rows = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 1.0)], "g string, v double")
     got = summary.kruskal_h(rows, "v", "g").first()
     assert got.n_total == 3 and got.h is None and got.p_value is None
+
+
+def test_comparisons_in_the_table(spark):
+    rows = [(g, a, s) for g, ages, sexes in (
+        ("x", [1.0, 2.0, 3.0, 9.0], "mmff"), ("y", [2.0, 5.0, 8.0, 9.0], "mfff"), ("z", [7.0, 9.0, 9.0, None], "mmm" "f"))
+        for a, s in zip(ages, sexes)]
+    df = spark.createDataFrame(rows, "g string, age double, s string")
+    table = summary.baseline_table(df, ["age", "s"], "g", ["x", "y", "z"], pooled=True, cont={"age": True, "s": False}, compare=True)
+    got = {r.variable: r.p_value for r in table.select("variable", "p_value").distinct().collect()}
+    # Levels by group: m 2, 1, 3 and f 2, 3, 1; all expected counts are 2.
+    assert abs(got["s"] - math.exp(-2.0 / 2)) < 1e-9
+    assert abs(got["age"] - summary.kruskal_h(df, "age", "g").first().p_value) < 1e-12
+    one = summary.baseline_table(df.where("s = 'm'"), ["s"], "g", ["x", "y", "z"], cont={"s": False}, compare=True)
+    assert {r.p_value for r in one.collect()} == {None}
+    none = summary.baseline_table(df.where("false"), ["s", "age"], "g", ["x", "y"], cont={"s": False, "age": True}, compare=True)
+    assert {r.p_value for r in none.collect()} <= {None}
