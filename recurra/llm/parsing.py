@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recurra.llm.common import BLOCK_BYTES, U64, mix, prepare, written
@@ -136,12 +136,19 @@ def with_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     order = [F.col("id").desc_nulls_last(), F.col("text")]
     dealt = docs.repartitionByRange(n, order[0], F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions(*order)
     kind = docs.schema["id"].dataType.simpleString()
-    fields = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    # Names and digests are written as bytes, half as long as their text.
+    fields = "n_chars long, edited_sha256 binary, fingerprint array<binary>, edited_fingerprint array<binary>, near_edited double, near_next double"
 
     def batch(got: dict[str, list], id_type: pa.DataType, role: int, part: int, texts: list | None = None) -> pa.RecordBatch:
         size = len(got["id"])
-        types = {"id": id_type, "n_chars": pa.int64(), "near_edited": pa.float64(), "near_next": pa.float64()}
-        columns = {k: pa.array(got.get(k) or [None] * size, types.get(k, pa.string())) for k in ("id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
+        names = pa.list_(pa.binary())
+        types = {"id": id_type, "n_chars": pa.int64(), "edited_sha256": pa.binary(), "fingerprint": names, "edited_fingerprint": names, "near_edited": pa.float64(), "near_next": pa.float64()}
+        got = dict(got)
+        if "edited_sha256" in got:
+            got["edited_sha256"] = [bytes.fromhex(x) for x in got["edited_sha256"]]
+        for name in {"fingerprint", "edited_fingerprint"} & set(got):
+            got[name] = [[bytes.fromhex(level) for level in x.split(":")] for x in got[name]]
+        columns = {k: pa.array(got.get(k) or [None] * size, t) for k, t in types.items()}
         columns |= {"role": pa.array([role] * size, pa.int32()), "part": pa.array([part] * size, pa.int32()), "text": pa.array(texts or [None] * size, pa.string())}
         return pa.RecordBatch.from_pydict(columns)
 
@@ -180,11 +187,16 @@ def with_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             made = batch(found, got.schema.field(0).type, 0, 0)
             yield made.select([c for c in made.schema.names if c not in ("role", "part", "text")])
 
+    def as_text(name: str) -> Column:
+        return F.array_join(F.transform(name, lambda level: F.lower(F.hex(level))), ":")
+
     found = written(dealt.mapInArrow(run, f"id {kind}, {fields}, role int, part int, text string"), "parsed")
     inside = found.where("role = 0").drop("role", "part", "text")
     # One row per range: the range after it, or the first again.
     ranges = found.where("role = 1").select("part")
     after = ranges.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("next"))
-    firsts = found.where("role = 1").select(F.col("part").alias("next"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_print"))
-    ends = found.where("role = 2").select("part", "id", "text", "fingerprint").join(after, "part").join(firsts, "next").select("id", "text", "fingerprint", "next_text", "next_print")
-    return inside.unionByName(ends.mapInArrow(meet, f"id {kind}, {fields}")).withColumnRenamed("id", id_col)
+    firsts = found.where("role = 1").select(F.col("part").alias("next"), F.col("text").alias("next_text"), as_text("fingerprint").alias("next_print"))
+    ends = found.where("role = 2").select("part", "id", "text", as_text("fingerprint").alias("fingerprint")).join(after, "part").join(firsts, "next").select("id", "text", "fingerprint", "next_text", "next_print")
+    rows = inside.unionByName(ends.mapInArrow(meet, f"id {kind}, {fields}"))
+    texts = {"edited_sha256": F.lower(F.hex("edited_sha256")), "fingerprint": as_text("fingerprint"), "edited_fingerprint": as_text("edited_fingerprint")}
+    return rows.withColumns(texts).withColumnRenamed("id", id_col)
