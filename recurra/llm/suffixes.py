@@ -30,7 +30,7 @@ LENGTH = 50
 #: Bytes whose hash deals a passage; fewer than `length`.
 ANCHOR = 16
 #: Keys of one shard, about.
-SHARD_KEYS = 1_000_000
+SHARD_KEYS = 400_000
 #: A key with more than this many contexts that differ is dealt by single passages, so that no shard gets them all.
 #: A bucket's equal contexts count once; one longer than UNIT bytes counts once for each UNIT begun, so a key has 2 MiB at most.
 HOT = 16384
