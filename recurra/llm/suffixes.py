@@ -23,6 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from recurra.llm.common import U64, blocks, flat, mix, prepare, run_hashes
 
@@ -292,6 +293,8 @@ class _Spread:
 
 
 def _spread(df: DataFrame, id_col: str, text_col: str, length: int) -> _Spread:
+    if not isinstance(df.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col}: passages are ordered by ids of an integer type, not {df.schema[id_col].dataType.simpleString()}")
     total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     # Buckets grow with the square root of the input, so that a bucket still has several keys for each shard.
     bytes_each = min(max(int((total * 4096) ** 0.5), BUCKET_BYTES[0]), BUCKET_BYTES[1])
@@ -507,7 +510,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     Every byte covered by a `length`-byte string that also starts in a document with
     a smaller id goes, judged on the input. Null texts count as empty; short texts lose
     nothing; null ids and repeated rows are kept (see `find`); an empty table gives no
-    rows; other columns are ignored.
+    rows; other columns are ignored. Ids are integers; others raise TypeError.
     """
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
@@ -530,12 +533,16 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     """The rows with repeated passages cut out of the text, as `digests` counts them.
 
     A span may begin or end inside a character; the bytes of such characters that
-    remain are left out, so the text stays valid.
+    remain are left out, so the text stays valid. Null texts stay null, texts may become
+    empty; repeated rows and null ids are kept (a null is larger than any id); an empty
+    table gives no rows; all columns are kept, whatever their names. Ids are integers.
     """
-    text_at, width = df.columns.index(text_col), len(df.columns)
+    text_at, id_at, width = df.columns.index(text_col), df.columns.index(id_col), len(df.columns)
+    # Names of its own, so that no column of the rows has a name used on the way.
+    plain = df.toDF(*(f"column{i}" for i in range(width)))
 
     def emit(group: pa.Table, spans_of: list) -> pa.Table:
         texts = [t if spans is None else _kept(t.encode(), spans)[0].decode("utf-8", "ignore") for t, spans in zip(group.column(text_at).to_pylist(), spans_of, strict=True)]
-        return group.select(range(width)).set_column(text_at, text_col, pa.array(texts, pa.string()))
+        return group.select(range(width)).set_column(text_at, f"column{text_at}", pa.array(texts, pa.string()))
 
-    return _merged(df, id_col, text_col, length, emit, df.schema)
+    return _merged(plain, f"column{id_at}", f"column{text_at}", length, emit, plain.schema).toDF(*df.columns)
