@@ -52,6 +52,17 @@ def release(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes for df to have no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -9,16 +9,18 @@ Equal sets are one node. In every list two nodes, one of them the set with the m
 frequent shingles, are compared with all others first; nodes found similar are in one component, and then
 only pairs of different components remain. So a crowd of near copies costs two
 comparisons per node and list instead of all its pairs, and no link between
-components is lost. An entry also carries how many lists its set is in, and their
-names in one word of bits: sets whose bits differ too often can't share enough.
+components is lost. Each set has a signature: bit i tells whether an odd number of its
+shingles hash to i. Two signatures differ in no more bits than the sets differ in
+shingles, so pairs whose signatures differ too often are left out unseen.
 Fixed-size bit sets say which shingles and which nodes can matter; where they or the
-words fill up they let everything through, and results stay the same.
+signatures fill up they let everything through, and results stay the same.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,9 @@ from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from recurra.llm.common import U64, blocks, mix, prepare, shingle_sets, sum_vectors, written
+from recurra.llm.common import U64, blocks, mix, prepare, release, shingle_sets, spare, sum_vectors, written
 from recurra.llm.components import components
 from recurra.llm.twice import has, met_twice
 
@@ -37,6 +40,8 @@ SKETCH, SHARED, NODES = 22, 26, 23
 MOST = 8
 #: Shingles of a set that are compared in the time that one entry of a list takes.
 PER_ENTRY = 64
+#: Words of 64 bits in a set's signature.
+WORDS = 4
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -46,6 +51,12 @@ def _node(shingles: np.ndarray) -> int:
     return int(mix(mix(shingles ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64, keepdims=True) + U64(len(shingles))).view(np.int64)[0])
 
 
+def _signature(shingles: np.ndarray) -> np.ndarray:
+    """For each hash value whether an odd number of the shingles have it, as signed words."""
+    odd = np.bincount((shingles & U64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def _ordered(shingles: np.ndarray, sketch: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray]:
     count = sketch[(shingles >> U64(64 - SKETCH)).astype(np.int64)]
     order = np.lexsort((shingles, count))
@@ -136,16 +147,19 @@ def join(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_c
 def keep_one(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with one document of each component: the one with the smallest id (a null is larger), then by text.
 
-    Rows without words link with nothing and all stay.
+    Rows without words link with nothing and all stay. Of equal rows of a component one stays;
+    an empty table gives no rows; all columns are kept, whatever their names.
     """
     found = groups(df, words, percent, id_col, text_col)
+    # Columns beside the rows' own have names that the rows lack.
+    id_, hash_, alone_, mine, nth = spare(df, "id", "hash", "alone", "mine", "nth")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
-    first = found.where("component is not null").groupBy("component").agg(F.min(place).alias("first")).select(F.col("first.id").alias("__id"), F.col("first.text_hash").alias("__hash"), F.lit(False).alias("__alone"))
-    alone = found.where("component is null").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.lit(True).alias("__alone")).distinct()
-    hashed = df.withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    kept = hashed.join(first.unionAll(alone), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")))
-    nth = F.row_number().over(Window.partitionBy(id_col, "__h").orderBy(F.lit(0)))
-    return kept.withColumn("__nth", nth).where("__alone or __nth = 1").select(*df.columns)
+    first = found.where("component is not null").groupBy("component").agg(F.min(place).alias("first")).select(F.col("first.id").alias(id_), F.col("first.text_hash").alias(hash_), F.lit(False).alias(alone_))
+    alone = found.where("component is null").select(F.col("id").alias(id_), F.col("text_hash").alias(hash_), F.lit(True).alias(alone_)).distinct()
+    hashed = df.withColumn(mine, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    kept = hashed.join(first.unionAll(alone), F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(mine) == F.col(hash_)))
+    numbered = kept.withColumn(nth, F.row_number().over(Window.partitionBy(id_col, mine).orderBy(F.lit(0))))
+    return numbered.where(F.col(alone_) | (F.col(nth) == 1)).select(*df.columns)
 
 
 def groups(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,8 +171,8 @@ def groups(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text
     component_id is the smallest id reachable. A null text, or one without words, has
     no shingles and links with nothing (component_id: its own id). Equal sets always link. Null ids and
     repeated rows are kept (a null is no smallest id unless there is no other); an
-    empty table gives no rows; other columns are ignored. Shingles and sets are
-    compared by 64-bit hashes.
+    empty table gives no rows; other columns are ignored. Ids may have any type that can
+    be ordered. Shingles and sets are compared by 64-bit hashes.
     """
     spark = prepare(df.sparkSession)
     texts = df.select(F.col(text_col).alias("__text"))
@@ -170,14 +184,17 @@ def groups(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text
             for s in sets:
                 # Shingles are distinct but cells may repeat.
                 np.add.at(total, (s >> U64(64 - SKETCH)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.binary())], names=["id", "text_hash", "n_shingles", "node", "part", "counts"])
+            signs = np.array([_signature(s) for s in sets], np.int64).reshape(len(sets), WORDS)
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), *(pa.array(w) for w in np.ascontiguousarray(signs.T)), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.binary())], names=names)
         none = pa.nulls(1, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, id_arrow), none, none, none, pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([zlib.compress(total, 1)], pa.binary())], names=["id", "text_hash", "n_shingles", "node", "part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, id_arrow), *[none] * (3 + WORDS), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([zlib.compress(total, 1)], pa.binary())], names=names)
 
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
     id_type = docs.schema["id"].dataType.simpleString()
-    id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-    sized = written(docs.mapInArrow(size_up, f"id {id_type}, text_hash long, n_shingles long, node long, part long, counts binary"), "sized")
+    id_arrow = to_arrow_type(docs.schema["id"].dataType)
+    words_of = [f"sign{i}" for i in range(WORDS)]
+    names = ["id", "text_hash", "n_shingles", "node", *words_of, "part", "counts"]
+    sized = written(docs.mapInArrow(size_up, f"id {id_type}, text_hash long, n_shingles long, node long, {', '.join(f'{w} long' for w in words_of)}, part long, counts binary"), "sized")
     sketch = sum_vectors(sized.where("counts is not null").select(F.lit("all").alias("name"), "part", "counts"), "name", 16).get("all")
     narrow = sized.where("counts is null").select("id", "text_hash", "n_shingles", "node")
     if sketch is None:
@@ -198,9 +215,8 @@ def groups(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text
 
         def out() -> pa.RecordBatch:
             sizes = [len(h[1]) for h in held]
-            names = [np.bitwise_or.reduce(U64(1) << ((h[1] >> U64(SHARED)) & U64(63)), initial=U64(0)).view(np.int64) for h in held]
-            columns = [np.concatenate([h[1] for h in held]).astype(np.int64), np.repeat(np.array([h[0] for h in held], np.int64), sizes), np.repeat(np.array([h[3] for h in held], np.int32), sizes), np.repeat(np.array([h[2] for h in held], np.int32), sizes), np.concatenate([h[4] for h in held]).astype(np.int32), np.repeat(np.array([h[5] for h in held], np.int64), sizes), np.repeat(np.array(sizes, np.int32), sizes), np.repeat(np.array(names, np.int64), sizes)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "node", "n", "need", "at", "frequent", "lists", "names"])
+            columns = [np.concatenate([h[1] for h in held]).astype(np.int64), np.repeat(np.array([h[0] for h in held], np.int64), sizes), np.repeat(np.array([h[3] for h in held], np.int32), sizes), np.repeat(np.array([h[2] for h in held], np.int32), sizes), np.concatenate([h[4] for h in held]).astype(np.int32), np.repeat(np.array([h[5] for h in held], np.int64), sizes)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "node", "n", "need", "at", "frequent"])
 
         for node, shingles, need, frequent, n in prefixes(batches):
             at = np.flatnonzero(has(twice.value, shingles, SHARED))
@@ -211,11 +227,12 @@ def groups(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text
         if held:
             yield out()
 
-    lists = written(texts.mapInArrow(postings, "shingle long, node long, n int, need int, at int, frequent long, lists int, names long"), "postings")
+    all_lists = written(texts.mapInArrow(postings, "shingle long, node long, n int, need int, at int, frequent long"), "postings")
     # Most shingles that the bit set lets through turn out to have one node; only two numbers per shingle travel to learn it.
-    several = lists.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("shingle")
-    lists = written(lists.join(several, "shingle", "left_semi"), "lists")
-    entry = F.struct("node", "n", "need", "at", "lists", "names")
+    several = all_lists.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("shingle")
+    lists = written(all_lists.join(several, "shingle", "left_semi"), "lists")
+    release(all_lists)
+    entry = F.struct("node", "n", "need", "at")
     # In a crowd of edited copies the one closest to all others has the fewest rare shingles.
     ends = lists.groupBy("shingle").agg(F.max_by(entry, F.struct("frequent", "node")).alias("first"), F.min_by(entry, "node").alias("last"))
     ends = written(ends.select("shingle", F.explode(F.array("first", "last")).alias("end")), "ends")
@@ -227,20 +244,33 @@ def groups(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text
     def possible(x: str, y: str) -> Column:
         """Whether a shingle that two sets share at these places of their order speaks for their similarity.
 
-        Similar sets share `need` of the first `size - wanted + need` shingles of each.
-        Of a set's shingles, one at least per bit that the other lacks isn't shared.
+        Similar sets share `need` of the first `size - wanted + need` shingles of each, and
+        shingles before the shared one are before it in both sets.
         """
-        least = wanted(f"{x}.n", f"{y}.n") - F.least(f"{x}.need", f"{y}.need")
-        early = (F.col(f"{x}.at") < F.col(f"{x}.n") - least) & (F.col(f"{y}.at") < F.col(f"{y}.n") - least)
+        least = wanted(f"{x}.n", f"{y}.n")
+        first = least - F.least(f"{x}.need", f"{y}.need")
+        early = (F.col(f"{x}.at") < F.col(f"{x}.n") - first) & (F.col(f"{y}.at") < F.col(f"{y}.n") - first)
         sizes = 100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")
-        share = [F.col(f"{p}.lists") - F.bit_count(F.col(f"{p}.names").bitwiseAND(F.bitwise_not(f"{q}.names"))) >= F.least(f"{x}.need", f"{y}.need") for p, q in ((x, y), (y, x))]
-        return sizes & early & share[0] & share[1]
+        places = 1 + F.least(f"{x}.at", f"{y}.at") + F.least(*(F.col(f"{p}.n") - F.col(f"{p}.at") - 1 for p in (x, y))) >= least
+        return sizes & early & places
+
+    def close(x: str, y: str, n: str, m: str) -> Column:
+        """Whether the signatures x and y of sets of n and m shingles differ in no more bits than similar sets may."""
+        differing = reduce(Column.__add__, (F.bit_count(F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))) for w in words_of))
+        return differing <= F.col(n) + F.col(m) - 2 * wanted(n, m)
+
+    # Equal sets have equal signatures.
+    signs = sized.where("counts is null and n_shingles > 0").groupBy("node").agg(F.struct(*(F.min(w).alias(w) for w in words_of)).alias("sign"), F.min("n_shingles").alias("n"))
+    signs = written(signs, "signatures")
 
     def candidates(met: DataFrame, x: str, y: str) -> DataFrame:
-        """Pairs (a, b) that share enough prefix shingles, of rows (x, y), one per shared shingle."""
+        """Pairs (a, b) that share enough prefix shingles and whose signatures are close, of rows (x, y), one per shared shingle."""
         rows = met.where(possible(x, y)).select(F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b"), F.least(f"{x}.need", f"{y}.need").alias("need"))
         counted = rows.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need"))
-        return counted.where("met >= need").select("a", "b")
+        pairs = counted.where("met >= need").select("a", "b")
+        for end in "ab":
+            pairs = pairs.join(signs.select(F.col("node").alias(end), F.col("sign").alias(f"sign_{end}"), F.col("n").alias(f"n_{end}")), end)
+        return pairs.where(close("sign_a", "sign_b", "n_a", "n_b")).select("a", "b")
 
     one = lists.select("shingle", entry.alias("x"))
     first = written(candidates(one.join(ends, "shingle").where("x.node != end.node"), "x", "end"), "candidates")
@@ -249,9 +279,12 @@ def groups(df: DataFrame, words: int, percent: int, id_col: str = "doc_id", text
     # What is left: pairs of one list, in different components, neither of them compared with the other yet.
     placed = one.join(found.select(F.col("node").alias("of"), "component"), F.col("x.node") == F.col("of"), "left").select("shingle", "x", F.coalesce("component", F.col("x.node")).alias("c"))
     mixed = placed.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("shingle")
-    placed = written(placed.join(mixed, "shingle", "left_semi"), "placed")
-    other = placed.select("shingle", F.col("x").alias("y"), F.col("c").alias("d"))
-    rest = placed.join(other, "shingle").where(F.expr("x.node < y.node and c != d") & possible("x", "y"))
+    placed = placed.join(mixed, "shingle", "left_semi").join(signs.select(F.col("node").alias("of"), F.col("sign").alias("sx")), F.col("x.node") == F.col("of")).drop("of")
+    placed = written(placed, "placed")
+    release(lists)
+    release(ends)
+    other = placed.select("shingle", F.col("x").alias("y"), F.col("c").alias("d"), F.col("sx").alias("sy"))
+    rest = placed.join(other, "shingle").where(F.expr("x.node < y.node and c != d") & possible("x", "y") & close("sx", "sy", "x.n", "y.n"))
     second = written(candidates(rest, "x", "y").join(first, ["a", "b"], "left_anti"), "candidates")
     links = similar
     if not second.isEmpty():
