@@ -72,6 +72,8 @@ def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", l
     with a weight; each counts the others as links. The pivots are a bounded
     sample; every row is indexed. Verification is exact, so no link is false; pairs
     that share fewer than `shared` of their nearest pivots are missed.
+    Rows that repeat an id are vectors of their own; an empty table gives no rows; other
+    columns are ignored.
     """
     spark = prepare(df.sparkSession)
     vector = F.col(vector_col).cast("array<double>")
