@@ -30,7 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates; those without words all stay, and no documents give none (see jaccard.keep_one)."""
     return jaccard.keep_one(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
@@ -40,7 +40,7 @@ def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data replaced by its kind; null texts, null ids and repeated rows stay (see pii.redact)."""
     return _counted(pii.redact(docs), docs.columns)
 
 
