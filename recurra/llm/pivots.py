@@ -2,8 +2,8 @@
 
 A vector is described by its nearest reference points (pivots) in order. Inverted
 lists hold, for each pivot, the vectors that have it among their nearest. Two
-vectors meet in the list of the first pivot that they share, become candidates
-if they share enough pivots, and are then verified by exact cosine.
+vectors meet in the list of the first pivot that they share, become candidates if they
+share enough pivots in a similar order, and are then verified by exact cosine.
 """
 
 from __future__ import annotations
@@ -26,6 +26,9 @@ APART = 0.9
 #: Pivots that describe a vector, and how many of them two candidates share at least.
 NEAREST = 10
 SHARED = 3
+#: Candidates' ranks differ by at most this share of the greatest sum of differences, in which a pivot that the
+#: other lacks counts as one place after its last: pairs that share only their farthest pivots are left out.
+RANKS = 0.82
 THRESHOLD = 0.98
 #: Rows of a list that one task compares with as many others; longer lists are cut into blocks.
 BLOCK = 512
@@ -62,7 +65,7 @@ def _smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, n_pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
+def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, n_pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED, ranks: float = RANKS) -> DataFrame:
     """(id, n_links, component_id, kept) for every row.
 
     Rows are compared when their labels are equal and not null and their vectors
@@ -71,7 +74,8 @@ def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", l
     component is null and it is kept). Equal vectors with equal label are one node
     with a weight; each counts the others as links. The pivots are a bounded
     sample; every row is indexed. Verification is exact, so no link is false; pairs
-    that share fewer than `shared` of their nearest pivots are missed.
+    that share fewer than `shared` of their nearest pivots, or rank them further
+apart than `ranks`, are missed.
     Rows that repeat an id are vectors of their own; an empty table gives no rows; other
     columns are ignored.
     """
@@ -103,7 +107,7 @@ def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", l
                     out["at"] += [i] * len(r)
                     out["dim"] += [dim] * len(r)
                     out["pivot"] += r.tolist()
-                    out["near"] += [np.sort(r).tobytes()] * len(r)
+                    out["near"] += [r.tobytes()] * len(r)
                     out["raw"] += [x] * len(r)
             at = np.array(out["at"], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(out["dim"], pa.int32()), pa.array(out["pivot"], pa.int32()), pa.array(node[at]), pa.array(weight[at]), pa.array(out["near"], pa.binary()), pa.array(out["raw"], pa.binary())], names=["label", "dim", "pivot", "node", "weight", "near", "raw"])
@@ -122,13 +126,15 @@ def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", l
         mine, node, weight = (group.column(c).to_numpy() for c in ("mine", "node", "weight"))
         order = np.argsort(node, kind="stable")
         x = _unit(group.column("raw").to_pylist(), dim)[order]
-        near = [np.frombuffer(n, "<u2") for n in group.column("near").to_pylist()]
-        mine, node, weight, near = mine[order], node[order], weight[order], [near[i] for i in order]
         n = len(node)
-        has = np.zeros((n, n_pivots), np.float32)
-        for i, r in enumerate(near):
-            has[i, r] = 1
-        need = min(shared, min(len(r) for r in near))
+        near = np.frombuffer(b"".join(group.column("near").to_pylist()), "<u2").reshape(n, -1)[order].astype(np.intp)
+        mine, node, weight = mine[order], node[order], weight[order]
+        # Vectors of one length have equally many pivots; those without rank stand one place after the last.
+        k = near.shape[1]
+        rank = np.full((n, n_pivots), k, np.int16)
+        np.put_along_axis(rank, near, np.arange(k, dtype=np.int16)[None, :], axis=1)
+        has = (rank < k).astype(np.float32)
+        need, far = min(shared, k), ranks * k * (k + 1) / 2
         links, ends = np.zeros(n, np.int64), []
         for start in range(0, n, BLOCK):
             part = slice(start, start + BLOCK)
@@ -141,6 +147,8 @@ def link(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", l
             i += start
             for s in range(0, len(i), 1 << 16):
                 a, b = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
+                alike = np.abs(rank[b[:, None], near[a]] - np.arange(k)).sum(axis=1) <= far
+                a, b = a[alike], b[alike]
                 sure = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
                 a, b = a[sure], b[sure]
                 np.add.at(links, a, weight[b])

@@ -110,6 +110,10 @@ def test_pivots(spark):
         assert got[i].component_id == (min(seen) if i is not None else None)
         assert got[i].kept == (i is None or min(seen) == i)
     assert pivots.link(df.where("false")).count() == 0
+    # The order of pivots decides: with no room for other ranks, links between vectors that rank them differently go.
+    strict = {r.vec_id: r.n_links for r in pivots.link(df, ranks=0.0).collect()}
+    assert all(strict[i] <= got[i].n_links for i in got) and sum(strict.values()) < sum(r.n_links for r in got.values())
+    assert strict[180] == 4  # repeats of one vector have no ranks to differ in
 
 
 def test_bpe(docs, none, rows):
