@@ -229,7 +229,8 @@ def band_table(store: ModelStore, bands: Sequence[float] = BANDS, alpha: float =
 def contrast_draws(rows: DataFrame, draws: int, seed: int = 1234) -> DataFrame:
     """Draws of the contrasts' joint normal distribution, reproducible from the seed.
 
-    One draw of a model is one coefficient vector, so its contrasts vary together.
+    One draw of a model is one coefficient vector, drawn once and shared by all its
+    contrasts, so they vary together.
     """
     def root(matrices: pd.Series) -> pd.Series:
         out = []
@@ -239,7 +240,8 @@ def contrast_draws(rows: DataFrame, draws: int, seed: int = 1234) -> DataFrame:
         return pd.Series(out)
 
     size = F.size("beta")
-    spread = rows.withColumn("_root", F.pandas_udf(root, "array<array<double>>")("vcov")).withColumn(
+    models = rows.groupBy("model_id").agg(F.first("beta").alias("beta"), F.first("vcov").alias("vcov"))
+    spread = models.withColumn("_root", F.pandas_udf(root, "array<array<double>>")("vcov")).withColumn(
         "draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
 
     def normal(k: Column) -> Column:
@@ -249,8 +251,9 @@ def contrast_draws(rows: DataFrame, draws: int, seed: int = 1234) -> DataFrame:
 
     spread = spread.withColumn("_z", F.transform(F.sequence(F.lit(0), size - 1), normal))
     drawn = F.zip_with("beta", "_root", lambda b, row: b + _dot(row, F.col("_z")))
-    return spread.withColumn("value", _dot(F.col("weights"), drawn)).drop(
-        "weights", "beta", "vcov", "terms", "_root", "_z")
+    vectors = spread.select("model_id", "draw", drawn.alias("_drawn"))
+    return rows.drop("beta", "vcov", "terms").join(vectors, "model_id").withColumn(
+        "value", _dot(F.col("weights"), F.col("_drawn"))).drop("weights", "_drawn")
 
 
 def unit_contrasts(store: ModelStore, pattern: str = ".*") -> DataFrame:
