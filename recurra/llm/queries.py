@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recurra.llm import bpe, chat, jaccard, langid, packing, parsing, phrases, pii, pivots, quality, runs, sharding, suffixes
@@ -32,7 +32,12 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     found = pii.find(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("strict", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+
+    def count(i: int) -> Column:
+        # The lambda has one parameter only: a second one would be the element's place.
+        return F.size(F.filter("strict", lambda s: s["kind"] == i)).cast("long")
+
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.as_text("strict"), 256).alias("base_sha256"), pii.as_text("spans").alias("spans"))
 
 

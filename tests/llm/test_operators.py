@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from recurra.llm import bpe, jaccard, langid, packing, parsing, pii, pivots, quality, sharding, suffixes
+from recurra.llm import bpe, jaccard, langid, packing, parsing, pii, pivots, quality, queries, sharding, suffixes
 from recurra.llm.components import components
 
 SHARED = "a passage of more than fifty bytes that stands in several of these documents, word for word "
@@ -317,6 +317,17 @@ def test_separated_digits(spark):
     assert clean[0] == "[card]" and clean[1] == "pay [card] now" and clean[3] == "[phone]"
 
 
+def test_personal_data_query(spark, tmp_path):
+    texts = [None, "", "a@b.cd e@f.gh", "1.2.3.4 5.6.7.8 9.9.9.9 card 4111 1111 1111 1111", "+1 743 555 3824 a@b.cd +1 743 555 3825 +1 743 555 3826 4111111111111111 4111-1111-1111-1111", "none"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[3])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = []
+    for i, t in rows:
+        spans = list(_base_spans(t or ""))
+        expected.append((str(i), *(sum(s.startswith(k) for s in spans) for k in pii.KINDS), hashlib.sha256(",".join(spans).encode()).hexdigest()))
+    assert sorted((str(r[0]), *r[1:6]) for r in queries.op4_pii_boosting(spark, str(tmp_path)).collect()) == sorted(expected)
+
+
 OBFUSCATED = ["mail name [at] host [dot] com", "write to joe(at)mail(dot)org now", "contact a @ b . c", "server 10[.]0[.]0[.]1 is up", "host 2001:db8::7 here", "addr fe80:0:0:0:1:2:3:4 end", "card 4111.1111.1111.1111 paid", "visa 5500/0000/0000/0004", "call 743 555 3824 today"]
 HARMLESS = ["at 12:30:45 on 2024-01-02", "we meet @ noon. We wait", "order 1234.5678.9012.3456", "version 300[.]1[.]2[.]3", "00:1a:2b:3c:4d:5e"]
 
