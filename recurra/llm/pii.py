@@ -2,11 +2,12 @@
 
 High-recall patterns propose spans, overlapping ones included. Strict patterns
 with their checks are always right by contract and stay. The wide proposals are
-scored by boosted trees over format and context; the trees learn from a bounded
-sample of labels that don't come from the strict patterns alone (see `_evidence`),
-of proposals that lie on strict spans, of strict spans rewritten into the wide
-formats, and of a few examples. A threshold, calibrated on a held-out part for each
-kind and format, selects every span that is added; evidence is a label and a feature only.
+scored by boosted trees over format and context; the trees learn from all labels
+that don't come from the strict patterns alone (see `_evidence`), all proposals that
+lie on strict spans, all strict spans rewritten into the wide formats, and a few
+examples. A threshold for each kind and format, calibrated on all of them by trees that
+did not learn from them, selects every span that is added; evidence is a label and a
+feature only.
 """
 
 from __future__ import annotations
@@ -50,14 +51,16 @@ ONE_SIDED = r"(?<!\x20)\.\x20|\x20\.(?!\x20)"
 _HEX = "[0-9A-Fa-f]{1,4}"
 COLONS = f"^(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}(?::{_HEX})*)?::{_HEX}(?::{_HEX})*)$"
 
-#: Candidates that the trees learn from and are calibrated on: the bound of what is fitted.
-TRAIN_ROWS = 20_000
+#: Distinct proposals that are fitted: all. A number, for trials only, bounds them.
+TRAIN_ROWS: int | None = None
 TREES, DEPTH = 12, 4
-#: Least share of held-out proposals above the threshold that must be positive.
+#: Parts of the proposals; each is scored for the thresholds by trees that learn from the others.
+FOLDS = 2
+#: Least share of proposals above the threshold that must be positive.
 PRECISION = 0.99
-#: Distinct held-out proposals from which a format has a threshold of its own; one with fewer takes its kind's, or that of all.
+#: Distinct proposals, scored by trees that did not learn from them, from which a format has a threshold of its own; one with fewer takes its kind's, or that of all.
 LEAST_HELD_OUT = 100
-#: No threshold is lower, and it stands where nothing is held out.
+#: No threshold is lower, and it stands where there are no proposals.
 LEAST_SCORE = 0.5
 #: Kind, text before, span, text after, and label: both classes are known whatever the documents hold.
 EXAMPLES = (
@@ -80,6 +83,12 @@ EXAMPLES = (
     (3, "on ", "2024-01-31", "", 0.0),
     (3, "numbers ", "1200 3400 5600", "", 0.0),
 )
+#: Where the trees may cut a feature that is no flag. Cuts are fixed since MLlib would choose them from a sample of rows.
+CUTS = {
+    "chars": (8, 10, 12, 14, 16, 18, 20, 24, 28, 32, 40, 56), "digits_n": (1, 3, 5, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 20), "share": (0.01, 0.2, 0.4, 0.6, 0.75, 0.85, 0.95, 1),
+    "spaces": (1, 2, 3, 4, 5), "dashes": (1, 2, 3, 4), "dots": (1, 2, 3, 4, 5), "brackets": (1, 2, 3, 4, 6), "slashes": (1, 2, 3, 4, 5, 6, 7), "letters": (1, 2, 4, 6, 8, 12, 16, 24),
+    "groups": (1, 2, 3, 4, 5, 6, 8), "longest": (1, 2, 3, 4, 5, 6, 7, 9, 13), "shortest": (1, 2, 3, 4, 5, 6), "lead": (0, 1, 2, 3, 4, 5, 6, 7, 8, 9),
+}
 BEFORE, AFTER = 24, 8
 _MARK, _OTHER = "\x01", "\x02"
 _SPAN = "array<struct<kind:int,start:long,end:long>>"
@@ -209,10 +218,20 @@ def _features() -> dict[str, Column]:
     return {k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in out.items()}
 
 
+def _vectors(df: DataFrame) -> DataFrame:
+    """The rows with a vector of flags in `features`: each feature, or for one with cuts whether it reaches each."""
+    values = df.select("*", F.struct(*(v.alias(k) for k, v in _features().items())).alias("values"))
+    flags = {}
+    for name in _features():
+        value = F.col(f"values.{name}")
+        flags |= {f"{name}_{i}": (value >= cut).cast("double") for i, cut in enumerate(CUTS[name])} if name in CUTS else {name: value}
+    ready = values.select("*", *(v.alias(k, metadata={"ml_attr": {"type": "binary"}}) for k, v in flags.items()))
+    return VectorAssembler(inputCols=list(flags), outputCol="features").transform(ready).drop(*flags, "values")
+
+
 @dataclass(frozen=True)
 class Trees:
     model: object
-    names: list[str]
     #: By kind and format, by kind alone (format -1), and for all (-1, -1); above 1 where none is precise enough.
     thresholds: dict[tuple[int, int], float]
 
@@ -225,13 +244,12 @@ class Trees:
         return out
 
     def probability(self, df: DataFrame) -> DataFrame:
-        ready = df.select("*", *(v.alias(k) for k, v in _features().items()))
-        scored = self.model.transform(VectorAssembler(inputCols=self.names, outputCol="features").transform(ready))
-        return scored.withColumn("score", vector_to_array("probability")[1]).drop(*self.names, "features", "rawPrediction", "probability", "prediction")
+        scored = self.model.transform(_vectors(df))
+        return scored.withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
 def _thresholds(bins: list) -> dict[tuple[int, int], float]:
-    """The lowest score above which PRECISION of the held-out proposals are positive, for formats, kinds and all.
+    """The lowest score above which PRECISION of the proposals are positive, for formats, kinds and all.
 
     `bins` are rows (kind, format, bin, hits, n, distinct). Formats and kinds with few distinct proposals are left out.
     """
@@ -253,23 +271,31 @@ def _thresholds(bins: list) -> dict[tuple[int, int], float]:
     return out
 
 
+def _trained(known: DataFrame) -> Trees:
+    """Boosted trees that learn from all rows and the examples; no thresholds yet."""
+    examples = known.sparkSession.createDataFrame(EXAMPLES, "kind int, before string, span string, after string, label double").coalesce(1).withColumn("digits", _digits("span"))
+    taught = known.select("kind", "span", "before", "after", "digits", "label").unionByName(examples)
+    return Trees(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=4, labelCol="label").fit(_vectors(taught).select("label", "features")), {})
+
+
 def fit(found: DataFrame) -> Trees:
-    """Boosted trees and thresholds from a bounded sample of distinct proposals, and the examples."""
+    """Boosted trees and thresholds from all distinct proposals and the examples.
+
+    The trees learn from every proposal. The thresholds count every one, too, scored by
+    trees that learn from the other parts only.
+    """
     wide = found.where((F.col("kind") >= 0) & ~F.col("strict"))
-    fold = F.pmod(F.xxhash64("span", "before", "after"), F.lit(4))
     natural = wide.withColumn("label", F.when(F.col("covered"), F.lit(True)).otherwise(_evidence()).cast("double")).where(F.col("label").isNotNull())
     known = natural.select("kind", "span", "before", "after", "digits", "label").unionByName(_rewritten(found))
     # Copies teach as one, and count for the thresholds as often as they stand in the texts.
-    distinct = known.groupBy("kind", "span", "before", "after", "digits").agg(F.max("label").alias("label"), F.count("*").alias("weight"))
-    sample = distinct.orderBy(F.xxhash64("span", "before", "after", "kind")).limit(TRAIN_ROWS).withColumn("held_out", fold == 0)
-    features = _features()
-    sample = written(sample.select("kind", "span", "before", "after", "digits", "label", "weight", "held_out"), "sample").coalesce(2)
-    examples = found.sparkSession.createDataFrame(EXAMPLES, "kind int, before string, span string, after string, label double").coalesce(1).withColumn("digits", _digits("span"))
-    taught = sample.where(~F.col("held_out")).select("kind", "span", "before", "after", "digits", "label").unionByName(examples)
-    ready = VectorAssembler(inputCols=list(features), outputCol="features").transform(taught.select("label", *(v.alias(k) for k, v in features.items())))
-    trees = Trees(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=4, labelCol="label").fit(ready), list(features), {})
-    bins = trees.probability(sample.where("held_out")).groupBy("kind", _format().alias("format"), F.floor(F.col("score") * 100).alias("bin")).agg(F.sum(F.col("label") * F.col("weight")).alias("hits"), F.sum("weight").alias("n"), F.count("*").alias("distinct"))
-    return Trees(trees.model, trees.names, _thresholds([r.asDict() for r in bins.collect()]))
+    sample = known.groupBy("kind", "span", "before", "after", "digits").agg(F.max("label").alias("label"), F.count("*").alias("weight"))
+    sample = sample.withColumn("fold", F.pmod(F.xxhash64("span", "before", "after"), F.lit(FOLDS)))
+    if TRAIN_ROWS is not None:
+        sample = sample.orderBy(F.xxhash64("span", "before", "after", "kind")).limit(TRAIN_ROWS)
+    sample = written(sample, "sample")
+    scored = [_trained(sample.where(F.col("fold") != i)).probability(sample.where(F.col("fold") == i)) for i in range(FOLDS)]
+    bins = reduce(DataFrame.unionByName, scored).groupBy("kind", _format().alias("format"), F.floor(F.col("score") * 100).alias("bin")).agg(F.sum(F.col("label") * F.col("weight")).alias("hits"), F.sum("weight").alias("n"), F.count("*").alias("distinct"))
+    return Trees(_trained(sample).model, _thresholds([r.asDict() for r in bins.collect()]))
 
 
 def _accepted(found: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -354,6 +355,22 @@ def test_copies_teach_once(spark, monkeypatch):
     assert len(sample) == len(set(sample)) == 60
 
 
+def test_every_proposal_teaches(spark, monkeypatch):
+    taught, binned = [], []
+    fit, thresholds = GBTClassifier.fit, pii._thresholds
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, rows: taught.append(rows) or fit(self, rows))
+    monkeypatch.setattr(pii, "_thresholds", lambda bins: binned.extend(bins) or thresholds(bins))
+    texts = spark.range(21_000).select(F.col("id").alias("doc_id"), F.format_string("id %05d/0000/0000", "id").alias("text"))
+    found = pii.candidates(texts)
+    n = found.where("kind >= 0 and not strict").count()
+    pii.fit(found)
+    # Each document proposes its own number, or more; all teach the trees that score, and all count for the thresholds.
+    assert n >= 21_000 and taught[-1].count() == n + len(pii.EXAMPLES)
+    assert sum(b["distinct"] for b in binned) == sum(b["n"] for b in binned) == n
+    # Without features to cut freely, MLlib samples no rows for cuts.
+    assert set(taught[-1].schema["features"].metadata["ml_attr"]["attrs"]) == {"binary"}
+
+
 def test_packing(docs, none, rows):
     library = Tokenizer.from_file(WORD)
     got = packing.pack(docs, WORD, capacity=128, open_bins=4).collect()
