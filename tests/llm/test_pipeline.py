@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from recurra.llm import quality
+from recurra.llm import pii, quality
 from recurra.llm.common import table, written
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -82,6 +82,15 @@ def test_personal_data(kept):
     assert all(r.n_chars == len(r.text or "") for r in kept["personal_data"].collect())
 
 
+def test_personal_data_thresholds_count_every_proposal(spark, monkeypatch):
+    binned, thresholds = [], pii._thresholds
+    monkeypatch.setattr(pii, "_thresholds", lambda bins: binned.extend(bins) or thresholds(bins))
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.format_string("id %05d/0000/0000", "id").alias("text"), F.lit(0).cast("long").alias("n_chars"))
+    n = pii.candidates(docs).where("kind >= 0 and not strict").count()
+    assert pipeline.personal_data_stage(spark, docs, SF_DIR).count() == 300
+    assert n >= 300 and sum(b["distinct"] for b in binned) == n
+
+
 def test_packing(kept):
     tokens = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     tokens.no_truncation()
