@@ -8,11 +8,15 @@ scanned by then, and counts for one full cycle from there; so lengths interleave
 and its count is exact. A phrase is never more frequent than its subphrases, so
 none above the threshold is missed.
 
+Counters are kept by 64-bit hashes, so that only numbers leave the tasks; phrases that share
+a hash and a step count together, never too low. A last scan spells out the phrases whose
+counters have reached the threshold and counts them by their words alone.
+
 A counter is at the threshold when one shard alone, or its whole cycle, brings it there.
 Tasks learn of it by a table of 2**CELLS cells per length, by hash: a cell holds the
 step since which a phrase in it is at the threshold. Where phrases share a cell, one may
 become active early and is counted for nothing, but the step is the same for all tasks,
-so counts stay exact. The table has a fixed size, in tasks and on the driver, whatever the
+so counts stay whole. The table has a fixed size, in tasks and on the driver, whatever the
 corpus; with more frequent phrases than cells, more phrases are counted that turn out rare.
 """
 
@@ -37,6 +41,10 @@ INSIDE_PERCENT, SCORE_SCALE, TOP = 80, 2_000_000, 2_000
 #: Text bytes whose phrases are counted together before they leave a task.
 COUNT_BYTES = 1 << 22
 NEVER = 255
+#: What is left of a hash after this shift is its cell.
+SHIFT = U64(64 - CELLS)
+#: Rows of a batch that leaves a task.
+ROWS = 1 << 16
 
 _KIND = np.zeros(256, np.uint8)
 # Bytes between words, and bytes between pieces.
@@ -97,48 +105,80 @@ def _salts(langs: pa.Array) -> np.ndarray:
     return mix(np.array(known, U64) + U64(1))[coded.indices.to_numpy(zero_copy_only=False)] if len(langs) else np.empty(0, U64)
 
 
-def _active(first: np.ndarray, words: np.ndarray, piece: np.ndarray, step: int, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(length, places, hashes, steps of activation) of the phrases that count in this step; `first` has the steps since which subphrases are at the threshold."""
-    shift = U64(64 - CELLS)
+def _active(first: np.ndarray, words: np.ndarray, piece: np.ndarray, step: int, shards: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(length, step of activation, hashes) of the phrases that count in this step; `first` has the steps since which subphrases are at the threshold."""
     below = _hashes(words, 1)
     if step < shards:
-        yield 1, np.arange(len(words)), below, np.zeros(len(words), np.uint8)
+        yield 1, 0, below
     for k in range(2, first.shape[0] + 2):
         here = _hashes(words, k)
-        since = first[k - 2][(below >> shift).astype(np.int64)]
-        since = np.maximum(since[:-1], since[1:]) if len(since) else since
-        at = np.flatnonzero((piece[: len(here)] == piece[k - 1 :]) & (since <= step) & (since + np.int64(shards) > step)) if len(here) else np.empty(0, np.int64)
-        yield k, at, here[at], since[at]
+        since = first[k - 2][(below >> SHIFT).astype(np.int64)]
+        since = np.maximum(since[:-1], since[1:])
+        whole = piece[: len(here)] == piece[k - 1 :]
+        for s in range(max(step - shards, 0) + 1, step + 1):
+            yield k, s, here[whole & (since == s)]
         below = here
 
 
+def _hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray] | None:
+    """Lower-cased bytes, the words' starts, ends, rows and pieces, and their hashes by language; nothing where there are no words."""
+    data, offsets = flat(batch.column("text"))
+    data = _LOWER[data]
+    tokens = _tokens(data, offsets) if len(data) else ((),) * 4
+    if not len(tokens[0]):
+        return None
+    return data, tokens, mix(run_hashes(data, *tokens[:2]) ^ _salts(batch.column("lang"))[tokens[2]])
+
+
 def _count(shard: DataFrame, first: Broadcast, shape: tuple[int, int], step: int, shards: int) -> DataFrame:
-    """(lang, phrase, words, since, cell, n) of the phrases that count in this step; rows of one phrase are not yet summed."""
+    """(hash, words, since, n) of the phrases that count in this step; rows of one hash are not yet summed."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(zlib.decompress(first.value), np.uint8).reshape(shape)
         for batch in blocks(_joined(batches), "text", COUNT_BYTES):
-            data, offsets = flat(batch.column("text"))
-            if not len(data):
+            if (found := _hashed(batch)) is None:
                 continue
-            data = _LOWER[data]
-            starts, stops, row, piece = _tokens(data, offsets)
-            if not len(starts):
+            _, (_, _, _, piece), words = found
+            for k, since, hashes in _active(known, words, piece, step, shards):
+                hashes = np.sort(hashes)
+                new = np.flatnonzero(np.diff(hashes, prepend=hashes[:1] + U64(1)))
+                n = np.diff(np.append(new, len(hashes)))
+                for i in range(0, len(new), ROWS):
+                    one = hashes[new[i : i + ROWS]].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(np.full(len(one), k, np.int8)), pa.array(np.full(len(one), since, np.int16)), pa.array(n[i : i + ROWS], pa.int64())], names=["hash", "words", "since", "n"])
+
+    return shard.mapInArrow(task, "hash bigint, words tinyint, since smallint, n bigint")
+
+
+def _spelled(docs: DataFrame, met: Broadcast, shape: tuple[int, int]) -> DataFrame:
+    """(lang, phrase, words, n) of the phrases in cells that are set in `met`, as all their subphrases are, and the number of all words as n of no words; rows of one phrase are not yet summed."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(np.frombuffer(zlib.decompress(met.value), np.uint8)).astype(bool).reshape(shape)
+        for batch in blocks(_joined(batches), "text", COUNT_BYTES):
+            if (found := _hashed(batch)) is None:
                 continue
-            hashes = mix(run_hashes(data, starts, stops) ^ _salts(batch.column("lang"))[row])
+            data, (starts, stops, row, piece), words = found
             text, begin, end = _normal(data, starts, stops)
-            for k, at, h, since in _active(known, hashes, piece, step, shards):
-                order = np.argsort(h)
-                new = np.flatnonzero(np.diff(h[order], prepend=h[order[:1]] + U64(1)))
-                one, cell, since = at[order[new]], (h[order[new]] >> U64(64 - CELLS)).astype(np.int32), since[order[new]].astype(np.int16)
-                n = np.diff(np.append(new, len(at)))
-                for i in range(0, len(one), 1 << 16):
-                    some = one[i : i + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("lang").take(pa.array(row[some])), _gather(text, begin[some], end[some + k - 1]),
-                         pa.array(np.full(len(some), k, np.int8)), pa.array(since[i : i + (1 << 16)]), pa.array(cell[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)], pa.int64())],
-                        names=["lang", "phrase", "words", "since", "cell", "n"])
+            langs = batch.column("lang")
+
+            def rows(phrases: pa.Array, of: np.ndarray, k: int, n: np.ndarray, langs: pa.Array = langs) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([langs.take(pa.array(of)), phrases, pa.array(np.full(len(of), k, np.int8)), pa.array(n, pa.int64())], names=["lang", "phrase", "words", "n"])
+
+            of, n = np.unique(row, return_counts=True)
+            yield rows(pa.array([""] * len(of), pa.string()), of, 0, n)
+            # A phrase is told by its first words and its last one, by number and not by hash, which others may share.
+            last = _gather(text, begin, end).dictionary_encode().indices.to_numpy().astype(np.int64) * len(langs) + langs.dictionary_encode().indices.to_numpy()[row]
+            front, whole = np.zeros(len(words) + 1, np.int64), np.ones(len(words) + 1, bool)
+            for k in range(1, shape[0] + 1):
+                here = _hashes(words, k)
+                whole = whole[:-1] & whole[1:] & (piece[: len(here)] == piece[k - 1 :]) & known[k - 1][(here >> SHIFT).astype(np.int64)]
+                at = np.flatnonzero(whole)
+                _, one, numbers, n = np.unique(front[at] * (last.max() + 1) + last[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
+                front[at], one = numbers, at[one]
+                for i in range(0, len(one), ROWS):
+                    some = one[i : i + ROWS]
+                    yield rows(_gather(text, begin[some], end[some + k - 1]), row[some], k, n[i : i + ROWS])
 
-    return shard.mapInArrow(task, "lang string, phrase string, words tinyint, since smallint, cell int, n bigint")
+    return docs.mapInArrow(task, "lang string, phrase string, words tinyint, n bigint")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +216,8 @@ def _cells(phrases: DataFrame, lengths: int) -> np.ndarray:
         if bits.any():
             yield pack(bits)
 
-    parts = phrases.where(F.col("words") <= lengths).select("words", "cell").mapInArrow(task, "bits binary")
+    cell = F.shiftrightunsigned("hash", int(SHIFT)).cast("int")
+    parts = phrases.where(F.col("words") <= lengths).select("words", cell).mapInArrow(task, "bits binary")
     out = np.zeros(lengths << (CELLS - 3), np.uint8)
     for (raw,) in parts.repartition(8).mapInArrow(merge, "bits binary").coalesce(1).mapInArrow(merge, "bits binary").collect():
         out = np.frombuffer(zlib.decompress(raw), np.uint8)
@@ -197,35 +238,38 @@ def count(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int
     gives empty ones. A text of any length is counted whole.
     """
     table = _sharded(docs, text, lang, shards)
+    context = docs.sparkSession.sparkContext
     first = np.full((longest - 1, 1 << CELLS), NEVER, np.uint8)
-    steps, complete, sizes, step, last = {}, [], [], 0, shards
+    steps, complete, step, last = {}, [], 0, shards
     while step < last:
         shard = table.where(F.col("shard") == step % shards).select("lang", "text")
         # Compressed, as few cells are set; and gone after the step.
-        shared = docs.sparkSession.sparkContext.broadcast(zlib.compress(first, 1))
-        summed = _count(shard, shared, first.shape, step, shards).groupBy("lang", "phrase", "words", "since", "cell").agg(F.sum("n").alias("n"))
+        shared = context.broadcast(zlib.compress(first, 1))
+        summed = _count(shard, shared, first.shape, step, shards).groupBy("hash", "words", "since").agg(F.sum("n").alias("n"))
         steps[step] = written(summed, "phrase-counts")
         shared.destroy()
-        if step < shards:
-            sizes.append(written(steps[step].where("words = 1").groupBy("lang").agg(F.sum("n").alias("n")), "phrase-words"))
-        reached = steps[step].where(F.col("n") >= least).select("words", "cell")
+        reached = steps[step].where(F.col("n") >= least).select("words", "hash")
         begun = step - shards + 1
         if begun >= 0:
             # These counters end their cycle with this step.
             cycle = reduce(DataFrame.unionByName, (steps[i] for i in range(begun, step + 1)))
-            whole = cycle.where(F.col("since") == begun).groupBy("lang", "phrase", "words", "cell").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-            complete.append(written(whole, "phrases"))
-            reached = reached.unionByName(complete[-1].select("words", "cell"))
+            whole = cycle.where(F.col("since") == begun).groupBy("words", "hash").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+            complete.append(written(whole.select("words", "hash"), "phrase-hashes"))
+            reached = reached.unionByName(complete[-1])
             release(steps.pop(begun))
         first[_cells(reached, longest - 1) & (first == NEVER)] = step + 1
         known = first[first != NEVER]
         # A phrase counts for a cycle from the later of its subphrases' steps.
         last = max(last, int(known.max()) + shards) if len(known) else last
         step += 1
-    for old in (table, *steps.values()):
+    # Hashes only say which phrases may be frequent; these are spelled out and counted by themselves.
+    met = _cells(reduce(DataFrame.unionByName, complete), longest)
+    shared = context.broadcast(zlib.compress(np.packbits(met), 1))
+    counted = written(_spelled(table.select("lang", "text"), shared, met.shape).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a")).where((F.col("words") == 0) | (F.col("a") >= least)), "phrases")
+    shared.destroy()
+    for old in (table, *steps.values(), *complete):
         release(old)
-    words = reduce(DataFrame.unionByName, sizes).groupBy("lang").agg(F.sum("n").alias("n"))
-    return reduce(DataFrame.unionByName, complete).select("lang", "phrase", "words", "a"), words
+    return counted.where("words > 0"), counted.where("words = 0").select("lang", F.col("a").alias("n"))
 
 
 def _cut(words: Column, k: int) -> tuple[Column, Column]:

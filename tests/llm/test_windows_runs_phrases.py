@@ -8,6 +8,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +199,37 @@ def test_phrases_against_brute_force(spark):
 
 def test_phrases_of_an_empty_table(spark):
     assert phrases.collocations(spark.createDataFrame([], "lang string, text string")).count() == 0
+
+
+def test_counters_of_phrases_are_numbers(spark):
+    first = np.full((3, 1 << phrases.CELLS), phrases.NEVER, np.uint8)
+    shared = spark.sparkContext.broadcast(zlib.compress(first, 1))
+    counted = phrases._count(spark.createDataFrame([("en", "a b a")], "lang string, text string"), shared, first.shape, 0, 3)
+    assert set(dict(counted.dtypes).values()) <= {"bigint", "smallint", "tinyint"}
+    assert sorted(r.n for r in counted.collect()) == [1, 2]
+
+
+class _Here:
+    """Stands for a table and for a broadcast; its tasks run in the test, which can replace what they call."""
+
+    def __init__(self, *batches, value=None):
+        self.batches, self.value = batches, value
+
+    def mapInArrow(self, task, schema):
+        return [tuple(r.values()) for b in task(iter(self.batches)) for r in b.to_pylist()]
+
+
+def test_phrases_that_share_a_hash_count_apart(monkeypatch):
+    monkeypatch.setattr(phrases, "_hashes", lambda words, k: np.zeros(max(len(words) - k + 1, 0), np.uint64))
+    docs = [("en", "a b a b a. b c"), ("fr", "a b"), ("en", "A b, d"), ("fr", " "), ("en", "x")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*docs, strict=True)], names=["lang", "text"])
+    met = np.ones((4, 1 << phrases.CELLS), bool)
+    got, expected = Counter(), Counter()
+    for lang, phrase, k, n in phrases._spelled(_Here(batch), _Here(value=zlib.compress(np.packbits(met))), met.shape):
+        got[lang, phrase, k] += n
+    for lang, text in docs:
+        for piece in re.split("[.,]", text.lower()):
+            w = piece.split()
+            expected[lang, "", 0] += len(w)
+            expected.update((lang, " ".join(w[i : i + k]), k) for k in range(1, 5) for i in range(len(w) - k + 1))
+    assert got == expected
