@@ -40,6 +40,8 @@ LONGEST, LEAST, SHARDS, CELLS = 4, 30, 3, 23
 INSIDE_PERCENT, SCORE_SCALE, TOP = 80, 2_000_000, 2_000
 #: Text bytes whose phrases are counted together before they leave a task.
 COUNT_BYTES = 1 << 22
+#: Bytes of word hashes that are counted together, for the same reason.
+HASH_BYTES = 1 << 23
 NEVER = 255
 #: What is left of a hash after this shift is its cell.
 SHIFT = U64(64 - CELLS)
@@ -134,10 +136,11 @@ def _count(shard: DataFrame, first: Broadcast, shape: tuple[int, int], step: int
     """(hash, words, since, n) of the phrases that count in this step; rows of one hash are not yet summed."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(zlib.decompress(first.value), np.uint8).reshape(shape)
-        for batch in blocks(_joined(batches), "text", COUNT_BYTES):
-            if (found := _hashed(batch)) is None:
-                continue
-            _, (_, _, _, piece), words = found
+        for batch in _joined(batches, HASH_BYTES):
+            words = flat(batch.column("hashes"))[0].view(U64)
+            inner = words != 0
+            piece = np.cumsum(~inner)[inner]
+            words = words[inner]
             for k, since, hashes in _active(known, words, piece, step, shards):
                 hashes = np.sort(hashes)
                 new = np.flatnonzero(np.diff(hashes, prepend=hashes[:1] + U64(1)))
@@ -172,8 +175,13 @@ def _spelled(docs: DataFrame, met: Broadcast, shape: tuple[int, int]) -> DataFra
                 here = _hashes(words, k)
                 whole = whole[:-1] & whole[1:] & (piece[: len(here)] == piece[k - 1 :]) & known[k - 1][(here >> SHIFT).astype(np.int64)]
                 at = np.flatnonzero(whole)
-                _, one, numbers, n = np.unique(front[at] * (last.max() + 1) + last[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
-                front[at], one = numbers, at[one]
+                told = front[at] * (last.max() + 1) + last[at + k - 1]
+                order = np.argsort(told)
+                told = told[order]
+                new = np.diff(told, prepend=-1) != 0
+                front[at[order]] = np.cumsum(new)
+                new = np.flatnonzero(new)
+                one, n = at[order[new]], np.diff(np.append(new, len(at)))
                 for i in range(0, len(one), ROWS):
                     some = one[i : i + ROWS]
                     yield rows(_gather(text, begin[some], end[some + k - 1]), row[some], k, n[i : i + ROWS])
@@ -181,13 +189,13 @@ def _spelled(docs: DataFrame, met: Broadcast, shape: tuple[int, int]) -> DataFra
     return docs.mapInArrow(task, "lang string, phrase string, words tinyint, n bigint")
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of about COUNT_BYTES bytes at least, so that repeats are counted together."""
+def _joined(batches: Iterator[pa.RecordBatch], least: int = COUNT_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches of `least` bytes at least, so that repeats are counted together."""
     held, size = [], 0
     for batch in batches:
         held.append(batch)
         size += batch.nbytes
-        if size >= COUNT_BYTES:
+        if size >= least:
             yield pa.concat_batches(held)
             held, size = [], 0
     if held:
@@ -224,10 +232,22 @@ def _cells(phrases: DataFrame, lengths: int) -> np.ndarray:
     return np.unpackbits(out).astype(bool).reshape(lengths, 1 << CELLS)
 
 
-def _sharded(docs: DataFrame, text: str, lang: str, shards: int) -> DataFrame:
-    shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")
-    rows = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").alias("text"), shard.alias("shard"))
-    return materialize(rows.where(F.length("text") > 0), "llm-phrase-shards", partition_by=["shard"])
+def _word_hashes(docs: DataFrame) -> DataFrame:
+    """(hashes, shard): the hashes of each text's words, eight bytes each, with a zero before each piece."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks([batch], "text", COUNT_BYTES):
+                if (found := _hashed(block)) is None:
+                    continue
+                _, (_, _, row, piece), words = found
+                new = np.flatnonzero(np.diff(piece, prepend=piece[0] - 1))
+                held = np.insert(np.maximum(words, U64(1)), new, U64(0))
+                sizes = np.bincount(row, minlength=len(block)) + np.bincount(row[new], minlength=len(block))
+                offsets = np.concatenate([[0], np.cumsum(sizes * 8)]).astype(np.int64)
+                hashes = pa.Array.from_buffers(pa.large_binary(), len(block), [None, pa.py_buffer(offsets), pa.py_buffer(held)])
+                yield pa.RecordBatch.from_arrays([hashes.cast(pa.binary()), block.column("shard")], names=["hashes", "shard"])
+
+    return docs.mapInArrow(task, "hashes binary, shard int")
 
 
 def count(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
@@ -235,17 +255,21 @@ def count(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int
 
     Occurrences lie within pieces and may overlap. A null language counts as und, a null
     text as empty; repeated rows count each; other columns are not read. An empty table
-    gives empty ones. A text of any length is counted whole.
+    gives empty ones. A text of any length is counted whole. The
+    documents are read twice and must be the same both times.
     """
-    table = _sharded(docs, text, lang, shards)
+    shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")
+    rows = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").alias("text"), shard.alias("shard")).where(F.length("text") > 0)
+    # The words are told once; the steps read their hashes.
+    table = materialize(_word_hashes(rows), "llm-phrase-shards", partition_by=["shard"])
     context = docs.sparkSession.sparkContext
     first = np.full((longest - 1, 1 << CELLS), NEVER, np.uint8)
     steps, complete, step, last = {}, [], 0, shards
     while step < last:
-        shard = table.where(F.col("shard") == step % shards).select("lang", "text")
+        part = table.where(F.col("shard") == step % shards).select("hashes")
         # Compressed, as few cells are set; and gone after the step.
         shared = context.broadcast(zlib.compress(first, 1))
-        summed = _count(shard, shared, first.shape, step, shards).groupBy("hash", "words", "since").agg(F.sum("n").alias("n"))
+        summed = _count(part, shared, first.shape, step, shards).groupBy("hash", "words", "since").agg(F.sum("n").alias("n"))
         steps[step] = written(summed, "phrase-counts")
         shared.destroy()
         reached = steps[step].where(F.col("n") >= least).select("words", "hash")
@@ -265,7 +289,7 @@ def count(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int
     # Hashes only say which phrases may be frequent; these are spelled out and counted by themselves.
     met = _cells(reduce(DataFrame.unionByName, complete), longest)
     shared = context.broadcast(zlib.compress(np.packbits(met), 1))
-    counted = written(_spelled(table.select("lang", "text"), shared, met.shape).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a")).where((F.col("words") == 0) | (F.col("a") >= least)), "phrases")
+    counted = written(_spelled(rows.select("lang", "text"), shared, met.shape).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a")).where((F.col("words") == 0) | (F.col("a") >= least)), "phrases")
     shared.destroy()
     for old in (table, *steps.values(), *complete):
         release(old)

@@ -204,7 +204,8 @@ def test_phrases_of_an_empty_table(spark):
 def test_counters_of_phrases_are_numbers(spark):
     first = np.full((3, 1 << phrases.CELLS), phrases.NEVER, np.uint8)
     shared = spark.sparkContext.broadcast(zlib.compress(first, 1))
-    counted = phrases._count(spark.createDataFrame([("en", "a b a")], "lang string, text string"), shared, first.shape, 0, 3)
+    words = phrases._word_hashes(spark.createDataFrame([("en", "a b a", 0)], "lang string, text string, shard int"))
+    counted = phrases._count(words, shared, first.shape, 0, 3)
     assert set(dict(counted.dtypes).values()) <= {"bigint", "smallint", "tinyint"}
     assert sorted(r.n for r in counted.collect()) == [1, 2]
 
