@@ -8,9 +8,9 @@ scanned by then, and counts for one full cycle from there; so lengths interleave
 and its count is exact. A phrase is never more frequent than its subphrases, so
 none above the threshold is missed.
 
-Counters are kept by 64-bit hashes, so that only numbers leave the tasks; phrases that share
-a hash and a step count together, never too low. A last scan spells out the phrases whose
-counters have reached the threshold and counts them by their words alone.
+A counter is one number, of 48 bits of the phrase's hash, its length and the step it counts
+since; phrases that share it count together, never too low. A last scan spells out the phrases
+whose counters have reached the threshold and counts them by their words alone.
 
 A counter is at the threshold when one shard alone, or its whole cycle, brings it there.
 Tasks learn of it by a table of 2**CELLS cells per length, by hash: a cell holds the
@@ -28,11 +28,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recurra.llm.common import U64, blocks, flat, mix, release, run_hashes, written
+from recurra.llm.common import BLOCK_BYTES, U64, blocks, flat, mix, release, run_hashes, written
 from recurra.session import materialize
 
 LONGEST, LEAST, SHARDS, CELLS = 4, 30, 3, 23
@@ -42,6 +43,9 @@ INSIDE_PERCENT, SCORE_SCALE, TOP = 80, 2_000_000, 2_000
 COUNT_BYTES = 1 << 22
 #: Bytes of word hashes that are counted together, for the same reason.
 HASH_BYTES = 1 << 23
+#: The lowest bits of a counter hold the step, the next ones the length.
+FIELD = 8
+MASK = (1 << FIELD) - 1
 NEVER = 255
 #: What is left of a hash after this shift is its cell.
 SHIFT = U64(64 - CELLS)
@@ -81,23 +85,11 @@ def _hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(total + U64(k))
 
 
-def _gather(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.Array:
-    """Slices of bytes as strings."""
-    sizes = stops - starts
-    ends = np.cumsum(sizes)
-    place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
-    offsets = np.concatenate([[0], ends]).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data[place])]).cast(pa.string())
-
-
-def _normal(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words with one space after each, and their new starts and ends."""
-    sizes = stops - starts + 1
-    ends = np.cumsum(sizes)
-    place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
-    out = data[np.minimum(place, max(len(data) - 1, 0))]
-    out[ends - 1] = 0x20
-    return out, ends - sizes, ends - 1
+def _coded(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.DictionaryArray:
+    """The words by number; what lies between words is numbered, too."""
+    offsets = np.stack([starts, stops], 1).ravel().astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    return pa.DictionaryArray.from_arrays(pa.array(coded.indices.to_numpy()[::2]), coded.dictionary)
 
 
 def _salts(langs: pa.Array) -> np.ndarray:
@@ -109,17 +101,19 @@ def _salts(langs: pa.Array) -> np.ndarray:
 
 def _active(first: np.ndarray, words: np.ndarray, piece: np.ndarray, step: int, shards: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """(length, step of activation, hashes) of the phrases that count in this step; `first` has the steps since which subphrases are at the threshold."""
-    below = _hashes(words, 1)
     if step < shards:
-        yield 1, 0, below
-    for k in range(2, first.shape[0] + 2):
-        here = _hashes(words, k)
-        since = first[k - 2][(below >> SHIFT).astype(np.int64)]
+        yield 1, 0, _hashes(words, 1)
+    before = max(step - shards, 0)
+    for k, cells in enumerate(first, 2):
+        if not ((cells > before) & (cells <= step)).any():
+            # No phrase of this length is in its cycle.
+            continue
+        since = cells[(_hashes(words, k - 1) >> SHIFT).astype(np.int64)]
         since = np.maximum(since[:-1], since[1:])
-        whole = piece[: len(here)] == piece[k - 1 :]
-        for s in range(max(step - shards, 0) + 1, step + 1):
-            yield k, s, here[whole & (since == s)]
-        below = here
+        at = np.flatnonzero((since > before) & (since <= step) & (piece[: len(since)] == piece[k - 1 :]))
+        here, since = _hashes(words, k)[at], since[at]
+        for s in range(before + 1, step + 1):
+            yield k, s, here[since == s]
 
 
 def _hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray] | None:
@@ -133,7 +127,7 @@ def _hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, tuple[np.ndarray, ...],
 
 
 def _count(shard: DataFrame, first: Broadcast, shape: tuple[int, int], step: int, shards: int) -> DataFrame:
-    """(hash, words, since, n) of the phrases that count in this step; rows of one hash are not yet summed."""
+    """(counter, n) of the phrases that count in this step; rows of one counter are not yet summed."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(zlib.decompress(first.value), np.uint8).reshape(shape)
         for batch in _joined(batches, HASH_BYTES):
@@ -142,54 +136,84 @@ def _count(shard: DataFrame, first: Broadcast, shape: tuple[int, int], step: int
             piece = np.cumsum(~inner)[inner]
             words = words[inner]
             for k, since, hashes in _active(known, words, piece, step, shards):
-                hashes = np.sort(hashes)
-                new = np.flatnonzero(np.diff(hashes, prepend=hashes[:1] + U64(1)))
-                n = np.diff(np.append(new, len(hashes)))
+                counters = np.sort((hashes >> U64(2 * FIELD) << U64(2 * FIELD)) | U64(k << FIELD | since))
+                new = np.flatnonzero(np.diff(counters, prepend=~counters[:1]))
+                n = np.diff(np.append(new, len(counters)))
                 for i in range(0, len(new), ROWS):
-                    one = hashes[new[i : i + ROWS]].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(np.full(len(one), k, np.int8)), pa.array(np.full(len(one), since, np.int16)), pa.array(n[i : i + ROWS], pa.int64())], names=["hash", "words", "since", "n"])
-
-    return shard.mapInArrow(task, "hash bigint, words tinyint, since smallint, n bigint")
+                    one = counters[new[i : i + ROWS]].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(n[i : i + ROWS], pa.int64())], names=["counter", "n"])
+
+    return shard.mapInArrow(task, "counter bigint, n bigint")
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    """(counter, n) by counter. Rows meet first, since a task seldom has two of one counter."""
+    return rows.repartition("counter").groupBy("counter").agg(F.sum("n").alias("n"))
+
+
+class _Held:
+    """Words of many blocks whose phrases are counted together."""
+
+    def __init__(self) -> None:
+        self.langs, self.parts, self.size = {}, [], 0
+
+    def add(self, batch: pa.RecordBatch, known: np.ndarray) -> None:
+        """The words of a block; `known` has the cells whose phrases count, by length."""
+        if (found := _hashed(batch)) is None:
+            return
+        data, (starts, stops, row, piece), hashes = found
+        # How many words the longest phrase has that counts from here; all its subphrases do, too.
+        reach, whole = np.zeros(len(hashes), np.uint8), np.ones(len(hashes) + 1, bool)
+        for k, cells in enumerate(known, 1):
+            here = _hashes(hashes, k)
+            whole = whole[:-1] & whole[1:] & (piece[: len(here)] == piece[k - 1 :])
+            at = np.flatnonzero(whole)
+            whole[at] = cells[(here[at] >> SHIFT).astype(np.int64)]
+            reach[: len(whole)] += whole
+        langs = batch.column("lang").dictionary_encode()
+        lang = np.array([self.langs.setdefault(x, len(self.langs)) for x in langs.dictionary.to_pylist()], np.int32)[langs.indices.to_numpy()]
+        self.parts.append((_coded(data, starts, stops), lang[row], reach))
+        self.size += len(data)
+
+    def rows(self, longest: int) -> Iterator[pa.RecordBatch]:
+        """(lang, phrase, words, n) of what is held, each phrase once, and the number of all words as n of no words."""
+        if not self.parts:
+            return
+        coded, front, reach = zip(*self.parts, strict=True)
+        coded, front, reach = pa.chunked_array(coded).unify_dictionaries(), np.concatenate(front), np.concatenate(reach)
+        word, words = np.concatenate([c.indices.to_numpy() for c in coded.chunks]), coded.chunk(0).dictionary
+        langs = pa.array(list(self.langs), pa.string())
+        phrases, n = pa.array([b""] * len(langs), pa.large_binary()), np.bincount(front, minlength=len(langs))
+        for k in range(longest + 1):
+            if k:
+                # A phrase is told by the number of its first words and that of its last one; no words have the language's.
+                at = np.flatnonzero(reach >= k)
+                told = pa.array(front[at].astype(np.int64) << 32 | word[at + k - 1]).dictionary_encode()
+                front[at], one = told.indices.to_numpy(), told.dictionary.to_numpy()
+                n, before, last = np.bincount(told.indices.to_numpy(), minlength=len(one)), pa.array(one >> 32), words.take(pa.array(one & 0xFFFFFFFF))
+                phrases, langs = pc.binary_join_element_wise(phrases.take(before), last, pa.scalar(b" ", pa.large_binary())) if k > 1 else last, langs.take(before)
+            strings = phrases.view(pa.large_string())
+            for i in range(0, len(n), ROWS):
+                some = n[i : i + ROWS]
+                yield pa.RecordBatch.from_arrays([langs.slice(i, ROWS), strings.slice(i, ROWS).cast(pa.string()), pa.array(np.full(len(some), k, np.int8)), pa.array(some, pa.int64())], names=["lang", "phrase", "words", "n"])
 
 
 def _spelled(docs: DataFrame, met: Broadcast, shape: tuple[int, int]) -> DataFrame:
     """(lang, phrase, words, n) of the phrases in cells that are set in `met`, as all their subphrases are, and the number of all words as n of no words; rows of one phrase are not yet summed."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(np.frombuffer(zlib.decompress(met.value), np.uint8)).astype(bool).reshape(shape)
-        for batch in blocks(_joined(batches), "text", COUNT_BYTES):
-            if (found := _hashed(batch)) is None:
-                continue
-            data, (starts, stops, row, piece), words = found
-            text, begin, end = _normal(data, starts, stops)
-            langs = batch.column("lang")
-
-            def rows(phrases: pa.Array, of: np.ndarray, k: int, n: np.ndarray, langs: pa.Array = langs) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([langs.take(pa.array(of)), phrases, pa.array(np.full(len(of), k, np.int8)), pa.array(n, pa.int64())], names=["lang", "phrase", "words", "n"])
-
-            of, n = np.unique(row, return_counts=True)
-            yield rows(pa.array([""] * len(of), pa.string()), of, 0, n)
-            # A phrase is told by its first words and its last one, by number and not by hash, which others may share.
-            last = _gather(text, begin, end).dictionary_encode().indices.to_numpy().astype(np.int64) * len(langs) + langs.dictionary_encode().indices.to_numpy()[row]
-            front, whole = np.zeros(len(words) + 1, np.int64), np.ones(len(words) + 1, bool)
-            for k in range(1, shape[0] + 1):
-                here = _hashes(words, k)
-                whole = whole[:-1] & whole[1:] & (piece[: len(here)] == piece[k - 1 :]) & known[k - 1][(here >> SHIFT).astype(np.int64)]
-                at = np.flatnonzero(whole)
-                told = front[at] * (last.max() + 1) + last[at + k - 1]
-                order = np.argsort(told)
-                told = told[order]
-                new = np.diff(told, prepend=-1) != 0
-                front[at[order]] = np.cumsum(new)
-                new = np.flatnonzero(new)
-                one, n = at[order[new]], np.diff(np.append(new, len(at)))
-                for i in range(0, len(one), ROWS):
-                    some = one[i : i + ROWS]
-                    yield rows(_gather(text, begin[some], end[some + k - 1]), row[some], k, n[i : i + ROWS])
+        held = _Held()
+        for batch in blocks(_joined(batches, BLOCK_BYTES), "text", BLOCK_BYTES):
+            held.add(batch, known)
+            if held.size >= COUNT_BYTES:
+                yield from held.rows(shape[0])
+                held = _Held()
+        yield from held.rows(shape[0])
 
     return docs.mapInArrow(task, "lang string, phrase string, words tinyint, n bigint")
 
 
-def _joined(batches: Iterator[pa.RecordBatch], least: int = COUNT_BYTES) -> Iterator[pa.RecordBatch]:
+def _joined(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Batches of `least` bytes at least, so that repeats are counted together."""
     held, size = [], 0
     for batch in batches:
@@ -202,8 +226,8 @@ def _joined(batches: Iterator[pa.RecordBatch], least: int = COUNT_BYTES) -> Iter
         yield pa.concat_batches(held)
 
 
-def _cells(phrases: DataFrame, lengths: int) -> np.ndarray:
-    """Which cells the phrases of up to `lengths` words are in, by length. Fixed-size bit sets meet in tasks, in two rounds."""
+def _cells(counters: DataFrame, lengths: int) -> np.ndarray:
+    """Which cells the counters of phrases of up to `lengths` words are in, by length. Fixed-size bit sets meet in tasks, in two rounds."""
 
     def pack(bits: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits, 1)], pa.binary())], names=["bits"])
@@ -224,8 +248,9 @@ def _cells(phrases: DataFrame, lengths: int) -> np.ndarray:
         if bits.any():
             yield pack(bits)
 
-    cell = F.shiftrightunsigned("hash", int(SHIFT)).cast("int")
-    parts = phrases.where(F.col("words") <= lengths).select("words", cell).mapInArrow(task, "bits binary")
+    cell = F.shiftrightunsigned("counter", int(SHIFT)).cast("int")
+    words = F.shiftright("counter", FIELD).bitwiseAND(MASK).cast("int")
+    parts = counters.select(words.alias("words"), cell.alias("cell")).where(F.col("words") <= lengths).mapInArrow(task, "bits binary")
     out = np.zeros(lengths << (CELLS - 3), np.uint8)
     for (raw,) in parts.repartition(8).mapInArrow(merge, "bits binary").coalesce(1).mapInArrow(merge, "bits binary").collect():
         out = np.frombuffer(zlib.decompress(raw), np.uint8)
@@ -236,7 +261,7 @@ def _word_hashes(docs: DataFrame) -> DataFrame:
     """(hashes, shard): the hashes of each text's words, eight bytes each, with a zero before each piece."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks([batch], "text", COUNT_BYTES):
+            for block in blocks([batch], "text", BLOCK_BYTES):
                 if (found := _hashed(block)) is None:
                     continue
                 _, (_, _, row, piece), words = found
@@ -269,16 +294,15 @@ def count(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int
         part = table.where(F.col("shard") == step % shards).select("hashes")
         # Compressed, as few cells are set; and gone after the step.
         shared = context.broadcast(zlib.compress(first, 1))
-        summed = _count(part, shared, first.shape, step, shards).groupBy("hash", "words", "since").agg(F.sum("n").alias("n"))
-        steps[step] = written(summed, "phrase-counts")
+        steps[step] = written(_summed(_count(part, shared, first.shape, step, shards)), "phrase-counts")
         shared.destroy()
-        reached = steps[step].where(F.col("n") >= least).select("words", "hash")
+        reached = steps[step].where(F.col("n") >= least).select("counter")
         begun = step - shards + 1
         if begun >= 0:
             # These counters end their cycle with this step.
             cycle = reduce(DataFrame.unionByName, (steps[i] for i in range(begun, step + 1)))
-            whole = cycle.where(F.col("since") == begun).groupBy("words", "hash").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-            complete.append(written(whole.select("words", "hash"), "phrase-hashes"))
+            whole = _summed(cycle.where(F.col("counter").bitwiseAND(MASK) == begun)).where(F.col("n") >= least)
+            complete.append(written(whole.select("counter"), "phrase-hashes"))
             reached = reached.unionByName(complete[-1])
             release(steps.pop(begun))
         first[_cells(reached, longest - 1) & (first == NEVER)] = step + 1
@@ -289,7 +313,8 @@ def count(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int
     # Hashes only say which phrases may be frequent; these are spelled out and counted by themselves.
     met = _cells(reduce(DataFrame.unionByName, complete), longest)
     shared = context.broadcast(zlib.compress(np.packbits(met), 1))
-    counted = written(_spelled(rows.select("lang", "text"), shared, met.shape).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a")).where((F.col("words") == 0) | (F.col("a") >= least)), "phrases")
+    spelled = _spelled(rows.select("lang", "text"), shared, met.shape)
+    counted = written(spelled.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("a")).where((F.col("words") == 0) | (F.col("a") >= least)), "phrases")
     shared.destroy()
     for old in (table, *steps.values(), *complete):
         release(old)

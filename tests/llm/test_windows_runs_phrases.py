@@ -234,3 +234,40 @@ def test_phrases_that_share_a_hash_count_apart(monkeypatch):
             expected[lang, "", 0] += len(w)
             expected.update((lang, " ".join(w[i : i + k]), k) for k in range(1, 5) for i in range(len(w) - k + 1))
     assert got == expected
+
+
+def test_last_scan_counts_blocks_together(monkeypatch):
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", 8)
+    docs = [("en", "a b a"), ("fr", "a b"), (" ", "b é. \x01 b"), ("en", "A b, d"), ("fr", " , "), ("en", ""), ("fr", "a b a")]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*part, strict=True)], names=["lang", "text"]) for part in (docs[:3], docs[3:])]
+    met = np.ones((4, 1 << phrases.CELLS), bool)
+    expected = Counter()
+    for lang, text in docs:
+        for piece in re.split("[.,]", text.lower()):
+            w = [x for x in piece.split(" ") if x]
+            expected[lang, "", 0] += len(w)
+            expected.update((lang, " ".join(w[i : i + k]), k) for k in range(1, 5) for i in range(len(w) - k + 1))
+    shared = _Here(value=zlib.compress(np.packbits(met)))
+    rows = [tuple(r) for r in phrases._spelled(_Here(*batches), shared, met.shape)]
+    assert len({r[:3] for r in rows}) == len(rows)
+    # A task whose words are held in several goes gives several rows of a phrase, of the same sum.
+    monkeypatch.setattr(phrases, "COUNT_BYTES", 8)
+    for found in (rows, phrases._spelled(_Here(*batches), shared, met.shape)):
+        got = Counter()
+        for lang, phrase, k, n in found:
+            got[lang, phrase, k] += n
+        assert got == expected
+
+
+def test_a_counter_is_one_number(spark):
+    first = np.full((3, 1 << phrases.CELLS), phrases.NEVER, np.uint8)
+    # All single words have been at the threshold since step 1, all pairs since step 2.
+    first[0], first[1] = 1, 2
+    shared = spark.sparkContext.broadcast(zlib.compress(first, 1))
+    words = phrases._word_hashes(spark.createDataFrame([("en", "a b a. b a b a", 0)], "lang string, text string, shard int"))
+    counted = phrases._count(words, shared, first.shape, 2, 3)
+    assert counted.columns == ["counter", "n"]
+    got = Counter((r.counter >> phrases.FIELD & phrases.MASK, r.counter & phrases.MASK, r.n) for r in counted.collect())
+    assert got == Counter({(1, 0, 4): 1, (1, 0, 3): 1, (2, 1, 3): 1, (2, 1, 2): 1, (3, 2, 2): 1, (3, 2, 1): 1})
+    twice = {r.counter: r.n for r in phrases._summed(counted.unionByName(counted)).collect()}
+    assert twice == {r.counter: 2 * r.n for r in counted.collect()}
