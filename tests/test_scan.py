@@ -126,3 +126,19 @@ def test_a_scan_makes_splines_once_per_value_whatever_the_number_of_models(monke
     distinct = sum(len(b.values[n]) for b in blocks for n in ("age", "time"))
     shortened = 2 * CUTS * sum(len(b.lengths) for b in blocks)
     assert sum(made) <= distinct + shortened
+
+
+def test_scenarios_of_one_seed_share_a_draw(spark):
+    from pyspark.sql import functions as F
+
+    from recurra.functions.columns import exponential_days
+    from recurra.operators import scenarios
+
+    rows = [*c.rate_scenarios([0.2, 0.9, 40.0]), *c.seed_scenarios([11, 498]), c.Emigration("none", 0.0, 11)]
+    assert str(scenarios.cut_days(rows)).count("1234") == 1
+    df = spark.createDataFrame([(k, 30 * k, 2000) for k in range(20)] + [(99, None, None)], "patid long, leave_from int, tail_stop int")
+    alone = F.array(*(F.when(F.lit(float(s.rate)) == 0, F.col("tail_stop")).otherwise(F.least(
+        "tail_stop", F.greatest(F.lit(0), F.col("leave_from") + exponential_days(F.lit(float(s.rate)), F.col("patid"), F.lit(s.seed)))))
+        for s in rows))
+    got = df.where("tail_stop is not null").select(scenarios.cut_days(rows).alias("got"), alone.alias("alone")).collect()
+    assert len({tuple(r.got) for r in got}) > 5 and all(r.got == r.alone for r in got)
